@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 #: Distinct pieces that a worker remembers before it begins anew; bounds its memory, not its results.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Pieces of a text that are put together at a time.
 AT_ONCE = 200_000
 
@@ -43,56 +43,65 @@ class Pieces(dict):
     """piece -> its ids as little-endian 32-bit numbers, and the bytes that those ids decode to."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks, self.bytes = ranks, {i: b for b, i in ranks.items()}
+        self.ranks, self.bytes = {b.decode("latin-1"): i for b, i in ranks.items()}, {i: b for b, i in ranks.items()}
+        self.raw, self.packed = ranks, {i: i.to_bytes(4, "little") for i in self.bytes}
+        self.size = {i: len(b) for i, b in self.bytes.items()}
         self.longest = ahocorasick.Automaton()
-        for b, i in ranks.items():
-            self.longest.add_word(b.decode("latin-1"), i)
+        for t, i in self.ranks.items():
+            self.longest.add_word(t, i)
         self.longest.make_automaton()
-        self.shorter = {i: next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in ranks), None) for b, i in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.shorter = {i: next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ranks), -1) for t, i in self.ranks.items()}
+        self.pairs: dict[int, bool] = {}
 
     def __missing__(self, piece: str) -> tuple[bytes, bytes]:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self.encode(piece.encode())
-        made = self[piece] = b"".join([i.to_bytes(4, "little") for i in ids]), b"".join([self.bytes[i] for i in ids])
+        ids = self.encode(piece.encode().decode("latin-1"))
+        made = self[piece] = b"".join([self.packed[i] for i in ids]), b"".join([self.bytes[i] for i in ids])
         return made
 
-    def fit(self, a: int, b: int) -> bool:
-        if (known := self.pairs.get((a, b))) is None:
-            known = self.pairs[a, b] = merged(self.bytes[a] + self.bytes[b], self.ranks) == [a, b]
+    def fit(self, pair: int) -> bool:
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        known = self.pairs[pair] = merged(self.bytes[a] + self.bytes[b], self.raw) == [a, b]
         return known
 
-    def encode(self, piece: bytes) -> list[int]:
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        text = piece.decode("latin-1")
-        ids = [i for _, i in self.longest.iter_long(text)]
-        return ids if all(map(self.fit, ids, ids[1:])) else self.backtrack(text)
-
-    def backtrack(self, text: str) -> list[int]:
-        longest = [0] * len(text)
-        for end, i in self.longest.iter(text):  # by end, so the last from a place is the longest
-            longest[end + 1 - len(self.bytes[i])] = i
-        ids: list[int] = []
-        at, dead, token = 0, set(), longest[0]
-        while at < len(text):
-            while token is not None:
-                after = at + len(self.bytes[token])
-                if after not in dead and (not ids or self.fit(ids[-1], token)):
-                    break
-                token = self.shorter[token]
-            if token is not None:
-                ids.append(token)
-                at = after
-                token = longest[at] if at < len(text) else None
-            else:  # nothing from here fits what stands before
-                dead.add(at)
-                last = ids.pop()
-                at -= len(self.bytes[last])
-                token = self.shorter[last]
+    def encode(self, text: str) -> list[int]:
+        """text: a piece's bytes as Latin-1."""
+        if text in self.ranks:
+            return [self.ranks[text]]
+        pairs, size, shorter = self.pairs, self.size, self.shorter
+        ids, at, n, dead = [], 0, len(text), set()
+        ahead = [(end + 1 - size[i], i) for end, i in self.longest.iter_long(text)]  # a tiling: place, longest match
+        ahead.reverse()
+        while at < n:
+            while ahead and ahead[-1][0] < at:
+                ahead.pop()
+            token = ahead[-1][1] if ahead and ahead[-1][0] == at else self.first(text, at)
+            while True:  # token: to be tried at `at`, -1 for none
+                if token < 0:  # nothing from here fits what stands before
+                    dead.add(at)
+                    token = ids.pop()
+                    at -= size[token]
+                elif at + size[token] not in dead:
+                    if not ids:
+                        break
+                    if (known := pairs.get(pair := ids[-1] << 32 | token)) is None:
+                        known = self.fit(pair)
+                    if known:
+                        break
+                token = shorter[token]
+            ids.append(token)
+            at += size[token]
         return ids
 
+    def first(self, text: str, at: int) -> int:
+        """The longest token that text has at this place."""
+        rest, ranks = text[at:], self.ranks
+        n = self.longest.longest_prefix(rest)  # of a word's beginning, not always a word
+        while rest[:n] not in ranks:
+            n -= 1
+        return ranks[rest[:n]]
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
