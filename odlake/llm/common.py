@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -45,3 +46,16 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, make:
     for f in out:
         whole = whole.add(f)
     return inner.mapInArrow(run, whole)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a file copy in the folder that the cluster names; only where none is named, in one of its own."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
+def buckets(spark: SparkSession, rows: int, each: int) -> int:
+    """How many buckets of about `each` rows to deal `rows` rows to, and at least some for every partition."""
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // each + 1)
