@@ -8,12 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, simhash
+from . import bpe, secrets, sharding, simhash, tokens
 from .common import table
 
 SHARDS = tuple(f"shard-{k:02d}" for k in range(16))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = (secrets.of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex"))
+    return found.select("doc_id", *counts, F.sha2(F.concat_ws(",", "base"), 256).alias("base_sha256"), F.concat_ws(",", "spans").alias("spans"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    counts = tokens.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "n_bytes"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
@@ -29,7 +41,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_sharding, op8_simhash, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_secrets, op4_token_counts, op7_sharding, op8_simhash, op10_byte_bpe)}
 
 
 OP7 = f"""
