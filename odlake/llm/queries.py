@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, sharding, simhash, suffixes, templates, tokens, toxicity
+from . import bpe, relative, secrets, sharding, simhash, suffixes, templates, tokens, toxicity
 from .common import table
 
 SHARDS = tuple(f"shard-{k:02d}" for k in range(16))
@@ -37,6 +37,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_lempel_ziv_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = relative.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
@@ -56,7 +61,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op4_token_counts, op5_suffix_dedup, op7_sharding, op8_simhash, op9_decontamination, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op4_token_counts, op5_suffix_dedup, op6_lempel_ziv_dedup, op7_sharding, op8_simhash, op9_decontamination, op10_byte_bpe)}
 
 
 OP7 = f"""
