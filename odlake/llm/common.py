@@ -48,14 +48,28 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, make:
     return inner.mapInArrow(run, whole)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a file copy in the folder that the cluster names; only where none is named, in one of its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; only where none is named, one of its own."""
+    if (named := spark.conf.get("spark.checkpoint.dir", None)) is None and (named := spark.sparkContext.getCheckpointDir()) is None:
+        named = tempfile.mkdtemp(prefix="checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a file copy in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def without(docs: DataFrame, ids: DataFrame, most: int = 200_000) -> DataFrame:
+    """docs but those of `ids` (doc_id, distinct); null ids stay. Only up to `most` ids are broadcast, more are shuffled."""
+    ids = cut(ids)
+    few = ids.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_anti")
+
+
 def buckets(spark: SparkSession, rows: int, each: int) -> int:
     """How many buckets of about `each` rows to deal `rows` rows to, and at least some for every partition."""
     return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // each + 1)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, relative, secrets, sharding, simhash, suffixes, templates, tokens, toxicity
+from . import bpe, graph, relative, secrets, sharding, simhash, suffixes, templates, tokens, toxicity
 from .common import table
 
 SHARDS = tuple(f"shard-{k:02d}" for k in range(16))
@@ -26,6 +27,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs.withColumn("held_out", toxicity.held_out()), model, keep=("doc_id", "held_out"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     counts = tokens.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "n_bytes"))
@@ -61,7 +66,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op4_token_counts, op5_suffix_dedup, op6_lempel_ziv_dedup, op7_sharding, op8_simhash, op9_decontamination, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_nearest, op4_token_counts, op5_suffix_dedup, op6_lempel_ziv_dedup, op7_sharding, op8_simhash, op9_decontamination, op10_byte_bpe)} | {"pipeline": corpus_pipeline.run}
 
 
 OP7 = f"""

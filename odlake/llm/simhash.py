@@ -23,10 +23,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, cut, map_texts
+from .common import buckets, cut, map_texts, without
 from .components import components
 
 SEED, SHINGLE, LINKED = 42, 3, 3
@@ -126,5 +126,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", crowd: int = CROWD) ->
     return marked.join(of_all, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the smallest doc_id of each component, once; rows with a null doc_id stay."""
+    found = cut(near_duplicates(docs, text).select("doc_id", "component_id"))
+    kept = without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
+    repeated = cut(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))  # rows of one repeated id
+    once = kept.join(repeated, "doc_id", "left_semi").withColumn("__n", first).where("__n = 1").drop("__n")
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+
+
 def as_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
