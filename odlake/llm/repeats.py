@@ -101,7 +101,7 @@ def segments(kind: Kind, codes: np.ndarray, ends: np.ndarray, frequent: list[np.
     if n <= 0:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     used = kind.levels[: 1 + max([0, *(k + 1 for k, f in enumerate(frequent) if len(f))])]
-    anchor = None
+    anchor = deep = None
     for level, (length, h) in enumerate(zip(used, strings(codes, used))):
         found = least(h, kind.window - length + 1) + np.uint64(level)
         if anchor is None:
@@ -111,6 +111,7 @@ def segments(kind: Kind, codes: np.ndarray, ends: np.ndarray, frequent: list[np.
         if level < len(frequent):
             known = frequent[level]
             again = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor if len(known) else np.zeros(n, bool)
+            deep = again if level == 0 else deep
             if not again.any():
                 break
     place = np.arange(n)
@@ -126,12 +127,12 @@ def segments(kind: Kind, codes: np.ndarray, ends: np.ndarray, frequent: list[np.
     # places that are the least of some window: those equal to the greatest of the windows' least values over them
     width = kind.window - used[0] + 1
     none = np.full(width - 1, ~np.uint64(0))
-    tops = np.flatnonzero(least(np.r_[none, ~(found if anchor is found else least(shortest, width)), none], width) == ~shortest)
+    tops = np.flatnonzero(least(np.r_[none, ~(anchor if deep is None or not deep.any() else least(shortest, width)), none], width) == ~shortest)
     same = np.cumsum(np.r_[0, shortest[tops[1:]] == shortest[tops[:-1]]])
     low = np.minimum(np.searchsorted(tops, start), len(tops) - 1)
     twice = same[np.maximum(low, np.searchsorted(tops, start + windows + width - 1) - 1)] > same[low]
-    if level:
-        twice |= windows > 1  # its windows need not share the shortest string
+    if deep is not None:
+        twice |= deep[start] & (windows > 1)  # they need not share the shortest string
     powers, inverse = ladder(len(codes) + 1)
     total = np.r_[np.uint64(0), np.cumsum(mixed(codes) * powers[: len(codes)])]
     stop = start + windows + kind.window - 1
