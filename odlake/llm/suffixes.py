@@ -28,7 +28,7 @@ def sorted_suffixes(text: np.ndarray, remaining: np.ndarray, depth: int) -> np.n
     key = np.zeros(n, np.uint64)
     for k in range(7):
         byte = np.zeros(n, np.uint64)
-        byte[: n - k] = text[k:]
+        byte[: max(0, n - k)] = text[k:]
         byte[remaining <= k] = 0
         key = key << np.uint64(8) | byte
     key = key << np.uint64(8) | np.minimum(remaining, 7).astype(np.uint64)
