@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 #: Distinct pieces that a worker remembers before it begins anew; bounds its memory, not its results.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Pieces of a text that are put together at a time.
 AT_ONCE = 200_000
 
@@ -133,6 +133,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
                 n.append(len(ids[-1]) // 4)
             return [n, ids, decoded]
 
+        work.done = known.clear  # pairs stay known
         return work
 
     return map_texts(df, text, keep, "n_tokens long, ids binary, decoded binary", make)

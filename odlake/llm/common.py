@@ -23,24 +23,29 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, make:
     """`keep`'s columns and those of `schema`, which make() gives from a batch's whole texts.
 
     make runs once a task and returns the function of one batch: list of texts (null: empty) in,
-    one Python list for each column of `schema` out. Spark caps a batch at 64 MB, so memory is
-    bounded by that and by the longest single text.
+    one Python list for each column of `schema` out. If that function has an attribute `done`, it is
+    called when the task ends, to drop what a worker need not hold. Spark caps a batch at 64 MB, so
+    memory is bounded by that and by the longest single text. A text that is also kept is sent once.
     """
-    inner = df.select(*keep, (utf8(text) if as_bytes else F.coalesce(F.col(text), F.lit(""))).alias("__text"))
-    kept = df.select(*keep).schema
+    shared = text in keep and not as_bytes
+    inner = df.select(*keep) if shared else df.select(*keep, (utf8(text) if as_bytes else F.col(text)).alias("__text"))
+    kept, at = df.select(*keep).schema, list(keep).index(text) if shared else len(keep)
     out = df.sparkSession.createDataFrame([], schema).schema
-    names = [f.name for f in out]
+    names = [*keep, *(f.name for f in out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         types = [to_arrow_type(f.dataType) for f in out]
-        work = make()
-        for batch in batches:
-            if batch.num_rows:
-                made = work(batch.column(batch.num_columns - 1).to_pylist())
-                arrays = [*batch.columns[:-1], *(pa.array(x, t) for x, t in zip(made, types, strict=True))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *names])
+        work, empty = make(), b"" if as_bytes else ""
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    made = work([t or empty for t in batch.column(at).to_pylist()])
+                    arrays = [*batch.columns[: len(keep)], *(pa.array(x, t) for x, t in zip(made, types, strict=True))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+        finally:
+            getattr(work, "done", lambda: None)()
 
     whole = kept
     for f in out:

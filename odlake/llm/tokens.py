@@ -30,7 +30,7 @@ from .common import map_texts
 
 CHUNK = 1 << 16
 #: Words and states that a worker remembers before it begins anew; bounds its memory, not its results.
-REMEMBERED, STATES = 1_200_000, 400_000
+REMEMBERED, STATES = 600_000, 300_000
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = regex.compile(r"\s")
 RARE = regex.compile(r"[^\x00-՗Ḁ-₎ₐ-ₜ₠-⿿぀-ヿ一-鿿]")
@@ -196,6 +196,11 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
 
     def make():
         counts = transducer(path)
-        return lambda texts: [[counts.count(t) for t in texts]]
+
+        def work(texts: list[str]) -> list[list]:
+            return [[counts.count(t) for t in texts]]
+
+        work.done = counts.words.clear  # compiled states stay
+        return work
 
     return map_texts(docs, text, keep, "n_tokens long", make)

@@ -16,6 +16,7 @@ of both classes, all scores are 0; repeated rows score alike; other columns pass
 
 from __future__ import annotations
 
+import math
 import re
 from zlib import crc32
 
@@ -29,7 +30,7 @@ BUCKETS, DIMENSION, WINDOW = 1 << 17, 8, 16
 POSITIVE, NEGATIVE, TRAIN_BYTES = 1200, 2400, 24_000_000
 ROUNDS, RANDOM_ROUNDS, RATE, DECAY, WEIGHT = 150, 40, 0.05, 0.01, 2.0
 #: Words that a worker remembers before it begins anew; bounds its memory, not its results.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -39,6 +40,11 @@ def grams(word: str) -> list[int]:
     return [crc32(data) & mask] + [crc32(data[i : i + 3]) & mask for i in range(n - 2) if n > 3] + [crc32(data[i : i + 4]) & mask for i in range(n - 3) if n > 4]
 
 
+def logistic(x: float) -> float:
+    e = math.exp(-abs(x))
+    return 1 / (1 + e) if x >= 0 else e / (1 + e)
+
+
 class Model:
     """embeddings, weights, bias: of the fitted softmax; its logit is linear in the average, so a word adds one number."""
 
@@ -49,11 +55,11 @@ class Model:
     def score(self, worth: Words, text: str) -> float:
         words = WORD.findall(text.lower())
         if not words:
-            return float(1 / (1 + np.exp(-self.bias)))
+            return logistic(self.bias)
         each = np.fromiter(map(worth.__getitem__, words), np.float64, len(words))
         starts = np.arange(0, len(words), WINDOW)
         windows = np.add.reduceat(each, starts) / np.diff(np.append(starts, len(words)))
-        return float(1 / (1 + np.exp(-np.clip(windows.max() + self.bias, -500, 500))))
+        return logistic(float(windows.max()) + self.bias)
 
 
 class Words(dict):
@@ -79,7 +85,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     words, y = [words[k] for k in kept], np.array([toxic[k] for k in kept])
     embeddings, weights, bias = rng.normal(0, 0.1, (BUCKETS, DIMENSION)), rng.normal(0, 0.1, (DIMENSION, 2)), np.zeros(2)
     if len(set(y)) < 2:
-        return Model(embeddings * 0, weights * 0, np.array([500.0, -500.0]))
+        return Model(embeddings * 0, weights * 0, np.array([0.0, -np.inf]))
     bags = [np.array(grams(w), np.int32) for w in vocabulary]
     gram, bag = np.concatenate(bags), np.cumsum([0, *map(len, bags)])
     del bags
