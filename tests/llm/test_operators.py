@@ -1,0 +1,356 @@
+"""Each operator against its definition, on small tables with hard cases, and on the given tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import public_tokenizers
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from odlake.llm import bpe, graph, relative, repeats, secrets, sharding, simhash, suffixes, templates, tokens, toxicity
+from odlake.llm import queries as registered
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, kind string, hash string, shard string"
+
+
+def docs(spark, texts):
+    """Documents with extra columns whose names clash with those the operators use."""
+    return spark.createDataFrame([(k, t, "en", "s", None, 1, "x", "y", "z") for k, t in texts], SCHEMA)
+
+
+PASSAGE = " ".join(f"word{k} of the passage" for k in range(30))
+HARD = [(0, None), (1, ""), (2, " \n\t "), (3, PASSAGE), (4, "x " + PASSAGE + " y"), (4, "x " + PASSAGE + " y"), (5, "ab " * 200), (6, "é" * 300 + PASSAGE[50:400]), (7, "short"), (None, PASSAGE), (8, "one two"), (9, PASSAGE[:95] + "!" + PASSAGE[:150])]
+
+
+def test_secrets(spark):
+    cases = [(1, 'password = "hunter2!"'), (2, "AKIA" + "A1" * 10), (3, "0123456789abcdef01234567 é token: abc"), (4, 'const K = "s3cr3t-Value";\nclient_secret := K'), (5, None), (6, "toKEN=token=abcdef"), (7, "ſecret=abcdefgh")]
+    got = {r["doc_id"]: r for r in secrets.scan(docs(spark, cases)).collect()}
+    assert got[1]["base"] == [] and got[1]["spans"] == ["literal:12:20"] or got[1]["base"] == ["assign:0:19"]
+    assert got[2]["base"] == ["access:0:24"] and got[3]["base"] == ["hex:0:24"] and got[5]["spans"] == []
+    assert got[4]["spans"] == ["literal:11:23"]
+    assert got[6]["base"] == [] or got[6]["base"] == ["assign:0:18"]
+    assert got[7]["base"] == []
+
+
+def test_secrets_by_brute_force(spark):
+    for r in registered.op1_secrets(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").collect():
+        t = r["text"] or ""
+        assign = [m for m in re.finditer(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.A | re.I) if len(m[2]) >= 6]
+        hexes = [m for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+        access = [m for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans = sorted([(m.start(), k, m.end()) for k, ms in enumerate((assign, access, hexes)) for m in ms])
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in spans)
+        assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == (len(assign), len(access), len(hexes), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_redaction(spark):
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(docs(spark, [(1, "a token = abcdef123 b"), (2, None), (3, "clean")])).collect()}
+    assert out == {1: "a [SECRET] b", 2: None, 3: "clean"}
+
+
+def test_toxicity_learns_subwords():
+    rng = random.Random(0)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    texts, y = [], []
+    for k in range(400):
+        t = [rng.choice(words) + rng.choice(words) for _ in range(rng.randint(5, 80))]
+        if k % 3 == 0:
+            t[rng.randrange(len(t))] = rng.choice(["idiot", "stupid", "moron"])
+        texts.append(" ".join(t))
+        y.append(int(k % 3 == 0))
+    model = toxicity.fit(texts, y)
+    worth = toxicity.Words(model)
+    assert np.mean([(model.score(worth, t) >= 0.5) == bool(v) for t, v in zip(texts, y)]) > 0.97
+    assert model.score(worth, "alphabeta gammadelta stuupid omegasigma") > model.score(worth, "alphabeta gammadelta omegabeta omegasigma")
+    assert 0 <= model.score(worth, "") <= 1
+
+
+def test_toxicity_queries(spark):
+    rows = registered.op2_toxicity(spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    import zlib
+
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    scores = toxicity.scored(docs(spark, HARD), toxicity.trained(docs(spark, HARD), empty)).collect()
+    assert len(scores) == len(HARD) and all(r["score"] == 0 for r in scores)
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
+    x[100:160] = x[100]
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+    rows += [(5000, None, 0), (5020, [0.0] * 16, 0), (5040, [None] * 16, 0), (5060, [float("nan")] * 16, 0), (None, [1.0] * 16, 0), (5080, [1.0] * 4, 0), (3, x[3].tolist(), 0)]
+    got = graph.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard int")).toPandas()
+    hits = []
+    for q in range(0, 1500, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(1500), -np.round(s, 9)))[:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, 21)) and np.allclose(mine.score, s[mine.vec_id])
+        hits.append(len(set(best) & set(mine.vec_id)) / 20)
+    assert np.mean(hits) > 0.95 and set(got.query_id) == set(range(0, 1500, 20))
+    assert list(got[got.query_id == 100].sort_values("rank").vec_id)[:19] == list(range(101, 120)) or x[100] @ x[100] < (x @ x[100]).max()
+    assert graph.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_token_counts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), tokens.transducer(path)
+    rng, letters = random.Random(2), "aabcé ñ'sSt dllΣς<|endoftext|> 12²½İ́ \x1c\x85中한ａ🙂߀\n"
+    for k in range(1500):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) + rng.choice(["", "<|endoftext|>", "it's we'LL"])
+        expected = len(library.encode(text, add_special_tokens=False).ids)
+        assert mine.count(text) == expected and mine.count(text, 7) == expected, text
+
+
+def test_token_count_queries(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    joined = registered.op4_token_counts(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id")
+    for r in joined.collect():
+        n = len(library.encode(r["text"] or "", add_special_tokens=False).ids)
+        assert (r["n_tokens"], r["over_limit"], r["n_bytes"]) == (n, n > 2048, len((r["text"] or "").encode()))
+
+
+def without_repeats(units, least):
+    seen, out = set(), []
+    for u in units:
+        cut = [False] * len(u)
+        for k in range(len(u) - least + 1):
+            w = u[k : k + least]
+            if w in seen:
+                cut[k : k + least] = [True] * least
+            seen.add(w)
+        out.append(cut)
+    return out
+
+
+def in_order(texts):
+    """The distinct rows, by id (null last) and text hash: the order of documents."""
+    return sorted(set(texts), key=lambda r: (r[0] is None, r[0] or 0))
+
+
+@pytest.mark.parametrize("operator", ["bytes", "words"])
+@pytest.mark.parametrize("frequent", [repeats.FREQUENT, 64])
+def test_dedup(spark, monkeypatch, operator, frequent):
+    monkeypatch.setattr(repeats, "FREQUENT", frequent)  # with 64, passages are routed by longer strings
+    rng = random.Random(3)
+    more = [(k, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(30)) + f" {k} " + PASSAGE[rng.randint(0, 90) : rng.randint(300, 560)]) for k in range(20, 120)]
+    rows = HARD + more
+    dedup, least = (suffixes.dedup, 100) if operator == "bytes" else (relative.dedup, 20)
+    got = {(r["doc_id"], r["n_units"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in dedup(docs(spark, rows)).collect()}
+    distinct = in_order(rows)
+    units = [(t or "").encode() if operator == "bytes" else tuple((t or "").encode().split()) for _, t in distinct]
+    expected = set()
+    for (k, _), u, cut in zip(distinct, units, without_repeats(units, least)):
+        kept = bytes(b for b, c in zip(u, cut) if not c) if operator == "bytes" else b" ".join(w for w, c in zip(u, cut) if not c)
+        expected.add((k, len(u), sum(cut), sum(c and not (j and cut[j - 1]) for j, c in enumerate(cut)), kept))
+    assert got == expected
+
+
+def test_dedup_of_an_empty_table_and_texts_of_one_id(spark):
+    assert suffixes.dedup(docs(spark, [])).count() == 0 and relative.dedup(docs(spark, [])).count() == 0
+    rows = suffixes.dedup(docs(spark, [(1, "a" + PASSAGE), (1, "b" + PASSAGE)])).collect()
+    assert sorted(r["n_removed"] for r in rows) == [0, len(PASSAGE)]
+
+
+def test_dedup_of_long_texts(spark, monkeypatch):
+    for module in (repeats, relative):
+        monkeypatch.setattr(module, "AT_ONCE", 512)
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(1500))
+    rows = [(1, long), (2, long[3000:6000]), (3, "x" * 3000)]
+    for kind, least in ((suffixes.BYTES, 100), (relative.WORDS, 20)):
+        made = repeats.of_batch(kind, np.array([1, 2, 3]), np.zeros(3, np.int32), [t.encode() for _, t in rows], [])
+        covered = {d: np.zeros(len(u), int) for d, u in zip((1, 2, 3), kind.units([t.encode() for _, t in rows]))}
+        for doc, start, windows in zip(made[2], made[4], made[5]):
+            covered[int(doc)][start : start + windows] += 1
+        for c in covered.values():  # every window is in one segment
+            n = max(0, len(c) - least + 1)
+            assert (c[:n] == 1).all() and (c[n:] == 0).all()
+
+
+@pytest.mark.parametrize(("match", "values"), [(suffixes.repeated, 2), (suffixes.repeated, 6), (relative.repeated, 2), (relative.repeated, 9)])
+def test_matchers(match, values):
+    rng = random.Random(values)
+    for _ in range(60):
+        least = rng.choice([3, 5, 8, 20])
+        base = bytes(rng.randrange(values) for _ in range(80))
+        parts = [bytes(rng.randrange(values) for _ in range(rng.randint(0, 9))) + base[(a := rng.randint(0, 60)) : a + rng.randint(0, 60)] + b"\0" for _ in range(rng.randint(1, 9))]
+        text = np.frombuffer(b"".join(parts), np.uint8)
+        remaining = np.concatenate([np.arange(len(p), 0, -1) for p in parts])
+        seen, expected = set(), []
+        for p in parts:
+            for k in range(len(p)):
+                w = p[k : k + least]
+                expected.append(len(w) == least and w in seen)
+                seen.add(w)
+        assert match(text.astype(np.uint64) if match is relative.repeated else text, remaining, least).tolist() == expected
+
+
+def test_sharding(spark):
+    names = [f"s{k}" for k in range(5)]
+    table = sharding.lookup(spark, names, 101).toPandas()
+    assert sorted(table.slot) == list(range(101)) and set(table.shard.value_counts()) <= {20, 21}
+    number = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
+    owner, at = {}, dict.fromkeys(names, 0)
+    while len(owner) < 101:
+        for n in names:
+            while len(owner) < 101:
+                slot = (number("offset:" + n) % 101 + at[n] * (number("step:" + n) % 100 + 1)) % 101
+                at[n] += 1
+                if slot not in owner:
+                    owner[slot] = n
+                    break
+    assert dict(zip(table.slot, table.shard)) == owner
+    fewer = sharding.lookup(spark, names[:4], 101).toPandas()
+    moved = table.merge(fewer, on="slot").query("shard_x != 's4' and shard_x != shard_y")
+    assert len(moved) < 30
+    out = sharding.place(docs(spark, HARD), names, slots=101)
+    assert out.count() == len(HARD) and out.where("doc_id = 4").select("shard").distinct().count() == 1
+    with pytest.raises(ValueError):
+        sharding.lookup(spark, names, 100)
+
+
+def brute_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 3])
+def test_simhash(spark, crowd):
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 9)}" for _ in range(60)]
+    rows = HARD + [(k, " ".join(base[: rng.randint(20, 60)] + [rng.choice("ab")])) for k in range(50, 110)]
+    got = simhash.near_duplicates(docs(spark, rows), crowd=crowd).collect()
+    prints = {t: brute_fingerprint(t) for _, t in rows}
+    values = sorted(set(prints.values()))
+    group = {v: v for v in values}
+    for _ in values:
+        for a in values:
+            for b in values:
+                if bin(a ^ b).count("1") <= 3:
+                    group[a] = group[b] = min(group[a], group[b])
+    least = {}
+    for k, t in rows:
+        g = group[prints[t]]
+        least[g] = min([x for x in (least.get(g), k) if x is not None], default=None)
+    expected = sorted((k, prints[t], least[group[prints[t]]]) for k, t in rows if k is not None)
+    assert sorted((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in got if r["doc_id"] is not None) == expected
+    assert len(got) == len(rows)
+
+
+def test_anchors_cover_every_link(spark):
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.randint(1, 3)):
+            b ^= 1 << bit
+        pairs.append((a, b))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    fps = spark.createDataFrame([(signed(x),) for p in pairs for x in p], "fp long")
+    at = {}
+    for r in simhash.at_anchors(fps).collect():
+        at.setdefault(r["fp"], (set(), set()))[1].add(r["anchor"])
+        if r["home"]:
+            at[r["fp"]][0].add(r["anchor"])
+    assert all(at[signed(a)][0] & at[signed(b)][1] for a, b in pairs)
+
+
+def test_one_of_each(spark):
+    rows = [(1, PASSAGE), (2, PASSAGE), (2, PASSAGE), (3, "another text entirely here"), (3, "another text entirely here"), (None, "no id at all")]
+    assert sorted((r["doc_id"] or 0) for r in simhash.one_of_each(docs(spark, rows)).collect()) == [0, 1, 3]
+
+
+def test_templates(spark):
+    item = "If Anna buys 3 apples at the market for 5 euro each then how much does Anna pay for 3 apples in total"
+    items = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "a plain passage of words that nobody else will ever repeat anywhere")], "item_id long, text string")
+    same = item.replace("Anna", "Paul").replace("3", "17").replace("5 euro", "9 dollars")
+    rows = [(1, "Before. " + item + " after"), (2, "Well, " + same[0].lower() + same[1:]), (3, same.replace("17 apples in", "18 apples in")), (4, None), (5, ""), (6, "nothing like it " * 50), (None, item), (7, "x A plain passage of words that nobody else will ever repeat anywhere y"), (7, "x A plain passage of words that nobody else will ever repeat anywhere y")]
+    got = {(r["doc_id"], r["item_id"]): r["changed"] for r in templates.leaks(docs(spark, rows), items).collect()}
+    assert got[1, 1] is False and got[2, 1] is True and got[None, 1] is False and got[7, 4] is False
+    assert {k for k, _ in got} <= {1, 2, 3, 7, None}
+    assert templates.leaks(docs(spark, []), items).count() == 0 and templates.leaks(docs(spark, rows), items.limit(0)).count() == 0
+
+
+def test_templates_find_planted_passages(spark):
+    d, b = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    planted = {tuple(r) for r in d.alias("d").join(b.alias("b"), F.contains(F.col("d.text"), F.col("b.text"))).select("doc_id", "item_id").collect()}
+    assert planted <= {(r["doc_id"], r["item_id"]) for r in registered.op9_decontamination(spark, SF).collect()}
+
+
+def test_bpe_pieces():
+    import tiktoken
+
+    for name in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"):
+        ranks = bpe.read_ranks(public_tokenizers.path(name))
+        mine, library = bpe.Pieces(ranks), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        rng, every = random.Random(7), list(ranks)
+        for k in range(2000):
+            piece = b"".join(rng.choice(every) for _ in range(rng.randint(1, 5))) if k % 2 else bytes(rng.choice(b"aab ") for _ in range(rng.randint(1, 40)))
+            assert mine.encode(piece.decode("latin-1")) == library._core_bpe.encode_single_piece(piece)
+
+
+def test_bpe_round_trip(spark):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rows = HARD + [(50, "a<|endoftext|>b  \n\n x y 🙂 中文\tß 12345")]
+    got = bpe.encode(docs(spark, rows), path, public_tokenizers.PATTERN, keep=("doc_id", "text")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ids = library.encode_ordinary(r["text"] or "")
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["n_tokens"] == len(ids) and bytes(r["decoded"]) == (r["text"] or "").encode()
+
+
+def test_pipeline(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.trained(d, spark.read.parquet(f"{SF}/labels.parquet"))
+    worth = toxicity.Words(model)
+    rows = [r for r in d.collect() if model.score(worth, r["text"] or "") < 0.5]
+    prints = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows}
+    kept = []
+    group = {k: k for k in prints}
+    for _ in range(3):
+        for a in sorted(prints):
+            for b in prints:
+                if bin(prints[a] ^ prints[b]).count("1") <= 3:
+                    group[b] = min(group[a], group[b])
+    kept = {r["doc_id"]: r for r in rows if group[r["doc_id"]] == r["doc_id"]}
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = {k for k, r in kept.items() if not any(i in r["text"] for i in items)}
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(got) == clean
+    for k, r in got.items():
+        text = "".join(secrets.redacted(docs(spark, [(k, kept[k]["text"])])).first()["text"]) if secrets.spans(kept[k]["text"])[1] else kept[k]["text"]
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r["n_chars"] == len(text)
+
+
+def test_stages_on_hard_rows(spark, tmp_path):
+    d = docs(spark, HARD)
+    for name, stage in corpus_pipeline.STAGES:
+        d.write.parquet(str(tmp_path / name))
+        d = stage(spark, spark.read.parquet(str(tmp_path / name)), SF)
+    assert d.count() > 0
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
