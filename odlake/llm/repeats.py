@@ -4,7 +4,7 @@ A passage is a window of `Kind.window` units (bytes or words). A window is route
 least hash of the short strings in it, so equal windows meet and one window's neighbours mostly share
 its anchor: a segment is a run of windows of one anchor, and few rows stand for a whole text.
 
-1. Every document's segments are found (in numpy, a few MB at a time). Equal segments of one batch are
+1. Every document's segments are found (in numpy, a few MB at a time). Equal segments of one part are
    combined at once; only the first goes on, the others' spans are already known to be repeated.
 2. Per bucket of anchors, equal segments leave their first; anchors left with one segment, in which no
    window can come twice, are done.
@@ -28,13 +28,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buckets, cut, utf8
 
+#: Bytes of text whose segments are combined at a time.
+PART = 8_000_000
 #: Units whose windows are hashed at a time.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 #: Windows in a segment at most; only bounds its size.
 RUN = 256
 #: Estimated segments under an anchor from which its windows are routed by longer strings; documents in this part of the sample.
@@ -209,6 +212,16 @@ def as_rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "bucket", "n", "units", "payload"])
 
 
+def parts_of(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about PART bytes of text, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def of_batch(kind: Kind, ids: np.ndarray, subs: np.ndarray, texts: list[bytes], frequent: list[np.ndarray]) -> list[np.ndarray]:
     """anchor, content, doc_id, sub, start, windows, twice of a batch's segments, by document and start."""
     order = np.lexsort((subs, ids))
@@ -262,8 +275,9 @@ def frequent_anchors(docs: DataFrame, kind: Kind) -> list[np.ndarray]:
         def run(batches, known=tuple(found)):
             for batch in batches:
                 seen = []
-                for codes, ends, *_ in chunks(kind, kind.units(batch.column(2).to_pylist())):
-                    seen.append(raw_anchors(kind, codes, ends, list(known)))
+                for part in parts_of(batch, 2):
+                    for codes, ends, *_ in chunks(kind, kind.units(part.column(2).to_pylist())):
+                        seen.append(raw_anchors(kind, codes, ends, list(known)))
                 anchors, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(n)], ["anchor", "n"])
 
@@ -301,12 +315,12 @@ def without_repeats(docs: DataFrame, kind: Kind, text: str = "text") -> DataFram
 
     def find(batches):
         for batch in batches:
-            columns = of_batch(kind, batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), frequent)
-            columns, first, _ = firsts(columns, True)
-            rows = packed(SEGMENT, columns[0][first] % by_anchor, [c[first] for c in columns])
-            known = spans_of(kind, columns, ~first)
-            rows += packed(SPAN, known[0] % by_anchor, known)
-            yield from as_rows(rows).to_batches()
+            for part in parts_of(batch, 2):
+                columns = of_batch(kind, part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist(), frequent)
+                columns, first, _ = firsts(columns, True)
+                rows = packed(SEGMENT, columns[0][first] % by_anchor, [c[first] for c in columns])
+                known = spans_of(kind, columns, ~first)
+                yield from as_rows(rows + packed(SPAN, known[0] % by_anchor, known)).to_batches()
 
     def settle(rows: pa.Table) -> pa.Table:
         columns, first, new_anchor = firsts(unpacked(rows, SEGMENT), False)
