@@ -5,11 +5,17 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of text that a task works on at a time.
+PART = 8_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,13 +25,24 @@ def utf8(text: str | Column) -> Column:
     return F.coalesce(F.encode(F.col(text) if isinstance(text, str) else text, "UTF-8"), F.lit(b""))
 
 
+def parts_of(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about PART bytes of text, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, make: Callable[[], Callable[[list], list]], as_bytes: bool = False) -> DataFrame:
     """`keep`'s columns and those of `schema`, which make() gives from a batch's whole texts.
 
     make runs once a task and returns the function of one batch: list of texts (null: empty) in,
     one Python list for each column of `schema` out. If that function has an attribute `done`, it is
-    called when the task ends, to drop what a worker need not hold. Spark caps a batch at 64 MB, so
-    memory is bounded by that and by the longest single text. A text that is also kept is sent once.
+    called when the task ends, to drop what a worker need not hold. Spark caps a batch at 64 MB, of
+    which PART bytes of text are worked on at a time, so memory is bounded by these and by the longest
+    single text. A text that is also kept is sent once.
     """
     shared = text in keep and not as_bytes
     inner = df.select(*keep) if shared else df.select(*keep, (utf8(text) if as_bytes else F.col(text)).alias("__text"))
@@ -40,9 +57,9 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, make:
         work, empty = make(), b"" if as_bytes else ""
         try:
             for batch in batches:
-                if batch.num_rows:
-                    made = work([t or empty for t in batch.column(at).to_pylist()])
-                    arrays = [*batch.columns[: len(keep)], *(pa.array(x, t) for x, t in zip(made, types, strict=True))]
+                for part in parts_of(batch, at):
+                    made = work([t or empty for t in part.column(at).to_pylist()])
+                    arrays = [*part.columns[: len(keep)], *(pa.array(x, t) for x, t in zip(made, types, strict=True))]
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
         finally:
             getattr(work, "done", lambda: None)()

@@ -28,14 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, cut, utf8
+from .common import buckets, cut, parts_of, utf8
 
-#: Bytes of text whose segments are combined at a time.
-PART = 8_000_000
 #: Units whose windows are hashed at a time.
 AT_ONCE = 1 << 19
 #: Windows in a segment at most; only bounds its size.
@@ -212,16 +209,6 @@ def as_rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "bucket", "n", "units", "payload"])
 
 
-def parts_of(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about PART bytes of text, one row at least."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART, "right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def of_batch(kind: Kind, ids: np.ndarray, subs: np.ndarray, texts: list[bytes], frequent: list[np.ndarray]) -> list[np.ndarray]:
     """anchor, content, doc_id, sub, start, windows, twice of a batch's segments, by document and start."""
     order = np.lexsort((subs, ids))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parts_of
 
 WINDOW, LEAST, ENOUGH = 8, 4, 6
 #: log2 of the bits of the broadcast table: 4 MB, whatever the benchmark's size.
@@ -129,7 +129,7 @@ def of_documents(docs: DataFrame, table, sizes: list[int], text: str) -> DataFra
 
     def run(batches):
         codes, bits = Codes(), np.frombuffer(table.value, np.uint8)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, 1)):
             ids, texts = (c.to_pylist() for c in batch.columns)
             start = 0
             while start < len(texts):
