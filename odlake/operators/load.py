@@ -9,8 +9,11 @@ they were. The mark is taken from the rows that were published.
 from __future__ import annotations
 
 import datetime as dt
+import re
+import threading
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,11 +82,12 @@ class Target:
     where: str | None = None
     config_hash: str = ""
     inclusive: bool = False
+    limit: int = 0
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.notes = spark, root, threading.Lock()
 
     def meta(self, name: str, kind: str) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_meta/{name}")
@@ -91,7 +95,8 @@ class Store:
         return self.spark.read.schema(kind).parquet(f"{self.root}/_meta/{name}") if there else self.spark.createDataFrame([], kind)
 
     def note(self, name: str, kind: str, *row) -> None:
-        self.spark.createDataFrame([row], kind).coalesce(1).write.mode("append").parquet(f"{self.root}/_meta/{name}")
+        with self.notes:  # datasets may load at the same time
+            self.spark.createDataFrame([row], kind).coalesce(1).write.mode("append").parquet(f"{self.root}/_meta/{name}")
 
     def runs(self) -> DataFrame:
         return last_events(self.meta("sync_runs", RUNS))
@@ -128,23 +133,30 @@ class Store:
         old = None if replace else self.read(table)
         return self.publish(table, df if old is None else old.unionByName(df), version)
 
-    def run(self, targets: Sequence[Target], on_error: str = "continue") -> DataFrame:
-        """Loads each target; its run log is returned. After a failure, abort records the others as aborted."""
-        if on_error not in ("continue", "abort"):
-            raise ValueError("on_error is continue or abort")
-        run_id, failed = new_run_id(), False
-        for t in targets:
+    def run(self, targets: Sequence[Target], on_error: str = "continue", concurrency: int = 4) -> DataFrame:
+        """Loads the targets, some at a time; the run's log is returned. After a failure, abort records those not begun as aborted."""
+        if on_error not in ("continue", "abort") or concurrency < 1:
+            raise ValueError("on_error is continue or abort, concurrency at least 1")
+        run_id, failed = new_run_id(), threading.Event()
+
+        def load(t: Target) -> None:
             began = _now()
-            event = lambda end, status, rows=None, error=None: self.note("sync_runs", RUNS, run_id, t.dataset_id, t.table, began, end, status, rows, error, None if end is None else int((end - began) / dt.timedelta(milliseconds=1)), t.config_hash)  # noqa: B023, E731
-            if failed and on_error == "abort":
-                event(began, "aborted")
-                continue
+
+            def event(end: dt.datetime | None, status: str, rows: int | None = None, error: str | None = None) -> None:
+                took = None if end is None else int((end - began) / dt.timedelta(milliseconds=1))
+                self.note("sync_runs", RUNS, run_id, t.dataset_id, t.table, began, end, status, rows, error, took, t.config_hash)
+
+            if failed.is_set() and on_error == "abort":
+                return event(began, "aborted")
             event(None, "running")
             try:
                 event(_now(), "ok", self.sync(t, run_id))
             except Exception as error:  # one dataset's failure is a result
-                failed = True
+                failed.set()
                 event(_now(), "failed", None, str(error).split("\n")[0][:2000])
+
+        with ThreadPoolExecutor(1 if on_error == "abort" else concurrency) as pool:
+            list(pool.map(load, targets))
         return self.runs().where(F.col("run_id") == run_id)
 
     def tally(self) -> DataFrame:
@@ -186,11 +198,42 @@ class Store:
         """The typed columns, and the mark's own column, parsed leniently."""
         text = F.try_variant_get("v", f"$['{hwm}']", "string")
         marked = self._filtered(rows, t).withColumn(HWM, lenient_timestamp(text))
+        if t.limit:  # in the mark's order, so that no row left behind is below the mark
+            marked = marked.orderBy(HWM, F.try_variant_get("v", f"$['{schema.SYSTEM_ID}']", "string")).limit(t.limit)
         return schema.typed(marked, columns, keyed=True, keep=(*keep, HWM))
 
     def mark(self, dataset_id: str, mark, replaced, run_id: str, hwm: str) -> None:
         self.note("dataset_state", STATE, dataset_id, mark, replaced, run_id, hwm, _now())
 
 
+def refresh_catalogs(stores: Mapping[str, Store], entries: Callable[[str], DataFrame]) -> DataFrame:
+    """portal, datasets, error: each portal's catalog replaced by entries(portal); one portal's failure is its row's error."""
+    made = []
+    for name, store in sorted(stores.items()):
+        try:
+            store.replace_catalog(entries(name), new_run_id())
+            stored = store.read("catalog")
+            made.append((name, 0 if stored is None else stored.count(), None))
+        except Exception as error:
+            made.append((name, None, str(error).split("\n")[0][:2000]))
+    return next(iter(stores.values())).spark.createDataFrame(made, "portal string, datasets long, error string")
+
+
+def attach(stores: Mapping[str, Store], tables: Mapping[str, Sequence[str]]) -> None:
+    """A schema of tables for each store, by alias: <alias>.<table> and <alias>_meta.catalog over the live versions."""
+    for alias, store in sorted(stores.items()):
+        if not re.fullmatch("[a-z][a-z0-9_]*", alias):
+            raise ValueError(f"alias {alias!r} is no name")
+        if store.live("catalog") is None:
+            raise ValueError(f"{store.root} is no store: it has no catalog")
+        for space, names in ((alias, tables.get(alias, ())), (f"{alias}_meta", ("catalog",))):
+            store.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {space}")
+            for name in names:
+                if (version := store.live(name)) is None:
+                    raise ValueError(f"{alias} has no table {name}")
+                store.spark.sql(f"DROP TABLE IF EXISTS {space}.`{name}`")
+                store.spark.catalog.createTable(f"{space}.`{name}`", path=f"{store.root}/{name}/v={version}", source="parquet")
+
+
 def _now() -> dt.datetime:
     return dt.datetime.now(dt.UTC).replace(tzinfo=None)

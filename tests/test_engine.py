@@ -329,3 +329,35 @@ def test_catalog_entries_and_metadata(spark):
     meta = {"columns": [{"fieldName": "a", "dataTypeName": "number"}, {"fieldName": ":@x", "dataTypeName": "number"}]}
     columns = portal.metadata_columns(portal.parsed(spark.createDataFrame([(json.dumps(meta),)], "value string")))
     assert [r["field_name"] for r in schema.usable(columns).collect()] == ["a"]
+
+
+def test_limit_goes_by_the_mark(spark, tmp_path):
+    store = load.Store(spark, str(tmp_path))
+    rows = [row(k, 9 - k, k) for k in range(5)]
+    store.run([target(spark, rows, limit=2)])
+    assert set(table_of(store)) == {"r4", "r3"}
+    store.run([target(spark, rows, limit=2)])
+    store.run([target(spark, rows)])
+    assert set(table_of(store)) == {f"r{k}" for k in range(5)}
+
+
+def test_attach_and_query_over_portals(spark, tmp_path, entries):
+    stores = {name: load.Store(spark, str(tmp_path / name)) for name in ("north", "south")}
+    done = load.refresh_catalogs(stores, lambda name: entries if name == "north" else entries.where(F.raise_error(F.lit("down")).isNull()))
+    assert [(r["portal"], r["datasets"], r["error"] is None) for r in done.orderBy("portal").collect()] == [("north", 5, True), ("south", None, False)]
+    with pytest.raises(ValueError, match="no catalog"):
+        load.attach(stores, {})
+    stores["south"].replace_catalog(entries, "1")
+    for k, store in enumerate(stores.values()):
+        store.publish("items", spark.createDataFrame([("a",), (f"b{k}",)], "id string"), "1")
+    load.attach(stores, {"north": ["items"], "south": ["items"]})
+    assert query.run(spark, "SELECT n.id FROM north.items n JOIN south.items s ON n.id = s.id").rows == [("a",)]
+    assert query.run(spark, "SELECT count(*) FROM north_meta.catalog").rows == [(5,)]
+
+
+def test_several_datasets_at_a_time(spark, tmp_path):
+    store = load.Store(spark, str(tmp_path))
+    some = [replace(target(spark, [row(0, 0, k if k != 2 else "bad")]), dataset_id=f"d{k}", table=f"t{k}") for k in range(5)]
+    log = {r["dataset_id"]: r["status"] for r in store.run(some).collect()}
+    assert log == {f"d{k}": "failed" if k == 2 else "ok" for k in range(5)}
+    assert store.tally().first().asDict() | {"run_id": ""} == {"run_id": "", "planned": 5, "ok": 4, "failed": 1, "aborted": 0}
