@@ -23,7 +23,7 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    return toxicity.scored(docs, model, keep=tuple(docs.columns), score="__score", predicted="__toxic").where("__toxic = 0").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,12 +157,12 @@ def _bounded(rows: DataFrame, most: int):
         yield r["doc_id"], r["text"], r["toxic"]
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, score (0 to 1) and predicted (1 from 0.5)."""
+def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """`keep`, and under the given names the score (0 to 1) and what is predicted (1 from 0.5)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def make():
         worth = Words(shared.value)
         return lambda texts: [[shared.value.score(worth, t) for t in texts]]
 
-    return map_texts(docs, text, keep, "score double", make).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return map_texts(docs, text, keep, f"{score} double", make).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))

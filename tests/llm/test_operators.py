@@ -17,12 +17,13 @@ from odlake.llm import bpe, graph, relative, repeats, secrets, sharding, simhash
 from odlake.llm import queries as registered
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, kind string, hash string, shard string"
+CLASHING = "size kind hash shard score predicted fp bucket key sub units spans slots ids node label anchor block slot names".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 def docs(spark, texts):
     """Documents with extra columns whose names clash with those the operators use."""
-    return spark.createDataFrame([(k, t, "en", "s", None, 1, "x", "y", "z") for k, t in texts], SCHEMA)
+    return spark.createDataFrame([(k, t, "en", "s", None, *CLASHING) for k, t in texts], SCHEMA)
 
 
 PASSAGE = " ".join(f"word{k} of the passage" for k in range(30))
