@@ -17,13 +17,14 @@ from functools import lru_cache
 from itertools import islice, pairwise
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
 from .common import map_texts
 
 #: Distinct pieces that a worker remembers before it begins anew; bounds its memory, not its results.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Pieces of a text that are put together at a time.
 AT_ONCE = 200_000
 
@@ -40,7 +41,7 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """piece -> its ids as little-endian 32-bit numbers, and the bytes that those ids decode to."""
+    """piece -> its ids as little-endian 32-bit numbers."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks, self.bytes = {b.decode("latin-1"): i for b, i in ranks.items()}, {i: b for b, i in ranks.items()}
@@ -53,13 +54,15 @@ class Pieces(dict):
         self.shorter = {i: next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ranks), -1) for t, i in self.ranks.items()}
         self.pairs: dict[int, bool] = {}
 
-    def __missing__(self, piece: str) -> tuple[bytes, bytes]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self.encode(piece.encode().decode("latin-1"))
-        made = self[piece] = b"".join([self.packed[i] for i in ids]), b"".join([self.bytes[i] for i in ids])
+        made = self[piece] = b"".join([self.packed[i] for i in self.encode(piece.encode().decode("latin-1"))])
         return made
 
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join([self.bytes[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
     def fit(self, pair: int) -> bool:
         a, b = pair >> 32, pair & 0xFFFFFFFF
         known = self.pairs[pair] = merged(self.bytes[a] + self.bytes[b], self.raw) == [a, b]
@@ -125,9 +128,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
                 found = (m[0] for m in split.finditer(t)) if len(t) > 4 * AT_ONCE else iter(split.findall(t))
                 a, b = [], []
                 while some := list(islice(found, AT_ONCE)):
-                    got = [known[p] for p in some]
-                    a.append(b"".join([x for x, _ in got]))
-                    b.append(b"".join([y for _, y in got]))
+                    a.append(b"".join([known[p] for p in some]))
+                    b.append(known.decode(a[-1]))
                 ids.append(b"".join(a))
                 decoded.append(b"".join(b))
                 n.append(len(ids[-1]) // 4)

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from odlake.session import ship
+
 
 #: Bytes of text that a task works on at a time.
 PART = 8_000_000
@@ -44,6 +46,7 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, make:
     which PART bytes of text are worked on at a time, so memory is bounded by these and by the longest
     single text. A text that is also kept is sent once.
     """
+    ship(df.sparkSession)
     shared = text in keep and not as_bytes
     inner = df.select(*keep) if shared else df.select(*keep, (utf8(text) if as_bytes else F.col(text)).alias("__text"))
     kept, at = df.select(*keep).schema, list(keep).index(text) if shared else len(keep)
@@ -53,6 +56,7 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, make:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
+        pa.set_memory_pool(pa.system_memory_pool())  # which gives freed batches back
         types = [to_arrow_type(f.dataType) for f in out]
         work, empty = make(), b"" if as_bytes else ""
         try:

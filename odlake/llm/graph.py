@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from odlake.session import ship
+
 from .common import cut
 
 SHARD, BLOCK = 4096, 4096
@@ -133,6 +135,7 @@ def vectors_of(table: DataFrame, key: str, vector: str) -> DataFrame:
 
 def index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     """dim, shard, vector, ids (the k + 1 smallest of the vector), node, edges, entry: a row for each node."""
+    ship(vectors.sparkSession)
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     nodes = vectors.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     nodes = cut(nodes)

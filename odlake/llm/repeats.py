@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from odlake.session import ship
+
 from .common import buckets, cut, parts_of, utf8
 
 #: Units whose windows are hashed at a time.
@@ -292,6 +294,7 @@ def raw_anchors(kind: Kind, codes: np.ndarray, ends: np.ndarray, frequent: list[
 def without_repeats(docs: DataFrame, kind: Kind, text: str = "text") -> DataFrame:
     """doc_id, n_units, n_removed, n_spans (maximal removed runs), kept (what is left of the text, as bytes), spans (start and end of each)."""
     spark = docs.sparkSession
+    ship(spark)
     docs, size = keyed(docs, text)
     unit = 1 if kind.dtype == "<u1" else 6
     by_anchor = buckets(spark, size // unit // (kind.window // 3), 200_000)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from odlake.session import ship
+
 from .common import cut, parts_of
 
 WINDOW, LEAST, ENOUGH = 8, 4, 6
@@ -167,6 +169,7 @@ def bit_table(windows: DataFrame) -> bytes:
 
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows (matched), coverage (of the item's windows), changed (whether a slot holds another value)."""
+    ship(docs.sparkSession)
     known = cut(of_items(items))
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most WINDOW
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(known))
