@@ -15,7 +15,7 @@ from odlake.session import ship
 
 
 #: Bytes of text that a task works on at a time.
-PART = 8_000_000
+PART = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +27,12 @@ def utf8(text: str | Column) -> Column:
     return F.coalesce(F.encode(F.col(text) if isinstance(text, str) else text, "UTF-8"), F.lit(b""))
 
 
-def parts_of(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about PART bytes of text, one row at least."""
+def parts_of(batch: pa.RecordBatch, text: int, most: int = PART) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes of text, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART, "right")))
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, to - at)
         at = to
 

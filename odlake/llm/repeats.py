@@ -35,6 +35,8 @@ from odlake.session import ship
 
 from .common import buckets, cut, parts_of, utf8
 
+#: Bytes of text whose equal segments are combined before they are shuffled.
+TOGETHER = 8_000_000
 #: Units whose windows are hashed at a time.
 AT_ONCE = 1 << 19
 #: Windows in a segment at most; only bounds its size.
@@ -264,7 +266,7 @@ def frequent_anchors(docs: DataFrame, kind: Kind) -> list[np.ndarray]:
         def run(batches, known=tuple(found)):
             for batch in batches:
                 seen = []
-                for part in parts_of(batch, 2):
+                for part in parts_of(batch, 2, TOGETHER):
                     for codes, ends, *_ in chunks(kind, kind.units(part.column(2).to_pylist())):
                         seen.append(raw_anchors(kind, codes, ends, list(known)))
                 anchors, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -305,7 +307,7 @@ def without_repeats(docs: DataFrame, kind: Kind, text: str = "text") -> DataFram
 
     def find(batches):
         for batch in batches:
-            for part in parts_of(batch, 2):
+            for part in parts_of(batch, 2, TOGETHER):
                 columns = of_batch(kind, part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist(), frequent)
                 columns, first, _ = firsts(columns, True)
                 rows = packed(SEGMENT, columns[0][first] % by_anchor, [c[first] for c in columns])
