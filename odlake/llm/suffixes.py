@@ -32,17 +32,23 @@ def sorted_suffixes(text: np.ndarray, remaining: np.ndarray, depth: int) -> np.n
         byte[remaining <= k] = 0
         key = key << np.uint64(8) | byte
     key = key << np.uint64(8) | np.minimum(remaining, 7).astype(np.uint64)
-    length = 7
+    order = np.argsort(key)
+    keys, length = key[order], 7
+    head = np.r_[True, keys[1:] != keys[:-1]]
+    rank = np.empty(n, np.int64)  # the row at which a place's class of equal beginnings starts
     while True:
-        order = np.argsort(key)
-        keys = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[True, keys[1:] != keys[:-1]])
-        if length >= depth or rank[order[-1]] == n:
+        begins = np.flatnonzero(head)
+        rank[order] = np.repeat(begins, np.diff(np.r_[begins, n]))
+        rows = np.flatnonzero(~(head & np.r_[head[1:], True]))  # of classes of several; only these are sorted on
+        if length >= depth or not len(rows):
             return order
         step = min(length, depth - length)
-        after = np.where(remaining > step, rank[np.minimum(at + step, n - 1)], 0)
-        key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
+        places = order[rows]
+        after = np.where(remaining[places] > step, rank[np.minimum(places + step, n - 1)] + 1, 0)
+        key = rank[places].astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
+        sort = np.argsort(key)
+        order[rows], key = places[sort], key[sort]
+        head[rows] = np.r_[True, key[1:] != key[:-1]]
         length += step
 
 
@@ -64,6 +70,7 @@ def shared_prefixes(text: np.ndarray, remaining: np.ndarray, order: np.ndarray,
     back[by_byte] = np.arange(m + n) - none + m
     met = np.zeros(m + n + 1, bool)
     met[[0, m + n]] = True
+    slot = np.empty(m + n, np.int64)
     left, right = np.array([0]), np.array([m + n])
     for _ in range(depth):
         size = right - left
@@ -72,7 +79,12 @@ def shared_prefixes(text: np.ndarray, remaining: np.ndarray, order: np.ndarray,
         some = transform[rows] >= 0
         rows, interval = rows[some], interval[some]
         place, byte = back[rows], transform[rows]
-        by_place = np.argsort(place)
+        if 8 * len(place) > m + n:
+            slot[:] = -1
+            slot[place] = np.arange(len(place))
+            by_place = slot[slot >= 0]
+        else:
+            by_place = np.argsort(place)
         place, interval, byte = place[by_place], interval[by_place], byte[by_place]
         fresh = np.flatnonzero(np.r_[True, (interval[1:] != interval[:-1]) | (byte[1:] != byte[:-1])]) if len(place) else np.zeros(0, np.int64)
         left, right = place[fresh], place[np.r_[fresh[1:], len(place)] - 1] + 1 if len(place) else left[:0]
