@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odlake.llm import bpe, secrets, simhash, templates, toxicity
+from odlake.llm import bpe, copies, secrets, templates, toxicity
 from odlake.llm.common import shared_folder, table, without
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -27,7 +27,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs).select(*docs.columns)
+    return copies.one_of_each(docs)
 
 
 def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
