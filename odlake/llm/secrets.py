@@ -1,8 +1,10 @@
 """Secrets in texts, by lexing assignments.
 
 Source and configuration syntax (name = literal, "name": literal, NAME := literal, name => literal,
-export and let forms alike) is lexed into name-value pairs. A value is a literal, or a name whose
+export, let and typed forms alike) is lexed into name-value pairs. A value is a literal, or a name whose
 literal was assigned before in the same text: constants are propagated, also through several names.
+On a configuration line, which begins with the name, an unquoted value runs to the next white space,
+and one word that ends the line and is no known name is a literal, too.
 A pair scores by its target's name (whole sensitive words, split at underscores, dashes, dots and
 capitals) and by its literal (length, kinds of characters, no placeholder). A pair of at least
 `THRESHOLD` gives the literal's span, of kind "literal", unless a base span covers it already.
@@ -25,9 +27,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "literal")
+#: A type between a name and its value: qualified, generic, array, pointer, optional and union types.
+TYPE = r"""(?:&(?:'[a-z]+[ \t]+)?(?:mut[ \t]+)?|\*)?[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::)[A-Za-z_][A-Za-z0-9_]*)*(?:[<\[][^\n=;"(){}]{0,80}[>\]])?[?!]?"""
 PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)(?:\[?["']\]?)?[ \t]*(?::[A-Za-z]+[ \t]*=|:=|=>|[:=](?![:=]))[ \t]*(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|(?P<bare>[A-Za-z0-9+/_.=-]+))"""
+    rf"""(?<![A-Za-z0-9_])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)(?:\[?["']\]?)?(?:[ \t]*\??:[ \t]*{TYPE}(?:[ \t]*\|[ \t]*{TYPE})*[ \t]*=(?![=>])|[ \t]+string[ \t]*=(?![=>])|[ \t]*(?::=|=>|[:=](?![:=])))[ \t]*(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|(?P<bare>[A-Za-z0-9+/_.=-]+)|(?P<odd>)(?=[^\s"'\[({{]))"""
 )
+#: What may stand before the name of a configuration line; the rest of a value; and what only looks like one.
+BEFORE = re.compile(r"""[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?["']?\Z""")
+TOKEN, LAST, EXPRESSION = re.compile(r"\S*"), re.compile(r"[ \t\r]*,?[ \t\r]*(?:[ \t][#;][^\n]*)?(?:\n|\Z)"), re.compile(r"[A-Za-z_][\w.]*[(\[{].*|\$\{?[A-Za-z_]\w*\}?")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Fixed weights of the words in a target's name.
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "auth": 2, "private": 2, "key": 1, "access": 1, "api": 1, "signing": 1, "encryption": 1, "client": 1}
@@ -49,12 +56,23 @@ def literal_score(literal: str) -> int:
 def lexed(text: str) -> set[tuple[int, int]]:
     """The spans of literals that reach a sensitive name."""
     found, known = set(), {}
+    begin = seen = 0  # of the line, and how far lines were looked for
     for m in PAIR.finditer(text):
-        name, at = m["name"], next(k for k in ("double", "single", "bare") if m[k] is not None)
+        begin, seen = max(begin, text.rfind("\n", seen, m.start()) + 1), m.start()
+        name, at = m["name"], next(k for k in ("double", "single", "bare", "odd") if m[k] is not None)
         literal, start, end = m[at], m.start(at), m.end(at)
+        line = False
+        if at in ("bare", "odd") and BEFORE.match(text, begin, m.start()):
+            whole = TOKEN.match(text, start)[0].rstrip(",;")
+            if not EXPRESSION.fullmatch(whole):
+                line = text[start + len(whole) : start + len(whole) + 1] != ";"  # a statement's end
+                literal, end = (whole, start + len(whole)) if whole not in known else (literal, end)
+        if at == "odd" and start == end:
+            known.pop(name, None)
+            continue
         if at == "bare" and literal in known:
             literal, start, end = known[literal]
-        elif at == "bare" and re.fullmatch(r"[A-Za-z_]+", literal):  # a name of no known constant
+        elif at == "bare" and re.fullmatch(r"[A-Za-z_]+", literal) and not (line and LAST.match(text, end)):  # a name of no known constant
             known.pop(name, None)
             continue
         known[name] = literal, start, end
