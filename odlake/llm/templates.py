@@ -4,15 +4,18 @@ Words are lower-cased, and numbers, the units after numbers, and names (capitali
 become typed placeholders; once with names kept as words, and once with names as placeholders. Every
 window of `WINDOW` canonical words with enough plain words is hashed, and documents' windows join the
 benchmark's by hash. Matches on one diagonal (same offset between document and item) belong together;
-what stands in the slots must agree along it: one value of the item always maps to one value of the
-document, and different values to different ones. So a question with other numbers or names is caught,
+what stands in the slots should agree along it: a value of the item is bound to the document's value
+that most windows have for it (of equally many, to itself), and windows with other values do not count.
+So a question with other numbers or names is caught, also where values coincide or one was altered,
 and a chance hit of equal templates is not. An item is leaked by a document if enough consistent
-windows match: half of the item's, or `ENOUGH`, whichever is less.
+windows match: half of the item's windows that have enough plain words but `FEW` at least, or half of
+all its windows, or `ENOUGH`, whichever is least. An item of too few such windows is compared whole,
+by all its windows of words with their values, so that its exact copies are found.
 
 The join is a shuffle join; before it, documents' windows pass a bit table of fixed size that the
 benchmark's hashes set, which is broadcast and only ever lets too much through.
 
-Cases: null and empty texts, and items under `LEAST` plain words, match nothing; items shorter than a
+Cases: null and empty texts, and items under `LEAST` words, match nothing; items shorter than a
 window are one window; equal items are each reported; repeated rows are reported once; a null doc_id or
 item_id is reported as such; columns other than those read are ignored.
 """
@@ -20,6 +23,7 @@ item_id is reported as such; columns other than those read are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -31,7 +35,9 @@ from odlake.session import ship
 
 from .common import cut, parts_of
 
-WINDOW, LEAST, ENOUGH = 8, 4, 6
+WINDOW, LEAST, ENOUGH, FEW = 8, 4, 6, 3
+#: The layer of words with their values, beside the two of templates (names as words, names as placeholders).
+RAW = 2
 #: log2 of the bits of the broadcast table: 4 MB, whatever the benchmark's size.
 BITS = 25
 #: The units that follow numbers.
@@ -59,7 +65,7 @@ class Codes(dict):
 
 
 class Canonical:
-    """A text's canonical words, twice: with names as words, and with names as placeholders."""
+    """A text's canonical words, twice: with names as words, and with names as placeholders; and as they are."""
 
     def __init__(self, codes: Codes, texts: list[str]) -> None:
         """The texts' words follow each other; `text` tells which a word is of."""
@@ -81,9 +87,11 @@ class Canonical:
                 word[slot == k] = np.uint64(h)
             self.slots.append(slot)
             self.words.append(word)
+        self.slots.append(np.full(len(coded), PLAIN, np.int8))
+        self.words.append(coded)
 
     def windows(self, names: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First words and hashes of the windows of one text each that have enough plain words."""
+        """First words and hashes of the windows of one text each that have enough plain words; of RAW, all."""
         word, n = self.words[names], len(self.kept) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -94,7 +102,7 @@ class Canonical:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-        h += np.uint64(names + 2 * size)
+        h += np.uint64(names + 4 * size)
         plain = np.cumsum(np.r_[0, self.slots[names] == PLAIN])
         at = np.flatnonzero((self.text[:n] == self.text[size - 1 :]) & (plain[size:] - plain[:-size] >= LEAST))
         return at, h[at].view(np.int64)
@@ -105,7 +113,7 @@ class Canonical:
 
 
 def of_items(items: DataFrame) -> DataFrame:
-    """item_id, size, windows, names, at, hash, slots: a row for each window of each item."""
+    """item_id, size, windows, need, names, at, hash, slots: a row for each window of each item; windows: of these, how many; need: how many must match."""
 
     def run(batches):
         codes = Codes()
@@ -116,17 +124,20 @@ def of_items(items: DataFrame) -> DataFrame:
                 size = min(WINDOW, len(made.kept))
                 if size < LEAST:
                     continue
-                for names in (0, 1):
-                    for at, h in zip(*made.windows(names, size), strict=True):
-                        rows.append((item_id, size, len(made.kept) - size + 1, names, int(at), int(h), made.filled(names, at, size)))
+                half, found = -(-(len(made.kept) - size + 1) // 2), [made.windows(names, size) for names in (0, 1, RAW)]
+                need = [min(half, ENOUGH, max(-(-len(at) // 2), FEW)) for at, _ in found[:RAW]] + [len(found[RAW][0])]
+                reached = [k for k in (0, 1) if len(found[k][0]) >= need[k]]
+                for names in reached or [RAW]:
+                    for at, h in zip(*found[names], strict=True):
+                        rows.append((item_id, size, len(found[names][0]), need[names], names, int(at), int(h), made.filled(names, at, size)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], ["item_id", "size", "windows", "names", "at", "hash", "slots"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], ["item_id", "size", "windows", "need", "names", "at", "hash", "slots"])
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, size int, windows long, names int, at long, hash long, slots array<string>")
+    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, size int, windows long, need long, names int, at long, hash long, slots array<string>")
 
 
-def of_documents(docs: DataFrame, table, sizes: list[int], text: str) -> DataFrame:
-    """doc_id, row, at, hash, slots: the windows whose hash may be an item's."""
+def of_documents(docs: DataFrame, table, layers: list[tuple[int, int]], text: str) -> DataFrame:
+    """doc_id, row, at, hash, slots: the windows whose hash may be an item's. layers: each names and size of the items' windows."""
     fields = ["doc_id", "row", "at", "hash", "slots"]
 
     def run(batches):
@@ -141,14 +152,13 @@ def of_documents(docs: DataFrame, table, sizes: list[int], text: str) -> DataFra
                     stop += 1
                 made, rows = Canonical(codes, texts[start:stop]), []
                 first = np.searchsorted(made.text, np.arange(stop - start))
-                for names in (0, 1):
-                    for size in sizes:
-                        at, h = made.windows(names, size)
-                        place = h.view(np.uint64) >> np.uint64(64 - BITS)
-                        hit = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-                        for a, x in zip(at[hit].tolist(), h[hit].tolist()):
-                            k = int(made.text[a])
-                            rows.append((ids[start + k], crc32(texts[start + k].encode()), a - int(first[k]), x, made.filled(names, a, size)))
+                for names, size in layers:
+                    at, h = made.windows(names, size)
+                    place = h.view(np.uint64) >> np.uint64(64 - BITS)
+                    hit = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                    for a, x in zip(at[hit].tolist(), h[hit].tolist()):
+                        k = int(made.text[a])
+                        rows.append((ids[start + k], crc32(texts[start + k].encode()), a - int(first[k]), x, made.filled(names, a, size)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], fields)
                 start = stop
@@ -167,18 +177,35 @@ def bit_table(windows: DataFrame) -> bytes:
     return table.tobytes()
 
 
+def bound(hits: list[dict]) -> tuple[int, bool]:
+    """Of a diagonal's windows, how many agree with the document's value that most have for each value of the item; and whether any slot holds another value."""
+    votes = Counter((s["item"], s["doc"]) for h in hits for s in h["slots"])
+    most: dict[str, tuple] = {}
+    for (item, doc), n in votes.items():
+        most[item] = max(most.get(item, (0, False, "")), (n, item == doc, doc))
+    agree = {h["at"] for h in hits if all(most[s["item"]][2] == s["doc"] for s in h["slots"])}
+    return len(agree), any(item != doc for item, doc in votes)
+
+
+def consistent(batches):
+    """Runs with n_windows and changed in place of hits."""
+    for batch in batches:
+        made = [bound(hits) for hits in batch.column("hits").to_pylist()]
+        kept = [c for c in batch.schema.names if c != "hits"]
+        arrays = [pa.array([n for n, _ in made], pa.int64()), pa.array([c for _, c in made], pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=[*kept, "n_windows", "changed"])
+
+
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows (matched), coverage (of the item's windows), changed (whether a slot holds another value)."""
     ship(docs.sparkSession)
     known = cut(of_items(items))
-    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most WINDOW
+    layers = sorted(tuple(r) for r in known.select("names", "size").distinct().collect())  # at most 3 * WINDOW
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(known))
-    hits = of_documents(docs, shared, sizes, text).alias("d").join(known.alias("i"), F.expr("d.hash = i.hash"))
+    hits = of_documents(docs, shared, layers, text).alias("d").join(known.alias("i"), F.expr("d.hash = i.hash"))
     where = ["doc_id", "row", "item_id", "names", "diagonal"]
-    hits = hits.selectExpr("doc_id", "row", "item_id", "names", "d.at - i.at as diagonal", "i.at as at", "windows", "zip_with(i.slots, d.slots, (x, y) -> struct(x as item, y as doc)) as slots")
-    runs = hits.groupBy(*where).agg(F.countDistinct("at").alias("n_windows"), F.max("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    values = F.size("slots")
-    agree = (F.size(F.array_distinct(F.col("slots.item"))) == values) & (F.size(F.array_distinct(F.col("slots.doc"))) == values)
-    enough = F.col("n_windows") >= F.least(F.ceil(F.col("windows") / 2), F.lit(ENOUGH))
-    best = F.max_by(F.struct("n_windows", (F.col("n_windows") / F.col("windows")).alias("coverage"), F.exists("slots", lambda s: s["item"] != s["doc"]).alias("changed")), F.struct("n_windows", -F.col("names"), -F.col("diagonal")))
-    return runs.where(agree & enough).groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
+    hits = hits.selectExpr("doc_id", "row", "item_id", "names", "d.at - i.at as diagonal", "i.at as at", "windows", "need", "zip_with(i.slots, d.slots, (x, y) -> struct(x as item, y as doc)) as slots")
+    runs = hits.groupBy(*where).agg(F.countDistinct("at").alias("n"), F.max("windows").alias("windows"), F.max("need").alias("need"), F.collect_set(F.struct("at", "slots")).alias("hits")).where("n >= need")
+    found = runs.drop("n", "row").mapInArrow(consistent, "doc_id long, item_id long, names int, diagonal long, windows long, need long, n_windows long, changed boolean").where("n_windows >= need")
+    best = F.max_by(F.struct("n_windows", (F.col("n_windows") / F.col("windows")).alias("coverage"), "changed"), F.struct("n_windows", -F.col("names"), -F.col("diagonal")))
+    return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
