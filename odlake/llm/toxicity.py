@@ -7,11 +7,12 @@ toxic as its most toxic window. Embeddings and softmax are trained together by A
 windows of each labelled text, then on the window that the model finds most toxic.
 
 The model is fitted on the driver on a bounded sample of labelled rows: `POSITIVE` and `NEGATIVE` rows
-at most, and `TRAIN_BYTES` of text. Every whole text is scored, in Arrow batches.
+at most, of ids that the documents have, and `TRAIN_BYTES` characters of text; a text that does not fit
+is left out, and the rest still taken. Every whole text is scored, in Arrow batches.
 
 Cases: null and empty texts, and those without words, score by the bias alone; labels that are null,
-repeated or of unknown documents are ignored, reduced to their maximum, and ignored; without any label
-of both classes, all scores are 0; repeated rows score alike; other columns pass.
+repeated or of unknown documents are ignored, reduced to their maximum, and ignored; without documents
+labelled with each class, all scores are 0, but if only their texts' size keeps a class out, that fails; repeated rows score alike; other columns pass.
 """
 
 from __future__ import annotations
@@ -138,23 +139,28 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 def trained(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> Model:
     """A model of `toxic` from a bounded sample of the labelled rows that are not held out."""
     each = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = [each.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k, most in ((1, positive), (0, negative))]
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
+    fit_in = F.length("text") <= TRAIN_BYTES
+    known = each.where("toxic in (0, 1)").join(texts.where(fit_in).select("doc_id"), "doc_id", "left_semi")
+    order = F.xxhash64("doc_id")
+    some = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(most) for k, most in ((1, positive), (0, negative))]
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in some[0].union(some[1]).collect()], "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # at most positive + negative ids
-    texts, toxic, seen = [], [], 0
-    for doc_id, text, y in sorted(_bounded(rows.orderBy(F.xxhash64("doc_id"), "text").limit(positive + negative), TRAIN_BYTES)):
-        texts.append(text)
-        toxic.append(int(y))
-    return fit(texts, toxic)
-
-
-def _bounded(rows: DataFrame, most: int):
-    seen = 0
-    for r in rows.toLocalIterator():
-        seen += len(r["text"])
-        if seen > most:
-            return
-        yield r["doc_id"], r["text"], r["toxic"]
+    sizes = texts.where(fit_in).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", order.alias("at"), F.xxhash64("text").alias("hash"), F.length("text").alias("n")).distinct()
+    rows = [r for k, most in ((1, positive), (0, negative)) for r in sizes.where(F.col("toxic") == k).orderBy("at", "doc_id", "hash").limit(most).collect()]
+    picked, seen = [], 0
+    for r in sorted(rows, key=lambda r: (r["at"], r["doc_id"], r["hash"])):
+        if seen + r["n"] <= TRAIN_BYTES:  # what does not fit is left out, and the rest still taken
+            seen += r["n"]
+            picked.append((r["doc_id"], r["hash"], r["toxic"]))
+    if len({y for *_, y in picked}) < 2:
+        found = {r["toxic"] for r in each.where("toxic in (0, 1)").join(texts.select("doc_id"), "doc_id", "left_semi").select("toxic").distinct().collect()}
+        if len(found) == 2:
+            raise ValueError(f"labels of both classes exist, but no text of one of them fits into {TRAIN_BYTES} characters")
+        return fit([], [])
+    few = docs.sparkSession.createDataFrame(picked, "doc_id long, hash long, toxic int").select(F.col("doc_id").alias("__id"), "hash", "toxic")  # at most positive + negative rows
+    taken = texts.where(fit_in).join(F.broadcast(few), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("hash")))
+    sample = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in taken.groupBy("doc_id", "hash").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).collect()})
+    return fit([t for _, t, _ in sample], [int(y) for *_, y in sample])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), score: str = "score", predicted: str = "predicted") -> DataFrame:
