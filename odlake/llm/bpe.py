@@ -7,18 +7,25 @@ never twice to the same place. Two tokens may stand together if merging their jo
 back just those two; that is decided once a pair and remembered. A tiling of which all adjacent
 pairs may stand together is the one that the merges make, so ids are exact.
 
+Texts are split into pieces by the pattern under the library's tables of letters and numbers. Where
+the pattern's own engine has other tables (of a newer Unicode), the library is asked about a character,
+and a character of the class that the library gives stands for it while a text is split.
+
 Cases: a null or empty text has no tokens; repeated rows are encoded alike; other columns pass.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+import unicodedata
 from functools import lru_cache
 from itertools import islice, pairwise
 
 import ahocorasick
 import numpy as np
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from .common import map_texts
@@ -40,6 +47,49 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+#: Planes in which characters may be assigned by one of two versions of Unicode only.
+PLANES = range(0x40000)
+
+
+class Splitter:
+    """A text's pieces by a pattern, as the library splits it."""
+
+    def __init__(self, pattern: str) -> None:
+        self.pattern = regex.compile(pattern)
+        stands, self.table = {"letter": "ä", "number": "²", "other": "§"}, {}
+        own = {"letter": regex.compile(r"\p{L}"), "number": regex.compile(r"\p{N}")}
+        unsure = [c for c in map(chr, PLANES) if unicodedata.category(c) == "Cn"]
+        for c, kind in zip(unsure, self.kinds(pattern, unsure)):
+            if kind != next((k for k, p in own.items() if p.match(c)), "other"):
+                self.table[ord(c)] = stands[kind]
+        self.differs = re.compile(f"[{''.join(map(chr, self.table))}]") if self.table else None
+
+    @staticmethod
+    def kinds(pattern: str, characters: list[str]) -> list[str]:
+        """Each character's class: it is in one piece with a letter or number before it, if it is one."""
+        ahead, high = {"letter": b"a", "number": b"1"}, range(0x80, 0x100)
+        joined = {a + bytes([b]): 256 + k for k, (a, b) in enumerate((a, b) for a in ahead.values() for b in high)}
+        toy = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)} | joined, special_tokens={})
+        made = ["other"] * len(characters)
+        for kind, a in ahead.items():
+            ids = np.array(toy.encode_ordinary("".join(f"{a.decode()}{c}\n" for c in characters)))
+            heads = np.flatnonzero((ids == a[0]) | (ids > 255))  # one for each character
+            for k in np.flatnonzero(ids[heads] > 255):
+                made[k] = kind
+        return made
+
+    def pieces(self, text: str):
+        """An iterator over the pieces."""
+        if self.differs is None or text.isascii() or not self.differs.search(text):
+            return (m[0] for m in self.pattern.finditer(text)) if len(text) > 4 * AT_ONCE else iter(self.pattern.findall(text))
+        return (text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.table)))
+
+
+@lru_cache(2)
+def splitter(pattern: str) -> Splitter:
+    return Splitter(pattern)
+
+
 class Pieces(dict):
     """piece -> its ids as little-endian 32-bit numbers."""
 
@@ -120,12 +170,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
     """`keep`, n_tokens, ids (little-endian unsigned 32-bit numbers) and decoded (the bytes that the ids stand for)."""
 
     def make():
-        known, split = pieces(path), regex.compile(pattern)
+        known, split = pieces(path), splitter(pattern)
 
         def work(texts: list[str]) -> list[list]:
             n, ids, decoded = [], [], []
             for t in texts:
-                found = (m[0] for m in split.finditer(t)) if len(t) > 4 * AT_ONCE else iter(split.findall(t))
+                found = split.pieces(t)
                 a, b = [], []
                 while some := list(islice(found, AT_ONCE)):
                     a.append(b"".join([known[p] for p in some]))

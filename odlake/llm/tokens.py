@@ -1,16 +1,19 @@
 """Token counts by a finite-state transducer compiled from a BPE with word ends.
 
-Over the symbols of a word (its bytes, the last one marked as the word's end), the last token of
-every prefix is the one token that ends there and may follow the last token of the prefix before it.
+Over the symbols of a text's words (their bytes, the last one marked as the word's end), the last token
+of every prefix is the one token that ends there and may follow the last token of the prefix before it.
 So a state need hold only the places from which a vocabulary entry is still being spelled: the
 node of the vocabulary's tree, the token before that place, and the count there relative to the
-count here. A transition reads a symbol and emits the change of the count. States are compiled when
-they are first met and shared by all words; emitted counts sum to the library's count.
+count here. A transition reads a symbol and emits the change of the count; a word's end leads back to the
+first state. States are compiled when they are first met and shared by all words; emitted counts sum to
+the library's count.
 
-A text is cut into chunks at any place. White space puts the transducer in its first state, so a
-chunk's map from entry to exit state is its head (up to the first white space), the count of its
-inside, and its tail; two maps compose by running the first one's tail into the second one's head.
-Maps are composed by a balanced scan, as composition is associative.
+Symbols are cut into chunks, and a chunk is a map from entry states to exit states and emitted counts, over
+the states in which it can be entered. A whole word is such a map of the one state in which words begin,
+kept for all texts; a word of more than `CHUNK` symbols is cut at any place, and its chunks are entered in
+the states that the symbols before them lead to, from the first state or from any that another chunk
+ends in. Maps are composed, as composition is associative, by a balanced scan; a composed map is
+completed where it is asked for a state that was not foreseen, so the count is exact.
 
 Cases: a null or empty text has no tokens; special strings in a text count one each; repeated rows
 count alike; texts in rarely used scripts are split by the library's own tables, as Unicode versions differ.
@@ -28,7 +31,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-CHUNK = 1 << 16
+#: Symbols of a chunk; characters of a text that are split into words at a time.
+CHUNK, AT_ONCE = 256, 1 << 20
 #: Words and states that a worker remembers before it begins anew; bounds its memory, not its results.
 REMEMBERED, STATES = 600_000, 300_000
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -100,7 +104,7 @@ class Transducer(dict):
             token = self.token.get(after)
             if last < 0 and token is not None and self.follows(before, token):
                 last, emitted = token, count + 1
-        places = (*((n, b, c - emitted) for n, b, c in live), (0, last, 0))
+        places = (*((n, b, c - emitted) for n, b, c in live), (0, last, 0)) if symbol < END else self.states[0]
         if (number := self.numbers.get(places)) is None:
             number = self.numbers[places] = len(self.states)
             self.states.append(places)
@@ -122,15 +126,28 @@ class Transducer(dict):
             known = self.fits[-1, token] = ids == [token]
         return known
 
-    def run(self, word: bytes) -> int:
-        state = total = 0
-        for symbol in (*word[:-1], word[-1] + END):
+    def through(self, state: int, symbols: tuple[int, ...]) -> tuple[int, int]:
+        """The exit state and emitted count of symbols that are read from a state on."""
+        total = 0
+        for symbol in symbols:
             state, emitted = self[state << 9 | symbol]
             total += emitted
-        return total
+        return state, total
+
+    def run(self, word: bytes, chunk: int = CHUNK) -> int:
+        symbols = (*word[:-1], word[-1] + END)
+        if len(symbols) <= chunk:
+            return self.through(0, symbols)[1]
+        maps = [StateMap(self, symbols[at : at + chunk]) for at in range(0, len(symbols), chunk)]
+        maps[0].at(0)
+        for before, after in pairwise(maps):  # each by itself: from the first state, as if the chunk before began a word
+            after.at(before.at(0)[0])
+        while len(maps) > 1:  # a balanced scan
+            maps = [compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        return maps[0].at(0)[1]
 
     def count_plain(self, text: str) -> int:
-        """Of text without special strings: words' counts; the chunk's inside, or a head and tail that met."""
+        """Of text without special strings, cut at white space only: the sum of its words' counts, each from the first state to itself."""
         words = self.words
         if RARE.search(text):
             if self.library is None:
@@ -143,36 +160,47 @@ class Transducer(dict):
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return sum([words[w] for w in WORD.findall(text.lower())])
 
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """Head, inside's count, tail; without white space the head is all and there is no inside."""
-        if (first := SPACE.search(chunk)) is None:
-            return chunk, None, ""
-        last = next(SPACE.finditer(chunk[::-1])).start()
-        return chunk[: first.start()], self.count_plain(chunk[first.start() : len(chunk) - last]), chunk[len(chunk) - last :]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if a[1] is None:
-            return (a[0] + b[0], b[1], b[2])
-        if b[1] is None:
-            return (a[0], a[1], a[2] + b[0])
-        return (a[0], a[1] + self.count_plain(a[2] + b[0]) + b[1], b[2])
-
-    def count_text(self, text: str, chunk: int = CHUNK) -> int:
-        if len(text) <= chunk:
-            return self.count_plain(text)
-        maps = [self.chunk_map(text[at : at + chunk]) for at in range(0, len(text), chunk)]
-        while len(maps) > 1:  # a balanced scan
-            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        head, inside, tail = maps[0]
-        return self.count_plain(head) + (inside or 0) + self.count_plain(tail)
+    def count_text(self, text: str, at_once: int = AT_ONCE) -> int:
+        """A long text goes in parts that end at white space, where the state is the first one."""
+        total = at = 0
+        while len(text) - at > at_once and (white := SPACE.search(text, at + at_once)):
+            total += self.count_plain(text[at : white.end()])
+            at = white.end()
+        return total + self.count_plain(text[at:] if at else text)
 
-    def count(self, text: str, chunk: int = CHUNK) -> int:
+    def count(self, text: str, at_once: int = AT_ONCE) -> int:
         if len(self.states) > STATES or len(self.words) > REMEMBERED:
             self.restart()
         if self.at_special is None or not any(s in text for s in self.special):
-            return self.count_text(text, chunk)
+            return self.count_text(text, at_once)
         parts = self.at_special.split(text)
-        return len(parts) - 1 + sum(self.count_text(p, chunk) for p in parts)
+        return len(parts) - 1 + sum(self.count_text(p, at_once) for p in parts)
+
+
+class StateMap:
+    """entry state -> (exit state, emitted count) of a chunk, or of two that were composed."""
+
+    def __init__(self, of: Transducer, symbols: tuple[int, ...] = (), parts: tuple[StateMap, ...] = ()) -> None:
+        self.of, self.symbols, self.parts, self.table = of, symbols, parts, {}
+
+    def at(self, entry: int) -> tuple[int, int]:
+        if (known := self.table.get(entry)) is None:
+            if self.parts:
+                middle, count = self.parts[0].at(entry)
+                exit_, more = self.parts[1].at(middle)
+                known = exit_, count + more
+            else:
+                known = self.of.through(entry, self.symbols)
+            self.table[entry] = known
+        return known
+
+
+def compose(a: StateMap, b: StateMap) -> StateMap:
+    """a, then b: over the states in which a can be entered."""
+    made = StateMap(a.of, parts=(a, b))
+    for entry in a.table:
+        made.at(entry)
+    return made
 
 
 class Words(dict):
