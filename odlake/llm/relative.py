@@ -1,10 +1,13 @@
 """Substring dedup by relative Lempel-Ziv parsing of word sequences.
 
-Blocks of text that may repeat (see repeats.py) are both reference and input: each block is indexed by
-its sorted suffixes and their common prefixes, which give every place the longest match that starts
-earlier. Segments are factored greedily against the block: a factor is that longest match, or one word.
+Blocks of text that may repeat (see repeats.py) are indexed by their sorted suffixes and the prefixes
+that neighbours share. The places are cut into reference blocks of 1, 2, 4, ... places, and the words of
+the block that follows a reference block are factored greedily against it: a factor is the longest match
+that starts in the reference block, or one word; it is found from the index, by the rows of the
+reference block next above and below, and the parse goes on behind it. Of any two places one
+lies in the reference block of the other at just one size, so every earlier occurrence is searched.
 In a factor of `LEAST` words or more, all windows repeat, as the whole factor stands earlier; windows
-that cross a factor's end lie in no one factor, and are checked by the index one by one.
+that cross a factor's end lie in no one factor, and are looked up one by one.
 
 Words are compared by 64-bit hashes of their bytes.
 
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from .repeats import AT_ONCE, Kind, codes_of_bytes, ladder, mixed, without_repeats
 
 LEAST = 20
-#: Words of a factor at most; a longer match continues as the next factor.
+#: Words of a factor at most, and places after which a parse begins anew; a longer match continues as the next factor.
 FACTOR = 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -93,47 +96,94 @@ def index(text: np.ndarray, remaining: np.ndarray, depth: int) -> tuple[np.ndarr
     return order, shared
 
 
-def earlier(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
-    """For each place, the words (up to `depth`) of the longest match that starts earlier: by classes of places that share 1, 2, ... words."""
-    match = np.zeros(len(order), np.int64)
-    rows = np.arange(len(order))
-    for k in range(1, depth + 1):
-        begins = (shared[rows] < k) | np.r_[True, rows[1:] != rows[:-1] + 1]  # a class of rows that share k words
-        alone = begins & np.r_[begins[1:], True]
-        rows, begins = rows[~alone], begins[~alone]
-        if not len(rows):
-            break
-        head = np.flatnonzero(begins)
-        first = np.repeat(np.minimum.reduceat(order[rows], head), np.diff(np.r_[head, len(rows)]))
-        match[order[rows[order[rows] > first]]] = k
-    return match
+class Shared:
+    """The least number of words shared by neighbouring rows from one row to another: by minima over 1, 2, 4, ... rows."""
+
+    def __init__(self, shared: np.ndarray) -> None:
+        self.levels = [shared.astype(np.int16)]
+        while (n := 1 << len(self.levels)) <= len(shared):
+            last = self.levels[-1]
+            self.levels.append(np.minimum(last[: len(last) - n // 2], last[n // 2 :]))
+
+    def between(self, above: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Words that rows above < below share."""
+        made = np.zeros(len(above), np.int16)
+        level = np.frexp((below - above).astype(np.float64))[1] - 1  # the greatest power of two that fits
+        for k in np.unique(level):
+            of = np.flatnonzero(level == k)
+            low = self.levels[k]
+            made[of] = np.minimum(low[above[of] + 1], low[below[of] + 1 - (1 << k)])
+        return made
+
+
+class References:
+    """The reference blocks of one size: every other block of places, each by its rows of the index."""
+
+    def __init__(self, level: int, rank: np.ndarray, shared: Shared) -> None:
+        self.level, self.rank, self.shared, self.n = level, rank, shared, len(rank)
+        place = np.flatnonzero(np.arange(self.n) >> level & 1 == 0)
+        self.rows = np.sort((place >> level) * self.n + rank[place])
+
+    def longest(self, places: np.ndarray) -> np.ndarray:
+        """The words of the longest match of each place that starts in the reference block before its own."""
+        block, row = (places >> self.level) - 1, self.rank[places]
+        at = np.searchsorted(self.rows, block * self.n + row)
+        made = np.zeros(len(places), np.int64)
+        for nearest, behind in ((at - 1, False), (at, True)):
+            ok = np.flatnonzero((nearest >= 0) & (nearest < len(self.rows)))
+            ok = ok[self.rows[nearest[ok]] // self.n == block[ok]]
+            other = self.rows[nearest[ok]] % self.n
+            made[ok] = np.maximum(made[ok], self.shared.between(*((row[ok], other) if behind else (other, row[ok]))))
+        return made
+
+
+def factored(flagged: np.ndarray, wanted: np.ndarray, ends: np.ndarray, references: References, least: int) -> None:
+    """Parses the blocks behind the reference blocks and flags the windows found to repeat; wanted: the windows' starts, ends: of their segments."""
+    n, level = len(flagged), references.level
+    following = np.minimum.accumulate(np.where(wanted, np.arange(n), n)[::-1])[::-1]  # the next wanted window
+    place = np.arange(n)
+    fresh = np.r_[True, ends[1:] != ends[:-1]] | (place & (1 << level) - 1 == 0) | (place % FACTOR == 0)
+    at = np.flatnonzero(fresh)
+    stop = np.r_[at[1:], n]
+    right = at >> level & 1 == 1
+    at, stop = at[right], stop[right]
+    limit, at = stop, following[at]
+    crossing = []
+    while len(going := np.flatnonzero(at < limit)):
+        at, limit = at[going], limit[going]
+        length = np.maximum(references.longest(at), 1)
+        inside = np.where(length >= least, length - least + 1, 1)  # windows of which the factor tells
+        repeat = np.flatnonzero(length >= least)
+        n_inside = np.minimum(inside, limit - at)[repeat]
+        flagged[np.repeat(at[repeat] - (np.cumsum(n_inside) - n_inside), n_inside) + np.arange(n_inside.sum())] = True
+        first, stop = at + inside, np.minimum(at + length, limit)
+        size = np.maximum(stop - first, 0)
+        crossing.append(np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum()))
+        at = at + length
+        inner = np.flatnonzero(at < limit)
+        at, limit = following[at[inner]], limit[inner]
+    if crossing:
+        checks = np.concatenate(crossing)
+        checks = checks[wanted[checks]]
+        flagged[checks[references.longest(checks) >= least]] = True
 
 
 def repeated(text: np.ndarray, remaining: np.ndarray, least: int = LEAST) -> np.ndarray:
     """Whether the `least` words from each place also start earlier; segments do not run on into each other."""
-    flagged = np.zeros(len(text) + 1, np.int64)
-    if not len(text):
-        return flagged[:0].astype(bool)
-    depth = max(FACTOR, least)
-    match = earlier(*index(text, remaining, depth), depth)
-    at = np.flatnonzero(np.r_[True, remaining[:-1] == 1])  # every segment is parsed at once, factor by factor
-    stop = at + remaining[at]
-    checks = []
-    while len(at):
-        length = np.maximum(match[at], 1)
-        long = length >= least
-        np.add.at(flagged, at[long], 1)
-        np.add.at(flagged, at[long] + length[long] - least + 1, -1)
-        across = np.where(long, at + length - least + 1, at)  # windows from here on cross the factor's end
-        n = at + length - across
-        checks.append(np.repeat(across - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-        at = at + length
-        going = at < stop
-        at, stop = at[going], stop[going]
-    checks = np.concatenate(checks)
-    inside = np.cumsum(flagged[:-1]) > 0
-    inside[checks[match[checks] >= least]] = True
-    return inside
+    n = len(text)
+    flagged = np.zeros(n, bool)
+    if not n:
+        return flagged
+    order, shared = index(text, remaining, max(FACTOR, least))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    shared, ends = Shared(shared), np.arange(n) + remaining
+    for level in range((n - 1).bit_length()):
+        wanted = (remaining >= least) & ~flagged
+        if not wanted.any():
+            break
+        factored(flagged, wanted, ends, References(level, rank, shared), least)
+    return flagged
 
 
 def left_words(text: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[int, bytes]:

@@ -13,11 +13,15 @@ its anchor: a segment is a run of windows of one anchor, and few rows stand for
 5. Spans join their documents and are cut out.
 
 An anchor that very many windows share would fill one task. A sample of documents tells which anchors
-are that frequent; windows under them take the least hash of longer strings in their place, up to
-whole windows, which are combined like equal segments. The sample only routes: any choice of frequent
-anchors gives the same result, as equal windows are always routed alike. Rows travel packed, as arrays
-of a batch and bucket. The order of documents is by doc_id, then (of one id with different texts) by
-text hash; a null doc_id comes last.
+are that frequent, by a table of `CELLS` bits that anchors are hashed to (so what is sent to tasks has
+one size, and an anchor that shares a frequent one's cell is only taken for frequent, too); windows under
+them take the least hash of longer strings in their place, up to whole windows, which are combined like
+equal segments. The sample only routes: any choice of frequent anchors gives the same result, as equal
+windows are always routed alike. Rows travel packed, as arrays of a batch and bucket.
+
+The order of documents is by doc_id, then (of one id with different texts) by text hash; a null doc_id
+comes last. Texts are dealt by id and text hash, so those of one id, or of none, are spread. Rows repeated
+whole are worked on once, and repeated in the result.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odlake.session import ship
@@ -43,10 +47,14 @@ AT_ONCE = 1 << 19
 RUN = 256
 #: Estimated segments under an anchor from which its windows are routed by longer strings; documents in this part of the sample.
 FREQUENT, SAMPLED = 4096, 32
+#: log2 of the bits of the table of frequent anchors.
+CELLS = 22
+#: Equal rows that one row of the result is repeated to at a time.
+COPIES = 1000
 NULL_ID = (1 << 63) - 1
 PACKED = "kind int, bucket int, n long, units long, payload binary"
 SEGMENT, SPAN, NEED, PIECE = range(4)
-FIELDS = {SEGMENT: ("<i8", "<i8", "<i8", "<i4", "<i4", "<i4", "<i1"), SPAN: ("<i8", "<i4", "<i4", "<i4"), NEED: ("<i8", "<i8", "<i4", "<i4", "<i4"), PIECE: ("<i8", "<i4", "<i4", "<i4")}
+FIELDS = {SEGMENT: ("<i8", "<i8", "<i8", "<i8", "<i4", "<i4", "<i1"), SPAN: ("<i8", "<i8", "<i4", "<i4"), NEED: ("<i8", "<i8", "<i8", "<i4", "<i4"), PIECE: ("<i8", "<i8", "<i4", "<i4")}
 ODD = 0x9E3779B97F4A7C15
 
 
@@ -99,6 +107,10 @@ def least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - n)], h[width - n :]) if n < width else h
 
 
+def cells(anchors: np.ndarray) -> np.ndarray:
+    return (anchors * np.uint64(ODD) >> np.uint64(64 - CELLS)).astype(np.int64)
+
+
 def segments(kind: Kind, codes: np.ndarray, ends: np.ndarray, frequent: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """anchor, content hash, start, windows, and whether the anchor may stand in it twice, of each segment of joined documents; ends: of its document, for each unit."""
     n = len(codes) - kind.window + 1
@@ -113,8 +125,7 @@ def segments(kind: Kind, codes: np.ndarray, ends: np.ndarray, frequent: list[np.
         else:
             anchor = np.where(again, found, anchor)
         if level < len(frequent):
-            known = frequent[level]
-            again = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor if len(known) else np.zeros(n, bool)
+            again = frequent[level][cells(anchor)]
             deep = again if level == 0 else deep
             if not again.any():
                 break
@@ -244,40 +255,45 @@ def spans_of(kind: Kind, columns: list[np.ndarray], which: np.ndarray) -> list[n
     return [doc, sub, start, windows + kind.window - 1]
 
 
-def keyed(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
-    """doc_id, key (never null), sub (a number of the text among those of its id), text as bytes; and the bytes of all texts."""
+def keyed(docs: DataFrame, text: str) -> tuple[DataFrame, int, bool]:
+    """doc_id, key (never null), sub (tells the texts of one id apart, and orders them), text as bytes, n (rows that are alike); the bytes of all texts; and whether an id is repeated."""
     keys = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), utf8(text).alias("text"))
-    hashes = keys.select("key", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"))
-    each = hashes.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.sum("size").alias("size"))
-    total, several = each.agg(F.sum("size"), F.max(F.col("low") != F.col("high"))).first()
-    if not several:
-        return keys.withColumn("sub", F.lit(0)), total or 0
-    many = hashes.join(each.where("low <> high").select("key"), "key").select("key", "h").distinct()
-    many = many.withColumn("sub", F.row_number().over(Window.partitionBy("key").orderBy("h")))  # of one id's texts
-    return keys.withColumn("h", F.xxhash64("text")).join(many, ["key", "h"], "left").select("doc_id", "key", "text", F.coalesce("sub", F.lit(0)).alias("sub")), total
+    each = keys.select("key", F.octet_length("text").alias("size")).groupBy("key").agg(F.count("*").alias("rows"), F.sum("size").alias("size"))
+    total, most = each.agg(F.sum("size"), F.max("rows")).first()
+    if (most or 1) == 1:
+        return keys.withColumn("sub", F.lit(0).cast("long")).withColumn("n", F.lit(1).cast("long")), total or 0, False
+    subs = keys.withColumn("sub", F.xxhash64("text"))
+    return subs.groupBy("key", "sub").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("n")).select("doc_id", "key", "text", "sub", "n"), total, True
+
+
+def dealt_to(key: np.ndarray, sub: np.ndarray, parts: int) -> np.ndarray:
+    return (key ^ sub ^ sub >> 17) % parts
 
 
 def frequent_anchors(docs: DataFrame, kind: Kind) -> list[np.ndarray]:
-    """For each level but the last, the anchors under which a sample of documents has very many segments."""
+    """For each level but the last, the bits (packed) of the anchors under which a sample of documents has very many segments."""
     sample = docs.where(F.pmod(F.xxhash64("key", "sub"), F.lit(SAMPLED)) == 0).select("key", "sub", "text")
-    most, found = max(2, FREQUENT // SAMPLED), []
+    found: list[np.ndarray] = []
     for _ in kind.levels[:-1]:
 
         def run(batches, known=tuple(found)):
+            bits = [np.unpackbits(f).astype(bool) for f in known]
             for batch in batches:
                 seen = []
                 for part in parts_of(batch, 2, TOGETHER):
                     for codes, ends, *_ in chunks(kind, kind.units(part.column(2).to_pylist())):
-                        seen.append(raw_anchors(kind, codes, ends, list(known)))
-                anchors, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(n)], ["anchor", "n"])
-
-        counts = sample.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= most)
-        # the most frequent ones; the bound holds what is broadcast, and further ones stay with their short anchor
-        hot = np.array([r[0] for r in counts.orderBy(F.desc("n"), "anchor").limit(4096).collect()], np.int64).view(np.uint64)
-        if not len(hot):
+                        seen.append(cells(raw_anchors(kind, codes, ends, bits)))
+                cell, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], ["cell", "n"])
+
+        counts = cut(sample.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+        mean = (counts.agg(F.sum("n")).first()[0] or 0) >> CELLS
+        bits = np.zeros(1 << CELLS, bool)
+        for (cell,) in counts.where(F.col("n") >= max(2, FREQUENT // SAMPLED, 8 * mean)).select("cell").toLocalIterator():  # of at most 2**CELLS rows
+            bits[cell] = True
+        if not bits.any():
             break
-        found.append(np.sort(hot))
+        found.append(np.packbits(bits))
     return found
 
 
@@ -288,7 +304,7 @@ def raw_anchors(kind: Kind, codes: np.ndarray, ends: np.ndarray, frequent: list[
     for k, h in enumerate(strings(codes, kind.levels[: level + 1])):
         found = least(h, kind.window - kind.levels[k] + 1) + np.uint64(k)
         if k < level:
-            again &= np.isin(found, frequent[k])
+            again &= frequent[k][cells(found)]
     fresh = np.r_[True, (found[1:] != found[:-1]) | (ends[1:n] != ends[: n - 1])]
     return found[again & fresh]
 
@@ -297,7 +313,7 @@ def without_repeats(docs: DataFrame, kind: Kind, text: str = "text") -> DataFram
     """doc_id, n_units, n_removed, n_spans (maximal removed runs), kept (what is left of the text, as bytes), spans (start and end of each)."""
     spark = docs.sparkSession
     ship(spark)
-    docs, size = keyed(docs, text)
+    docs, size, repeated = keyed(docs, text)
     unit = 1 if kind.dtype == "<u1" else 6
     by_anchor = buckets(spark, size // unit // (kind.window // 3), 200_000)
     by_doc = buckets(spark, size, 8_000_000) | 1
@@ -306,9 +322,10 @@ def without_repeats(docs: DataFrame, kind: Kind, text: str = "text") -> DataFram
     frequent = frequent_anchors(docs, kind)
 
     def find(batches):
+        bits = [np.unpackbits(f).astype(bool) for f in frequent]
         for batch in batches:
             for part in parts_of(batch, 2, TOGETHER):
-                columns = of_batch(kind, part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist(), frequent)
+                columns = of_batch(kind, part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist(), bits)
                 columns, first, _ = firsts(columns, True)
                 rows = packed(SEGMENT, columns[0][first] % by_anchor, [c[first] for c in columns])
                 known = spans_of(kind, columns, ~first)
@@ -321,7 +338,7 @@ def without_repeats(docs: DataFrame, kind: Kind, text: str = "text") -> DataFram
         spans = [np.concatenate(x) for x in zip(spans_of(kind, columns, ~first), unpacked(rows, SPAN))]
         left = first & (several | (columns[6] > 0))
         need = [columns[k][left] for k in (0, 2, 3, 4, 5)]
-        return as_rows(packed(SPAN, spans[0] % by_doc, spans) + packed(NEED, need[1] % by_doc, need, need[4] + kind.window - 1))
+        return as_rows(packed(SPAN, dealt_to(spans[0], spans[1], by_doc), spans) + packed(NEED, dealt_to(need[1], need[2], by_doc), need, need[4] + kind.window - 1))
 
     found = docs.select("key", "sub", "text").mapInArrow(find, PACKED)
     settled = cut(found.groupBy("bucket").applyInArrow(settle, PACKED))
@@ -350,7 +367,7 @@ def without_repeats(docs: DataFrame, kind: Kind, text: str = "text") -> DataFram
         doc, sub, start, length = unpacked(rows, PIECE)
         data = []
         for n, payload in zip(rows["n"].to_pylist(), rows["payload"]):
-            data.append(np.frombuffer(payload.as_buffer(), kind.dtype, offset=n * 20))
+            data.append(np.frombuffer(payload.as_buffer(), kind.dtype, offset=n * sum(np.dtype(t).itemsize for t in FIELDS[PIECE])))
         data, before = np.concatenate(data), np.cumsum(length) - length
         order = np.lexsort((start, sub, doc))  # so that places are in the order of documents
         doc, sub, start, length, before = (c[order] for c in (doc, sub, start, length, before))
@@ -362,7 +379,7 @@ def without_repeats(docs: DataFrame, kind: Kind, text: str = "text") -> DataFram
         ends = np.flatnonzero(flagged & ~np.r_[flagged[1:] & (remaining[:-1] > 1), False]) + 1
         of = np.searchsorted(stop, begins, "right")
         spans = [doc[of], sub[of], start[of] + begins - (stop - length)[of], ends - begins + kind.window - 1]
-        return as_rows(packed(SPAN, spans[0] % by_doc, spans))
+        return as_rows(packed(SPAN, dealt_to(spans[0], spans[1], by_doc), spans))
 
     def remove(texts: pa.Table, rows: pa.Table) -> pa.Table:
         doc, sub, start, length = unpacked(rows, SPAN)
@@ -380,11 +397,17 @@ def without_repeats(docs: DataFrame, kind: Kind, text: str = "text") -> DataFram
             made.append((n, int((ends - begins).sum()), len(begins), kept, np.stack([begins, ends], 1).tolist()))
         columns = list(zip(*made)) if made else [[]] * 5
         types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int64())))
-        return pa.table([texts["doc_id"], *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_units", "n_removed", "n_spans", "kept", "spans"])
+        return pa.table([texts["doc_id"], *(pa.array(c, t) for c, t in zip(columns, types)), texts["n"]], names=["doc_id", "n_units", "n_removed", "n_spans", "kept", "spans", "n"])
 
-    dealt = docs.select(F.pmod("key", F.lit(by_doc)).cast("int").alias("bucket"), "doc_id", "key", "sub", "text")
+    deal = F.col("key").bitwiseXOR(F.col("sub")).bitwiseXOR(F.shiftright("sub", 17))  # as dealt_to
+    dealt = docs.select(F.pmod(deal, F.lit(by_doc)).cast("int").alias("bucket"), "doc_id", "key", "sub", "n", "text")
     needs, spans = settled.where(F.col("kind") == NEED), settled.where(F.col("kind") == SPAN)
     pieces = dealt.groupBy("bucket").cogroup(needs.groupBy("bucket")).applyInArrow(fetch, PACKED)
     spans = spans.union(pieces.groupBy("bucket").applyInArrow(compare, PACKED))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(remove, f"doc_id {id_type}, n_units long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
+    made = dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(remove, f"doc_id {id_type}, n_units long, n_removed long, n_spans long, kept binary, spans array<array<long>>, n long")
+    if not repeated:
+        return made.drop("n")
+    columns = [c for c in made.columns if c != "n"]
+    some = made.select(*columns, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))).alias("part")).repartition(by_doc)
+    return some.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES))).alias("part")).drop("part")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -117,6 +118,28 @@ def test_token_counts():
         assert mine.count(text) == expected and mine.count(text, 7) == expected, text
 
 
+def test_state_maps_of_long_words_and_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), tokens.transducer(path)
+    rng = random.Random(8)
+    for k in range(60):
+        word = "".join(rng.choice("aabcdeorst" if k % 3 else "ab") for _ in range(rng.choice([1, 7, 8, 90, 600, 3000])))
+        expected = len(library.encode(word, add_special_tokens=False).ids)
+        for chunk in (1, 3, 7, 256, 1 << 20):
+            assert mine.run(word.encode(), chunk) == expected
+    parts = [tokens.StateMap(mine, tuple(b"internation"[k : k + 2])) for k in range(0, 10, 2)]
+    left, right = parts[0], parts[-1]
+    for m in parts[1:]:
+        left = tokens.compose(left, m)
+    for m in parts[-2::-1]:
+        right = tokens.compose(m, right)
+    assert left.at(0) == right.at(0) == mine.through(0, tuple(b"internatio"))
+    long = "".join(rng.choice("ab ") for _ in range(300_000)) + "x" * 200_000 + " tail"
+    assert mine.count(long) == mine.count(long, 1000) == len(library.encode(long, add_special_tokens=False).ids)
+
+
 def test_token_count_queries(spark):
     from tokenizers import Tokenizer
 
@@ -185,6 +208,33 @@ def test_dedup_of_long_texts(spark, monkeypatch):
             assert (c[:n] == 1).all() and (c[n:] == 0).all()
 
 
+def test_dedup_of_repeated_ids_and_rows(spark, monkeypatch):
+    """Ids that are null or repeated for a third of the rows, and equal rows beyond one part of the result."""
+    monkeypatch.setattr(repeats, "COPIES", 7)
+    rows = [(None, f"{PASSAGE} {k % 5}") for k in range(30)] + [(1, f"{k % 3} {PASSAGE}") for k in range(30)] + [(k, PASSAGE) for k in range(2, 32)]
+    for dedup in (suffixes.dedup, relative.dedup):
+        got = dedup(docs(spark, rows)).groupBy("doc_id", "n_units", "n_removed").count().collect()
+        assert sum(r["count"] for r in got) == len(rows)
+        assert sorted(r["count"] for r in got if r["doc_id"] is None) in ([30], [6, 24]) and sum(r["count"] for r in got if r["doc_id"] == 1) == 30
+        assert sorted(r["count"] for r in got if r["n_removed"] == 0) == [10]  # the first text, and its equal rows
+
+
+@pytest.mark.parametrize(("module", "dedup"), [(relative, relative.dedup), (suffixes, suffixes.dedup)])
+def test_the_method_decides(spark, monkeypatch, module, dedup):
+    """Without the parse, or the expansion, results on the given table differ: equal segments alone do not give them."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = dedup(table).agg(F.sum("n_removed")).first()[0]
+    kind = relative.WORDS if module is relative else suffixes.BYTES
+    off = repeats.without_repeats(table, dataclasses.replace(kind, match=lambda text, remaining: np.zeros(len(text), bool))).agg(F.sum("n_removed")).first()[0]
+    assert off < 0.95 * whole
+    if module is relative:  # what the factors give beyond the windows that are looked up one by one
+        text = np.tile(np.arange(40, dtype=np.uint64), 3)
+        assert relative.repeated(text, np.arange(120, 0, -1)).sum() == 61
+        none = relative.References.longest
+        monkeypatch.setattr(relative.References, "longest", lambda self, places: np.minimum(none(self, places), relative.LEAST - 1))
+        assert relative.repeated(text, np.arange(120, 0, -1)).sum() == 0
+
+
 @pytest.mark.parametrize(("match", "values"), [(suffixes.repeated, 2), (suffixes.repeated, 6), (relative.repeated, 2), (relative.repeated, 9)])
 def test_matchers(match, values):
     rng = random.Random(values)
@@ -310,6 +360,30 @@ def test_bpe_pieces():
             assert mine.encode(piece.decode("latin-1")) == library._core_bpe.encode_single_piece(piece)
 
 
+@pytest.mark.parametrize("around", ["!{}'s", "a{}1", " {} ", "1{}'ll"])
+def test_bpe_of_every_code_point(around):
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    mine, split = bpe.Pieces(ranks), bpe.splitter(public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    every = [chr(c) for c in range(0x40000) if not 0xD800 <= c < 0xE000 and (c in split.table or c % (5 if around[0] == "!" else 16) == 0)]
+    for k in range(0, len(every), 2000):
+        text = "\n".join(around.format(c) for c in every[k : k + 2000])
+        assert np.frombuffer(b"".join(mine[p] for p in split.pieces(text)), "<u4").tolist() == library.encode_ordinary(text), k
+
+
+def test_bpe_of_a_very_long_text(spark):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(9)
+    text = "".join(rng.choice(["a", "the ", " é", "12", "\n", "'s", "\u0558", "𝚥ʼ"]) for _ in range(500_000)) + "xy" * 30_000
+    (got,) = bpe.encode(docs(spark, [(1, text)]), path, public_tokenizers.PATTERN).collect()
+    assert np.frombuffer(got["ids"], "<u4").tolist() == library.encode_ordinary(text) and bytes(got["decoded"]) == text.encode()
+
+
 def test_bpe_round_trip(spark):
     import tiktoken
 
