@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by inner product, over robust-pruned directed graphs.
 
-Equal vectors are one node with their smallest ids. Nodes are dealt to shards of about `SHARD` by hash.
+Equal vectors are one node with their smallest ids. Nodes are dealt to shards of at most about `SHARD_BYTES`
+of vectors by hash, and to at least as many as there are tasks for where they are many.
 In each shard, nodes enter a directed graph in turn: a greedy search proposes neighbours, and pruning
 keeps the nearest one and drops those that it brings much closer (relaxed by `ALPHA`), and so on, so
 that edges stay few and diverse; edges back are pruned alike. A query's beam search walks every shard's
@@ -8,7 +9,10 @@ graph, and the best of all shards are ranked. Graphs are built and searched for
 numpy, in double precision; distances are those after the extra coordinate that gives all vectors one
 length, so that nearest means largest inner product whatever the lengths.
 
-Queries meet shards in blocks: a task holds one shard and one block. Every vector is indexed.
+A shard is as large as a task's memory allows, since every query searches every shard. Shards are
+built from an explicit partitioning by shard, one task each. A query's row is sent to each shard once,
+and a graph is read once by each of a few tasks, past which the shard's queries stream in batches.
+Every vector is indexed.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do
 null ids; of rows that repeat an id, the least vector counts; vectors only meet those of as many
@@ -17,8 +21,12 @@ components; ties go to the smaller id; no vectors give no rows. Columns other th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +34,11 @@ from odlake.session import ship
 
 from .common import cut
 
-SHARD, BLOCK = 4096, 4096
+#: Bytes of a shard's vectors at most, nodes that are not split into shards for the sake of more tasks, and queries for which a graph is read once.
+SHARD_BYTES, SMALL, BLOCK = 64_000_000, 16_384, 1 << 18
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
-SEARCH_BEAM = 80
+#: Width of a query's beam where one shard holds all nodes, and at least; shares of it suffice where the best are spread over shards.
+SEARCH_BEAM, NARROW = 80, 40
 #: Best nodes of a beam that are expanded at a time, and nodes that are searched for at a time.
 STEP, AT_ONCE = 4, 256
 #: Candidates among which edges are pruned, nearest first.
@@ -133,73 +143,108 @@ def vectors_of(table: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(usable).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
-    """dim, shard, vector, ids (the k + 1 smallest of the vector), node, edges, entry: a row for each node."""
-    ship(vectors.sparkSession)
-    rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    nodes = vectors.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    nodes = cut(nodes)
-    shards = -(-nodes.count() // shard) or 1
-    nodes = nodes.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int").alias("shard"), "vector", "ids")
+def lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A list array of a matrix's rows."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), kind))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of rows with equal values of `by`, in parts: a run goes on while its key repeats."""
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in by)))
+        heads = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
+        for a, b in zip(heads, [*heads[1:], len(keys)]):
+            yield keys[a], pa.Table.from_batches([batch.slice(a, b - a)])
 
-    def build(rows: pa.Table) -> pa.Table:
+
+def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of graphs, from rows sorted by shard and dimension."""
+    for (shard, dim), parts in groupby(grouped(batches, ["shard", "dim"]), lambda g: g[0]):
+        rows = pa.concat_tables([part for _, part in parts])
         order = np.argsort(np.array([i[0] for i in rows["ids"].to_pylist()]), kind="stable")
-        order = np.random.default_rng(1).permutation(order)
-        rows = rows.take(pa.array(order))
-        edges, entries = built(matrix(rows["vector"]))
+        rows = rows.take(pa.array(np.random.default_rng(1).permutation(order)))
+        vectors = matrix(rows["vector"])
+        edges, entries = built(vectors)
         entry = np.zeros(len(rows), bool)
         entry[entries] = True
-        lists = pa.list_(pa.int32())
-        made = {c: rows[c] for c in ("dim", "shard")} | {c: rows[c].cast(pa.list_(t)) for c, t in (("vector", pa.float64()), ("ids", pa.int64()))}
-        return pa.table(made | {"node": pa.array(np.arange(len(rows)), pa.int32()), "edges": pa.array(list(edges.astype(np.int32)), lists), "entry": pa.array(entry)})
+        made = {"shard": rows["shard"], "dim": rows["dim"], "vector": lists(vectors, pa.float64()), "ids": rows["ids"].cast(pa.list_(pa.int64())), "node": pa.array(np.arange(len(rows)), pa.int32()), "edges": lists(edges, pa.int32()), "entry": pa.array(entry)}
+        yield from pa.table(made).to_batches(max_chunksize=8192)
+
 
-    return cut(nodes.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, vector array<double>, ids array<long>, node int, edges array<int>, entry boolean"))
+def index(vectors: DataFrame, k: int, shard_bytes: int = SHARD_BYTES, small: int = SMALL) -> tuple[DataFrame, int]:
+    """shard, dim, vector, ids (the k + 1 smallest of the vector), node, edges, entry: a row for each node; and the number of shards."""
+    spark = vectors.sparkSession
+    ship(spark)
+    rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    nodes = vectors.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    nodes = cut(nodes.withColumn("dim", F.size("vector")))
+    n, widest = nodes.agg(F.count("*"), F.max("dim")).first()
+    shards = max(1, -(-n * 8 * (widest or 0) // shard_bytes), min(-(-n // small), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = nodes.select(F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int").alias("shard"), "dim", "vector", "ids")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "dim")
+    return cut(dealt.mapInArrow(build, "shard int, dim int, vector array<double>, ids array<long>, node int, edges array<int>, entry boolean")), shards
 
 
-def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_BEAM, block: int = BLOCK) -> DataFrame:
+def search(graphs: DataFrame, shards: int, queries: DataFrame, k: int, width: int = SEARCH_BEAM, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id, vector) the k best of all shards, without its own id."""
-    queries = queries.select(F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("dim"))
     blocks = -(-queries.count() // block) or 1
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    places = graphs.select("dim", F.col("shard").alias("place")).distinct()
-    asked = queries.join(places, "dim")  # every query meets every shard of its dimension
-    held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    result = "query_id long, vec_id long, score double"
-
-    def walk(graph: pa.Table, some: pa.Table) -> pa.Table:
-        if not len(graph) or not len(some):
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=["query_id", "vec_id", "score"])
-        graph = graph.sort_by("node")
-        vectors, ids = matrix(graph["vector"]), graph["ids"].to_pylist()
-        edges = graph["edges"].combine_chunks().flatten().to_numpy().reshape(len(graph), -1).astype(np.int64)
-        entries = np.flatnonzero(graph["entry"].to_numpy())
-        asking, own = matrix(some["vector"]), some["query_id"].to_numpy()
-        rows: list[list[np.ndarray]] = [[], [], []]
-        flat, sizes = np.concatenate([np.array(i) for i in ids]), np.array([len(i) for i in ids])
-        before = np.cumsum(sizes) - sizes
+    width = max(k + 1, min(width, NARROW), int(width / np.sqrt(shards)))
+    # a task's rows are a shard's graph, and behind it the queries of a block
+    all_shards, all_blocks = (F.sequence(F.lit(0), F.lit(m - 1)) for m in (shards, blocks))
+    asked = queries.select(F.explode(all_shards).alias("shard"), F.size("vector").alias("dim"), "vector", F.array("vec_id").alias("ids"), F.lit(None).cast("int").alias("node"), F.lit(None).cast("array<int>").alias("edges"), F.lit(None).cast("boolean").alias("entry"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    rows = graphs.withColumn("block", F.explode(all_blocks)).unionByName(asked).withColumn("task", F.col("shard") * blocks + F.col("block"))
+    rows = rows.repartitionById(shards * blocks, "task").sortWithinPartitions("task", "dim", F.col("node").asc_nulls_last()).select("task", "dim", "vector", "ids", "node", "edges", "entry")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of, graph = [], None, None
+        for key, part in grouped(batches, ["task", "dim"]):
+            if key != of:
+                held, of, graph = [], key, None
+            split = len(part) - part["node"].null_count
+            if split:
+                held.append(part.slice(0, split))
+            if split < len(part) and held:
+                if graph is None:
+                    graph = Graph(pa.concat_tables(held))
+                    held = [None]
+                yield from graph.best(part.slice(split), k, width)
+
+    best = rows.mapInArrow(walk, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # of k rows a shard
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+class Graph:
+    """A shard's graph in memory."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.vectors, self.entries = matrix(rows["vector"]), np.flatnonzero(rows["entry"].to_numpy())
+        self.edges = rows["edges"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1).astype(np.int64)
+        ids = rows["ids"].combine_chunks()
+        self.flat, self.sizes = ids.flatten().to_numpy(), np.asarray(pc.list_value_length(ids)).astype(np.int64)
+        self.before = np.cumsum(self.sizes) - self.sizes
+
+    def best(self, some: pa.Table, k: int, width: int) -> Iterator[pa.RecordBatch]:
+        """The k best of this shard for each query."""
+        asking, own = matrix(some["vector"]), some["ids"].combine_chunks().flatten().to_numpy()
         for at in range(0, len(own), AT_ONCE):
-            found, score = beam_search(asking[at : at + AT_ONCE], vectors, edges, entries, max(width, k + 1))
+            found, score = beam_search(asking[at : at + AT_ONCE], self.vectors, self.edges, self.entries, width)
             of, nth = np.nonzero(found >= 0)
             node = found[of, nth]
-            n = sizes[node]
+            n = self.sizes[node]
             who, s = np.repeat(own[at : at + AT_ONCE][of], n), np.repeat(score[of, nth], n)
-            vec = flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(before[node], n)]
+            vec = self.flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.before[node], n)]
             other = who != vec
             who, vec, s = who[other], vec[other], s[other]
             order = np.lexsort((vec, -s, who))
             who, vec, s = who[order], vec[order], s[order]
             first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
             top = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)])) < k
-            for column, x in zip(rows, (who, vec, s)):
-                column.append(x[top])
-        return pa.table({name: np.concatenate(c) for name, c in zip(("query_id", "vec_id", "score"), rows)})
-
-    best = held.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "place", "block")).applyInArrow(walk, result)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # of k rows a shard
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            yield pa.RecordBatch.from_arrays([pa.array(c[top], t) for c, t in ((who, pa.int64()), (vec, pa.int64()), (s, pa.float64()))], ["query_id", "vec_id", "score"])
 
 
 def nearest(table: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest of each row whose id is divisible by `every`, among all other rows."""
     vectors = cut(vectors_of(table, key, vector))
-    return search(index(vectors, k), vectors.where(F.col("vec_id") % every == 0), k)
+    graphs, shards = index(vectors, k)
+    return search(graphs, shards, vectors.where(F.col("vec_id") % every == 0), k)

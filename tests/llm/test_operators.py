@@ -106,6 +106,28 @@ def test_nearest(spark):
     assert graph.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_nearest_over_many_shards_and_blocks(spark, clustered):
+    """Recall over ten shards and three blocks, of even and of clustered vectors of uneven lengths."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 24))
+    if clustered:
+        x = (rng.normal(size=(40, 24)) * 3)[rng.integers(0, 40, 6000)] + x * 0.7
+    x *= rng.uniform(0.5, 2, (6000, 1))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, vector array<double>")
+    graphs, shards = graph.index(vectors, 20, shard_bytes=6000 * 24 * 8 // 10)
+    assert shards == 10 and graphs.select("shard").distinct().count() == 10
+    got = graph.search(graphs, shards, vectors.where("vec_id % 20 = 0"), 20, block=100).toPandas()
+    hits = []
+    for q in range(0, 6000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, 21)) and np.allclose(mine.score, s[mine.vec_id])
+        hits.append(len(set(np.argsort(-s)[:20]) & set(mine.vec_id)) / 20)
+    assert len(hits) == 300 and np.mean(hits) > 0.97
+
+
 def test_token_counts():
     from tokenizers import Tokenizer
 
