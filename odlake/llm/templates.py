@@ -1,7 +1,8 @@
 """Benchmark decontamination by canonical templates.
 
-Words are lower-cased, and numbers, the units after numbers, and names (capitalised inside a sentence)
-become typed placeholders; once with names kept as words, and once with names as placeholders. Every
+Words are lower-cased, and numbers (also in words), the units after numbers, and names (capitalised inside
+a sentence, several in a row being one name) become typed placeholders; once with names kept as words,
+and once with names as placeholders. Every
 window of `WINDOW` canonical words with enough plain words is hashed, and documents' windows join the
 benchmark's by hash. Matches on one diagonal (same offset between document and item) belong together;
 what stands in the slots should agree along it: a value of the item is bound to the document's value
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -42,6 +44,8 @@ RAW = 2
 BITS = 25
 #: The units that follow numbers.
 UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years l ml liter liters litre litres gallon gallons cent cents dollar dollars euro euros usd eur gbp percent degree degrees kmh mph".split())
+#: The words for numbers.
+NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice thrice".split())
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?\n]")
 PLAIN, CAPITAL, NUMBER, STOP, UNIT = range(5)
 #: Kinds of placeholder, as hashes, and the odd multiplier of the windows' hash.
@@ -59,7 +63,7 @@ class Codes(dict):
             self.clear()
         first, low = token[0], token.lower()
         data = low.encode()
-        kind = STOP if first in ".!?\n" else NUMBER if first.isdigit() else UNIT if low in UNITS else CAPITAL if first.isupper() else PLAIN
+        kind = STOP if first in ".!?\n" else NUMBER if first.isdigit() or low in NUMBERS else UNIT if low in UNITS else CAPITAL if first.isupper() else PLAIN
         value = self[token] = (((crc32(data) << 32 | crc32(data, 0x5BD1E995)) * 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFF8) | kind
         return value
 
@@ -76,23 +80,23 @@ class Canonical:
         of = np.repeat(np.arange(len(texts)), [len(f) for f in found])
         fresh = np.r_[True, (kind[:-1] == STOP) | (of[1:] != of[:-1])][: len(kind)]  # begins a text or sentence
         self.kept = np.flatnonzero(kind != STOP)
-        fresh, kind, self.text, coded = fresh[self.kept], kind[self.kept], of[self.kept], coded[self.kept] >> np.uint64(3)
+        fresh, kind, of, coded = fresh[self.kept], kind[self.kept], of[self.kept], coded[self.kept] >> np.uint64(3)
         after_number = np.r_[False, kind[:-1] == NUMBER][: len(kind)]
-        self.slots = []
-        self.words = []
+        self.layers = []
         for names in (False, True):
             slot = np.where(kind == NUMBER, NUMBER, np.where((kind == UNIT) & after_number, UNIT, np.where((kind == CAPITAL) & ~fresh & names, CAPITAL, PLAIN)))
             word = coded.copy()
             for k, h in SLOT.items():
                 word[slot == k] = np.uint64(h)
-            self.slots.append(slot)
-            self.words.append(word)
-        self.slots.append(np.full(len(coded), PLAIN, np.int8))
-        self.words.append(coded)
+            begins = np.flatnonzero(~((slot == CAPITAL) & np.r_[False, slot[:-1] == CAPITAL][: len(slot)]))  # of words, or of names of several
+            self.layers.append(Layer(begins, np.r_[begins[1:], len(slot)], slot[begins], word[begins], of[begins]))
+        place = np.arange(len(coded))
+        self.layers.append(Layer(place, place + 1, np.full(len(coded), PLAIN, np.int8), coded, of))
 
     def windows(self, names: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes of the windows of one text each that have enough plain words; of RAW, all."""
-        word, n = self.words[names], len(self.kept) - size + 1
+        layer = self.layers[names]
+        word, n = layer.word, len(layer.word) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         h = np.zeros(n, np.uint64)
@@ -103,13 +107,24 @@ class Canonical:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
         h += np.uint64(names + 4 * size)
-        plain = np.cumsum(np.r_[0, self.slots[names] == PLAIN])
-        at = np.flatnonzero((self.text[:n] == self.text[size - 1 :]) & (plain[size:] - plain[:-size] >= LEAST))
+        plain = np.cumsum(np.r_[0, layer.slot == PLAIN])
+        at = np.flatnonzero((layer.text[:n] == layer.text[size - 1 :]) & (plain[size:] - plain[:-size] >= LEAST))
         return at, h[at].view(np.int64)
 
     def filled(self, names: int, at: int, size: int) -> list[str]:
         """kind:value of each slot of a window, in order."""
-        return [f"{s}:{self.tokens[self.kept[at + k]].lower()}" for k in range(size) if (s := self.slots[names][at + k]) != PLAIN]
+        layer = self.layers[names]
+        return [f"{layer.slot[k]}:{' '.join(self.tokens[w].lower() for w in self.kept[layer.begin[k] : layer.end[k]])}" for k in range(at, at + size) if layer.slot[k] != PLAIN]
+
+
+class Layer(NamedTuple):
+    """Canonical words: from which word to which, their kinds of placeholder, hashes, and texts."""
+
+    begin: np.ndarray
+    end: np.ndarray
+    slot: np.ndarray
+    word: np.ndarray
+    text: np.ndarray
 
 
 def of_items(items: DataFrame) -> DataFrame:
@@ -121,15 +136,16 @@ def of_items(items: DataFrame) -> DataFrame:
             rows = []
             for item_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 made = Canonical(codes, [text or ""])
-                size = min(WINDOW, len(made.kept))
-                if size < LEAST:
+                if len(made.kept) < LEAST:
                     continue
-                half, found = -(-(len(made.kept) - size + 1) // 2), [made.windows(names, size) for names in (0, 1, RAW)]
-                need = [min(half, ENOUGH, max(-(-len(at) // 2), FEW)) for at, _ in found[:RAW]] + [len(found[RAW][0])]
+                lengths = [len(layer.word) for layer in made.layers]
+                sizes = [min(WINDOW, n) for n in lengths]
+                found = [made.windows(names, size) for names, size in enumerate(sizes)]
+                need = [min(-(-(n - size + 1) // 2), ENOUGH, max(-(-len(at) // 2), FEW)) for n, size, (at, _) in zip(lengths, sizes, found)][:RAW] + [len(found[RAW][0])]
                 reached = [k for k in (0, 1) if len(found[k][0]) >= need[k]]
                 for names in reached or [RAW]:
                     for at, h in zip(*found[names], strict=True):
-                        rows.append((item_id, size, len(found[names][0]), need[names], names, int(at), int(h), made.filled(names, at, size)))
+                        rows.append((item_id, sizes[names], len(found[names][0]), need[names], names, int(at), int(h), made.filled(names, at, sizes[names])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], ["item_id", "size", "windows", "need", "names", "at", "hash", "slots"])
 
@@ -151,13 +167,14 @@ def of_documents(docs: DataFrame, table, layers: list[tuple[int, int]], text: st
                     n += len(texts[stop])
                     stop += 1
                 made, rows = Canonical(codes, texts[start:stop]), []
-                first = np.searchsorted(made.text, np.arange(stop - start))
                 for names, size in layers:
+                    of = made.layers[names].text
+                    first = np.searchsorted(of, np.arange(stop - start))
                     at, h = made.windows(names, size)
                     place = h.view(np.uint64) >> np.uint64(64 - BITS)
                     hit = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
                     for a, x in zip(at[hit].tolist(), h[hit].tolist()):
-                        k = int(made.text[a])
+                        k = int(of[a])
                         rows.append((ids[start + k], crc32(texts[start + k].encode()), a - int(first[k]), x, made.filled(names, a, size)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], fields)
