@@ -75,8 +75,10 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, make:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; only where none is named, one of its own."""
+    """The folder that the cluster names for checkpoints; only in local mode, as in tests, one of its own where none is named."""
     if (named := spark.conf.get("spark.checkpoint.dir", None)) is None and (named := spark.sparkContext.getCheckpointDir()) is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -89,11 +91,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def without(docs: DataFrame, ids: DataFrame, most: int = 200_000) -> DataFrame:
-    """docs but those of `ids` (doc_id, distinct); null ids stay. Only up to `most` ids are broadcast, more are shuffled."""
+def without(docs: DataFrame, ids: DataFrame, most: int = 200_000, key: str = "doc_id") -> DataFrame:
+    """docs but those of `ids` (of the column `key`, distinct); null keys stay. Only up to `most` ids are broadcast, more are shuffled."""
     ids = cut(ids)
     few = ids.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), key, "left_anti")
 
 
 def buckets(spark: SparkSession, rows: int, each: int) -> int:
