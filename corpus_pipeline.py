@@ -1,64 +1,7 @@
-"""A training corpus from the table documents, in five stages.
-
-Toxic documents go; of near-duplicates one document stays; documents that leak a benchmark item go;
-secrets are masked; what is left is encoded. Each stage is written as Parquet in the shared folder and
-read again as the next one's input. Rows with a null doc_id pass the stages that remove by id; a null
-text stays null until it is encoded as empty.
-"""
+"""A training corpus from the table documents: STAGES, run and ORACLE_SQL, as odlake.llm.pipeline defines them."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from odlake.llm import bpe, copies, secrets, templates, toxicity
-from odlake.llm.common import shared_folder, table, without
-
-TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-
-
-def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, keep=tuple(docs.columns), score="__score", predicted="__toxic").where("__toxic = 0").select(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return copies.one_of_each(docs)
-
-
-def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = templates.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("doc_id is not null").select("doc_id").distinct()).select(*docs.columns)
-
-
-def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secrets.redacted(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
-
-
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    made = bpe.encode(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))
-    return made.withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", toxic),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", leaked),
-    ("secrets", masked),
-    ("byte_bpe", encoded),
-]
-#: Models, components, templates and tokens are beyond SQL; tests compare the stages with brute force.
-ORACLE_SQL = None
-
+from odlake.llm.pipeline import ORACLE_SQL, STAGES, encoded, leaked, masked, near_duplicates, run, toxic
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "encoded", "leaked", "masked", "near_duplicates", "run", "toxic"]
