@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROWS, MAX_BYTES, TIMEOUT = 1000, 1 << 20, 30.0
-#: Plans of statements that only read, by Spark's own parser; commands, inserts and definitions have others.
-READS = frozenset("Project Filter Sort GlobalLimit LocalLimit Limit Aggregate Join Union Except Intersect Distinct SubqueryAlias UnresolvedRelation UnresolvedWith UnresolvedHaving UnresolvedInlineTable LocalRelation UnresolvedTableValuedFunction UnresolvedSubqueryColumnAliases OneRowRelation Generate WithWindowDefinition Offset Sample Pivot Unpivot LateralJoin Range UnresolvedTVFAliases".split())
+#: Literals, quoted names and comments of SQL text.
+QUOTED = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|--[^\n]*|/\*.*?\*/""", re.DOTALL)
+#: Names that run code of the JVM, or that build names out of text.
+REFUSED = re.compile(r"\b(?:reflect|try_reflect|java_method|identifier)\b", re.IGNORECASE)
+SHOWS = re.compile(r"\s*(?:describe|desc|show|explain)\b", re.IGNORECASE)
+#: JSON around columns and rows, whose bytes count, too.
+ENVELOPE = len('{"columns":[],"rows":[],"row_count":0,"truncated":false}')
 
 
 @dataclass
@@ -23,51 +30,75 @@ class Result:
 
 
 def is_read_only(spark: SparkSession, sql: str) -> bool:
-    """Whether the text is one statement that only reads; text that does not parse raises Spark's own error."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-
-    def reads(node) -> bool:
-        children = node.children()
-        inner = node.innerChildren()
-        return node.nodeName() in READS and all(reads(children.apply(k)) for k in range(children.size())) and all(x.getClass().getName().find("logical") < 0 or reads(x) for x in (inner.apply(k) for k in range(inner.size())))
-
-    return reads(plan)
+    """Whether the text is one statement that only reads tables; text that does not parse raises Spark's own error.
+
+    Spark itself decides: only a query can define a temporary view. Statements that describe, show or
+    explain are let through, functions that run JVM code and paths in place of tables are not.
+    """
+    if REFUSED.search(QUOTED.sub(" ", sql)):
+        return False
+    if SHOWS.match(sql):
+        return True
+    name = f"asked_{uuid.uuid4().hex}"
+    try:
+        spark.sql(f"CREATE TEMPORARY VIEW {name} AS {sql}")
+    except ParseException:
+        try:
+            spark.sql(f"EXPLAIN {sql}")  # raises if this is no SQL at all
+        except ParseException:
+            raise
+        except AnalysisException:
+            pass
+        return False
+    except AnalysisException:  # a query, but of tables or columns that do not exist
+        return True
+    spark.catalog.dropTempView(name)
+    return True
 
 
 def capped(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """df's first rows with __n (from 1) and __bytes, the running JSON size; one row more than max_rows at most, so that a window over them is small."""
-    head = 2 + sum(len(c) + 3 for c in df.columns) + len('"columns":[],"rows":[],"row_count":0,"truncated":false')
+    """df's first rows with __n (from 1) and __over: whether the running size as JSON arrays of values, in bytes, passes max_bytes.
+
+    One row past either cap is kept, if there is one, so that it is known that rows are missing; the
+    window is over max_rows + 1 rows at most. The first row is never over.
+    """
     first = df.limit(max_rows + 1).withColumn("__n", F.monotonically_increasing_id())
-    size = F.length(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})) + 1
+    sizes = [F.octet_length(F.to_json(F.struct(F.col(f"`{c}`").alias("v")), {"ignoreNullFields": "false"})) - len('{"v":}') for c in df.columns]
+    row, head = sum(sizes, F.lit(len(df.columns) + 2)), ENVELOPE + sum(len(c) + 3 for c in df.columns)  # brackets, commas, and the comma behind
     w = Window.orderBy("__n")
-    return first.withColumn("__bytes", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) + head).withColumn("__n", F.row_number().over(w)).where((F.col("__bytes") <= max_bytes) | (F.col("__n") == 1))
+    sized = first.withColumn("__size", row).withColumn("__bytes", F.sum("__size").over(w.rowsBetween(Window.unboundedPreceding, 0)) + head)
+    numbered = sized.withColumn("__n", F.row_number().over(w)).withColumn("__over", (F.col("__bytes") > max_bytes) & (F.col("__n") > 1))
+    return numbered.where(~F.col("__over") | (F.col("__bytes") - F.col("__size") <= max_bytes) | (F.col("__n") == 2)).drop("__size", "__bytes")
 
 
 def run(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, timeout: float = TIMEOUT) -> Result:
-    if not is_read_only(spark, sql):
-        raise PermissionError("read-only: only queries may run")
-    df, group, late = spark.sql(sql), f"query-{uuid.uuid4().hex}", threading.Event()
+    group, late = f"query-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
         late.set()
         spark.sparkContext.cancelJobGroup(group)
 
+    files = spark.conf.get("spark.sql.runSQLOnFiles")
     spark.sparkContext.setJobGroup(group, sql[:200], interruptOnCancel=True)
     timer = threading.Timer(timeout, stop)
     timer.start()
     try:
-        total = df.limit(max_rows + 1)
+        spark.conf.set("spark.sql.runSQLOnFiles", "false")  # no paths in place of tables
+        if not is_read_only(spark, sql):
+            raise PermissionError("read-only: only queries may run")
+        df = spark.sql(sql)
         rows = capped(df, max_rows, max_bytes).collect()  # at most max_rows + 1
-        result = Result(df.columns, [tuple(r)[:-2] for r in rows[:max_rows]])
-        if len(rows) > max_rows:
-            result.truncated, result.note = True, f"result truncated at {max_rows} rows; add LIMIT to your query"
-        elif len(rows) < total.count():
-            result.truncated, result.note = True, f"result truncated at ~{max_bytes} bytes; add LIMIT or SELECT fewer columns"
+        kept = [r for r in rows[:max_rows] if not r["__over"]]
+        result = Result(df.columns, [tuple(r)[:-2] for r in kept], len(kept) < len(rows))
+        if result.truncated:
+            cap = f"{max_rows} rows" if len(kept) == max_rows else f"{max_bytes} bytes"
+            result.note = f"more than {cap}: only the first {len(kept)} rows are given"
         return result
     except Exception as error:
         if late.is_set():
-            raise TimeoutError("query exceeded timeout") from error
+            raise TimeoutError(f"timeout: not done within {timeout:g} s") from error
         raise
     finally:
         timer.cancel()
+        spark.conf.set("spark.sql.runSQLOnFiles", files)
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -39,34 +39,36 @@ def usable(columns: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     return kept.where(~name.isin(list(skip))) if skip else kept
 
 
-def build(columns: Iterable[tuple[str, str]], row: Column, keyed: bool = False) -> dict[str, coerce.Coerced]:
-    """Target column -> typed value of a VARIANT row; points become longitude, latitude and raw JSON."""
-    made: dict[str, coerce.Coerced] = {}
+def build(rows: DataFrame, columns: Iterable[tuple[str, str]], row: str = "v", keyed: bool = False) -> tuple[DataFrame, dict[str, coerce.Coerced]]:
+    """rows with each field at hand, and target column -> typed value of the VARIANT column `row`; points become longitude, latitude and raw JSON."""
+    columns, made = list(columns), {}
+    rows, fields = coerce.staged(rows, {name: coerce.field(F.col(row), name) for name in [*([SYSTEM_ID] if keyed else []), *(name for name, _ in columns)]})
     if keyed:
-        made[RECORD_ID] = coerce.to_text(coerce.field(row, SYSTEM_ID))
+        made[RECORD_ID] = coerce.to_text(fields[SYSTEM_ID])
     for name, source_type in columns:
-        value, kind = coerce.field(row, name), kind_of(source_type)
+        value, kind = fields[name], kind_of(source_type)
         if kind == "point":
             made |= {f"{name}_lon": coerce.coordinate(value, 0), f"{name}_lat": coerce.coordinate(value, 1), f"{name}_raw": coerce.to_json_text(value)}
         else:
             made[name] = _COERCE[kind](value)
-    return made
+    return rows, made
 
 
 def typed(rows: DataFrame, columns: Iterable[tuple[str, str]], row: str = "v", keyed: bool = False, keep: Sequence[str] = (), at: Sequence[str] = ("page", "pos")) -> DataFrame:
     """Strict: any value that cannot be coerced fails the job, naming its place and column."""
     where = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in at if c in rows.columns]
-    made = build(columns, F.col(row), keyed)
+    rows, made = build(rows, columns, row, keyed)
     return rows.select(*keep, *(c.strict(*where, f"column={name}").alias(name) for name, c in made.items()))
 
 
 def split(rows: DataFrame, columns: Iterable[tuple[str, str]], row: str = "v", keyed: bool = False, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Permissive: typed good rows, and the rows with a bad value with the names of their bad columns."""
-    made = build(columns, F.col(row), keyed)
+    given = rows.columns
+    rows, made = build(rows, columns, row, keyed)
     bad = F.array_compact(F.array(*(F.when(c.bad, name) for name, c in made.items())))
     marked = rows.withColumn("bad_columns", bad)
     good = marked.where(F.size("bad_columns") == 0).select(*keep, *(c.value.alias(name) for name, c in made.items()))
-    return good, marked.where(F.size("bad_columns") > 0)
+    return good, marked.where(F.size("bad_columns") > 0).select(*given, "bad_columns")
 
 
 def _normal(type_name: Column) -> Column:

@@ -43,7 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="odlake-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="odlake-")
     return f"{named}/{name}-{uuid.uuid4().hex}"
 
 
@@ -58,11 +62,11 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.parse_json(F.to_json(row)).alias("v"))
 
 
-def land(spark: SparkSession, sf_dir: str, folder: str, pages: int = 16) -> None:
-    """events as page files, each a JSON array."""
-    rows = event_rows(spark, sf_dir).withColumn("page", F.pmod("event_id", F.lit(pages)))
+def land(spark: SparkSession, sf_dir: str, folder: str, page: int = 5000) -> None:
+    """events as page files, each a JSON array of `page` rows at most: pages grow in number with the table, not in size."""
+    rows = event_rows(spark, sf_dir).withColumn("page", F.expr(f"event_id div {page}"))
     arrays = rows.groupBy("page").agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json("v")), ","), F.lit("]")).alias("value"))  # a page of rows
-    arrays.select("value").repartition(pages).write.mode("overwrite").text(folder)
+    arrays.select("value").write.option("maxRecordsPerFile", 1).mode("overwrite").text(folder)
 
 
 @registered("""
@@ -430,14 +434,14 @@ def attached(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 @registered("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 1000")
 def row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy("doc_id")
-    return user_query.capped(ordered, 1000, 1 << 30).where(F.col("__n") <= 1000).drop("__n", "__bytes")
+    return user_query.capped(ordered, 1000, 1 << 30).where(F.col("__n") <= 1000).drop("__n", "__over")
 
 
 @registered("""
-SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, sum(length('{"doc_id":' || doc_id || ',"source":"' || source || '"}') + 1) OVER (ORDER BY doc_id) + 75 AS b FROM documents ORDER BY doc_id LIMIT 1001) WHERE k = 1 OR b <= 8192""")
+SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, sum(strlen('[' || doc_id || ',"' || source || '"]') + 1) OVER (ORDER BY doc_id) + strlen('{"columns":[],"rows":[],"row_count":0,"truncated":false}') + 18 AS b FROM documents ORDER BY doc_id LIMIT 1001) WHERE k = 1 OR b <= 8192""")
 def byte_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = table(spark, sf_dir, "documents").select("doc_id", "source").orderBy("doc_id")
-    return user_query.capped(ordered, 1000, 8192).select("doc_id")
+    return user_query.capped(ordered, 1000, 8192).where(~F.col("__over")).select("doc_id")
 
 
 @registered("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_brand AS category, array_to_string(string_split(p_type, ' '), '|') AS tags, TIMESTAMP '2024-01-15 10:00:00' AS updated_at FROM part")

@@ -14,25 +14,36 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from odlake.functions.coerce import lenient_timestamp
 
 Fetch = Callable[[str], tuple[int, str]]
-#: Rows of a page, tries, first wait in seconds (doubled each time), and statuses that are tried again.
-PAGE, TRIES, WAIT = 5000, 5, 1.0
-
-
-def fetched(fetch: Fetch, url: str, tries: int = TRIES, wait: float = WAIT) -> str:
-    """The body; 429 and 5xx are tried again, other failures end it at once."""
-    for k in range(tries):
-        status, body = fetch(url)
-        if status < 400:
-            return body
-        if status != 429 and status < 500:
-            break
-        if k + 1 < tries:
+#: Rows of a page, tries after the first, and the first wait in seconds (doubled each time).
+PAGE, RETRIES, WAIT = 5000, 5, 1.0
+
+
+def fetched(fetch: Fetch, url: str, retries: int = RETRIES, wait: float = WAIT) -> str:
+    """The body; 429, 5xx and failures of the transport are tried again, other statuses end it at once."""
+    for k in range(retries + 1):
+        try:
+            status, body = fetch(url)
+        except OSError as error:  # timeouts, resets, and what urllib makes of them
+            last: Exception = error
+        else:
+            if status < 400:
+                return body
+            last = RuntimeError(f"{url}: status {status}")
+            if status != 429 and status < 500:
+                break
+        if k < retries:
             time.sleep(wait * 2**k)
-    raise RuntimeError(f"{url}: status {status}")
+    raise RuntimeError(f"{url}: {last}") from last
+
+
+def quoted(value: str) -> str:
+    """A text literal of the portal's filter language."""
+    return "'" + value.replace("'", "''") + "'"
 
 
 def rows_url(options: dict, offset: int, size: int) -> str:
-    asked = {"$order": options.get("order"), "$where": options.get("where"), "$select": options.get("select") or (":*,*" if options.get("systemFields", "").lower() == "true" else None)}
+    """A page's address; without an order of its own, by record id, as pages of no order may repeat and miss rows."""
+    asked = {"$order": options.get("order") or ":id", "$where": options.get("where"), "$select": options.get("select") or (":*,*" if options.get("systemFields", "").lower() == "true" else None)}
     query = urlencode({k: v for k, v in asked.items() if v} | {"$limit": size, "$offset": offset})
     return f"https://{options['portal']}/resource/{options['dataset']}.json?{query}"
 
@@ -105,7 +116,8 @@ class NewerRows(SimpleDataSourceStreamReader):
         return {"hwm": self.options.get("startingHwm", ""), "id": ""}
 
     def _after(self, start: dict) -> list[dict]:
-        newer = f"{self.column} > '{start['hwm']}' OR ({self.column} = '{start['hwm']}' AND :id > '{start['id']}')" if start["hwm"] else None
+        mark, at = quoted(start["hwm"]), quoted(start["id"])
+        newer = f"{self.column} > {mark} OR ({self.column} = {mark} AND :id > {at})" if start["hwm"] else None
         where = " AND ".join(f"({w})" for w in (newer, self.options.get("where")) if w)
         asked = self.options | {"order": f"{self.column},:id", "where": where, "systemFields": "true"}
         return json.loads(fetched(self.fetch, rows_url(asked, 0, self.size), wait=float(self.options.get("wait", WAIT))))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from dataclasses import replace
+from urllib.parse import parse_qs, urlparse
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -278,6 +279,42 @@ def test_reads_are_allowed(spark, sql):
     assert query.is_read_only(spark, sql)
 
 
+REFLECTING = ["SELECT java_method('java.lang.System', 'setProperty', 'zz', '1')", "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT `try_reflect` ('java.util.UUID', 'randomUUID')", "SELECT reflect/* */('java.util.UUID', 'randomUUID')", "SELECT IDENTIFIER('ref' || 'lect')('java.util.UUID', 'randomUUID')", "FROM range(1) INSERT INTO t SELECT *", "SELECT 1) AS x; DROP TABLE t"]
+
+
+@pytest.mark.parametrize("sql", REFLECTING[:-1])
+def test_nothing_else_runs(spark, sql):
+    with pytest.raises(PermissionError, match="read-only"):
+        query.run(spark, sql)
+
+
+def test_paths_and_several_statements_are_refused(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    with pytest.raises(Exception, match="(?i)not_found|cannot be found"):
+        query.run(spark, f"SELECT * FROM parquet.`{tmp_path}/t`")
+    with pytest.raises(Exception, match="(?i)syntax|read-only"):
+        query.run(spark, REFLECTING[-1])
+    assert spark.sql(f"SELECT * FROM parquet.`{tmp_path}/t`").count() == 3  # only user queries are kept off
+
+
+def test_other_reads(spark):
+    spark.range(3).createOrReplaceTempView("three")
+    assert query.run(spark, "SELECT /*+ BROADCAST(a) */ a.id FROM three a JOIN three b ON a.id = b.id").rows == [(0,), (1,), (2,)]
+    assert query.run(spark, "FROM three |> WHERE id > 1").rows == [(2,)]
+    assert query.run(spark, "SELECT 'reflect(1)' AS s").rows == [("reflect(1)",)]
+    assert query.run(spark, "DESCRIBE three").rows and query.run(spark, "EXPLAIN SELECT 1").rows and query.run(spark, "SHOW TABLES").columns
+    assert query.run(spark, "SELECT * FROM three WHERE id < 0").rows == []
+
+
+def test_byte_cap_counts_arrays_of_values_in_bytes(spark):
+    head = len('{"columns":[],"rows":[],"row_count":0,"truncated":false}') + len("s") + 3
+    row = len('["ééé",null]'.encode()) + 1 + len("n") + 3 - len("n") - 3
+    for most, expected in ((head + len("n") + 3 + 2 * row, 2), (head + len("n") + 3 + 2 * row - 1, 1), (1, 1)):
+        got = query.run(spark, "SELECT 'ééé' AS s, CAST(NULL AS INT) AS n FROM range(5)", max_bytes=most)
+        assert len(got.rows) == expected and got.truncated
+    assert not query.run(spark, "SELECT 'ééé' AS s, CAST(NULL AS INT) AS n FROM range(5)", max_bytes=head + len("n") + 3 + 5 * row).truncated
+
+
 def test_bad_sql_passes_the_parser_message(spark):
     with pytest.raises(Exception, match="(?i)syntax"):
         query.run(spark, "not sql")
@@ -361,3 +398,33 @@ def test_several_datasets_at_a_time(spark, tmp_path):
     log = {r["dataset_id"]: r["status"] for r in store.run(some).collect()}
     assert log == {f"d{k}": "failed" if k == 2 else "ok" for k in range(5)}
     assert store.tally().first().asDict() | {"run_id": ""} == {"run_id": "", "planned": 5, "ok": 4, "failed": 1, "aborted": 0}
+
+
+def test_fetch_tries_again_after_failures_of_the_transport():
+    calls = []
+
+    def flaky(url):
+        calls.append(url)
+        if len(calls) < 3:
+            raise TimeoutError("timed out")
+        return (503, "") if len(calls) < 6 else (200, "[]")
+
+    assert portal.fetched(flaky, "u", wait=0) == "[]" and len(calls) == 6
+    with pytest.raises(RuntimeError, match="reset"):
+        portal.fetched(lambda url: (_ for _ in ()).throw(ConnectionResetError("reset")), "u", retries=2, wait=0)
+    assert "%24order=%3Aid" in portal.rows_url({"portal": "p", "dataset": "d"}, 0, 10) and portal.quoted("o'x") == "'o''x'"
+
+
+def test_catalog_pages(spark):
+    entries = [{"resource": {"id": f"aaaa-000{k}", "name": f"n{k}"}, "classification": {"domain_tags": ["t"]}} for k in range(5)]
+
+    def fetch(url):
+        asked = {k: v[0] for k, v in parse_qs(urlparse(url).query).items()}
+        at, size = int(asked["offset"]), int(asked["limit"])
+        return 200, json.dumps({"resultSetSize": 5, "results": entries[at : at + size]})
+
+    for source in portal.sources(fetch):
+        spark.dataSource.register(source)
+    pages = spark.read.format("portal_catalog").option("portal", "p").option("pageSize", 2).load()
+    assert [r["id"] for r in portal.catalog_entries(portal.parsed(pages)).orderBy("id").collect()] == [f"aaaa-000{k}" for k in range(5)]
+    assert pages.select("page").distinct().count() == 3
