@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import islice, pairwise
 
@@ -51,6 +52,14 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 PLANES = range(0x40000)
 
 
+def spans(points: Iterable[int]) -> str:
+    """The points as ranges of a character class: a class that names each point is searched point by point."""
+    points = np.sort(np.fromiter(points, np.int64))
+    ends = np.flatnonzero(np.diff(points, append=points[-1] + 2) > 1)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(points[begins].tolist(), points[ends].tolist()))
+
+
 class Splitter:
     """A text's pieces by a pattern, as the library splits it."""
 
@@ -62,7 +71,7 @@ class Splitter:
         for c, kind in zip(unsure, self.kinds(pattern, unsure)):
             if kind != next((k for k, p in own.items() if p.match(c)), "other"):
                 self.table[ord(c)] = stands[kind]
-        self.differs = re.compile(f"[{''.join(map(chr, self.table))}]") if self.table else None
+        self.differs = re.compile(f"[{spans(self.table)}]") if self.table else None
 
     @staticmethod
     def kinds(pattern: str, characters: list[str]) -> list[str]:
