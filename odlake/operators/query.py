@@ -72,11 +72,13 @@ def capped(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES)
 
 
 def run(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, timeout: float = TIMEOUT) -> Result:
-    group, late = f"query-{uuid.uuid4().hex}", threading.Event()
+    group, late, ended = f"query-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.sparkContext.cancelJobGroup(group)
+        while not ended.is_set():  # jobs that begin only after the limit, too: planning may take longer than it
+            spark.sparkContext.cancelJobGroup(group)
+            ended.wait(0.2)
 
     files = spark.conf.get("spark.sql.runSQLOnFiles")
     spark.sparkContext.setJobGroup(group, sql[:200], interruptOnCancel=True)
@@ -88,6 +90,8 @@ def run(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS, max_bytes: int
             raise PermissionError("read-only: only queries may run")
         df = spark.sql(sql)
         rows = capped(df, max_rows, max_bytes).collect()  # at most max_rows + 1
+        if late.is_set():
+            raise RuntimeError("done after the limit")
         kept = [r for r in rows[:max_rows] if not r["__over"]]
         result = Result(df.columns, [tuple(r)[:-2] for r in kept], len(kept) < len(rows))
         if result.truncated:
@@ -99,6 +103,7 @@ def run(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS, max_bytes: int
             raise TimeoutError(f"timeout: not done within {timeout:g} s") from error
         raise
     finally:
+        ended.set()
         timer.cancel()
         spark.conf.set("spark.sql.runSQLOnFiles", files)
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
