@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice, pairwise
 
@@ -31,20 +31,30 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: Distinct pieces that a worker remembers before it begins anew; bounds its memory, not its results.
-REMEMBERED = 200_000
+#: Distinct pieces and token pairs that a worker remembers before it begins anew; bounds its memory, not its results.
+REMEMBERED, PAIRS = 600_000, 2_000_000
 #: Pieces of a text that are put together at a time.
 AT_ONCE = 200_000
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The encoding by its definition: join the adjacent pair of least rank until none is left."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, i = min((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(pairwise(parts)))
-        if rank == 1 << 40:
-            break
+NEVER = 1 << 40
+
+
+def merging(piece: bytes, ranks: dict[bytes, int]) -> Iterator[tuple[int, list[bytes]]]:
+    """A piece's parts, from its bytes on, and the rank that made them: the adjacent pair of least rank is joined until none is left."""
+    parts, rank = [piece[i : i + 1] for i in range(len(piece))], -1
+    while True:
+        yield rank, parts
+        rank, i = min(((ranks.get(a + b, NEVER), i) for i, (a, b) in enumerate(pairwise(parts))), default=(NEVER, 0))
+        if rank == NEVER:
+            return
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The encoding by its definition."""
+    for _, parts in merging(piece, ranks):
+        pass
     return [ranks[p] for p in parts]
 
 
@@ -112,6 +122,7 @@ class Pieces(dict):
         self.longest.make_automaton()
         self.shorter = {i: next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ranks), -1) for t, i in self.ranks.items()}
         self.pairs: dict[int, bool] = {}
+        self.seen: dict[int, tuple | None] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -122,9 +133,40 @@ class Pieces(dict):
     def decode(self, ids: bytes) -> bytes:
         return b"".join([self.bytes[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
+    def edges(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None:
+        """The parts that stand at a token's begin and at its end while it is merged, each with the rank that joins it to
+        more; None, if the merges do not make the token or make it out of the ranks' order."""
+        if token not in self.seen:
+            begin, end, last = [], [], -1
+            for rank, parts in merging(self.bytes[token], self.raw):
+                for side, part in ((begin, parts[0]), (end, parts[-1])):
+                    if not side or side[-1][0] != part:
+                        if side:
+                            side[-1] = (side[-1][0], rank)
+                        side.append((part, NEVER))
+                last = NEVER if rank < last else rank
+            self.seen[token] = (begin, end) if last < NEVER and len(parts) == 1 else None
+        return self.seen[token]
+
     def fit(self, pair: int) -> bool:
+        """Whether no part at the first token's end is joined with one at the second's begin while both stand.
+
+        Joins come in the order of their ranks, and the left one first of two of one rank: so a join across
+        yields to one of its rank within the first token and precedes one within the second.
+        """
         a, b = pair >> 32, pair & 0xFFFFFFFF
-        known = self.pairs[pair] = merged(self.bytes[a] + self.bytes[b], self.raw) == [a, b]
+        if (first := self.edges(a)) and (second := self.edges(b)):
+            left, right, known, i, j = first[1], second[0], True, 0, 0
+            while known and i < len(left) and j < len(right):
+                (x, x_ends), (y, y_ends) = left[i], right[j]
+                across = self.raw.get(x + y, NEVER)
+                known = across >= x_ends or across > y_ends
+                i, j = (i + 1, j) if x_ends <= y_ends else (i, j + 1)
+        else:
+            known = merged(self.bytes[a] + self.bytes[b], self.raw) == [a, b]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[pair] = known
         return known
 
     def encode(self, text: str) -> list[int]:
