@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, graph, pipeline, relative, secrets, sharding, simhash, suffixes, templates, tokens, toxicity, winnowing
+from . import bpe, graph, pipeline, relative, secrets, sharding, simhash, suffixes, templates, tokens, toxicity, whitening, winnowing
 from .common import table
 
 SHARDS = tuple(f"shard-{k:02d}" for k in range(16))
@@ -68,8 +68,13 @@ def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.beside_next(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return made.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_nearest, op4_token_counts, op5_suffix_dedup, op6_lempel_ziv_dedup, op7_sharding, op8_simhash, op9_decontamination, op10_byte_bpe, op12_winnowing)} | {"pipeline": pipeline.run}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_nearest, op4_token_counts, op5_suffix_dedup, op6_lempel_ziv_dedup, op7_sharding, op8_simhash, op9_decontamination, op10_byte_bpe, op12_winnowing, op13_whitening)} | {"pipeline": pipeline.run}
 
 
 OP7 = f"""
