@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, graph, pipeline, relative, secrets, sharding, simhash, suffixes, templates, tokens, toxicity, whitening, winnowing
+from . import bpe, graph, pipeline, relative, secrets, sharding, simhash, spelling, suffixes, templates, tokens, toxicity, whitening, winnowing
 from .common import table
 
 SHARDS = tuple(f"shard-{k:02d}" for k in range(16))
@@ -64,6 +64,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.beside_next(table(spark, sf_dir, "documents"))
 
@@ -74,7 +78,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_nearest, op4_token_counts, op5_suffix_dedup, op6_lempel_ziv_dedup, op7_sharding, op8_simhash, op9_decontamination, op10_byte_bpe, op12_winnowing, op13_whitening)} | {"pipeline": pipeline.run}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_nearest, op4_token_counts, op5_suffix_dedup, op6_lempel_ziv_dedup, op7_sharding, op8_simhash, op9_decontamination, op10_byte_bpe, op11_spelling, op12_winnowing, op13_whitening)} | {"pipeline": pipeline.run}
 
 
 OP7 = f"""
