@@ -19,13 +19,6 @@ def latest_ok(runs: DataFrame, by: tuple[str, ...] = ("dataset_id",)) -> DataFra
     return runs.where("status = 'ok'").groupBy(*by).agg(last.alias("last")).select(*by, "last.*")
 
 
-def last_events(events: DataFrame) -> DataFrame:
-    """The run log from its start and finish events: the finish, or else the start, of each run and dataset."""
-    rest = [c for c in events.columns if c not in ("run_id", "dataset_id")]
-    last = F.max_by(F.struct(*rest), F.struct(F.col("finished_at").isNotNull(), "started_at"))
-    return events.groupBy("run_id", "dataset_id").agg(last.alias("last")).select("run_id", "dataset_id", "last.*")
-
-
 def portals(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One table of all portals' tables, with the portal's alias first."""
     return reduce(lambda a, b: a.unionByName(b), (df.select(F.lit(name).alias("portal"), "*") for name, df in sorted(tables.items())))

@@ -1,14 +1,17 @@
 """Incremental loads into versioned Parquet tables: full replace, or a keyed merge above a high-water mark.
 
-A store is a folder: <root>/<table>/v=<run_id> holds one version, and small tables under <root>/_meta
-hold which version is live, each dataset's state and the run log. A version is written and checked
-before it goes live, and state is written last; a failed run leaves the live version and the mark as
-they were. The mark is taken from the rows that were published.
+A store is a folder. A keyed table is kept in buckets by a hash of its key: <root>/<table>/v=<version>/__bucket=<k>
+holds what a version wrote of bucket k, and a version's manifest names, for every bucket, the version whose
+folder is its content. A load rewrites the buckets that its rows fall in and carries the others over by
+reference. A version is written and checked before its manifest and the note that makes it live; state is
+noted last; a failed run leaves the live version and the mark as they were. Counts, marks and faults of keys are
+observed on the write itself. Superseded versions are removed after a retention time.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 import threading
 import uuid
@@ -16,18 +19,23 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from odlake.functions.coerce import lenient_timestamp
-from odlake.operators.catalog import key_faults, last_events, tally
+from odlake.operators.catalog import tally
+from odlake.operators.notes import Notes
 from odlake.plans import schema
 from odlake.plans.schema import RECORD_ID
+from odlake.sources.folder import Folder
 
 RUNS = "run_id string, dataset_id string, table_name string, started_at timestamp_ntz, finished_at timestamp_ntz, status string, rows_written long, error string, duration_ms long, config_hash string"
-STATE = "dataset_id string, hwm_updated_at timestamp_ntz, last_full_replace_at timestamp_ntz, last_run_id string, hwm_column string, written_at timestamp_ntz"
+STATE = "dataset_id string, hwm_updated_at timestamp_ntz, last_full_replace_at timestamp_ntz, last_run_id string, hwm_column string, hwm_id string"
 LIVE = "table_name string, version string, published_at timestamp_ntz"
-HWM = "__hwm"
+HWM, BUCKET, NEW = "__hwm", "__bucket", "__new"
+#: How long a superseded version is kept.
+RETENTION = dt.timedelta(days=7)
 
 
 class SchemaDrift(Exception):
@@ -39,9 +47,9 @@ def new_run_id() -> str:
     return f"{dt.datetime.now(dt.UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
 
 
-def last_write(rows: DataFrame, key: str, *order: str) -> DataFrame:
+def last_write(rows: DataFrame, key: str | Sequence[str], *order: str) -> DataFrame:
     """One row a key: the last by `order`."""
-    w = Window.partitionBy(key).orderBy(*(F.desc_nulls_last(c) for c in order))
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*(F.desc_nulls_last(c) for c in order))
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -61,16 +69,23 @@ def advanced(rows: DataFrame, hwm: str, previous: dt.datetime | None) -> DataFra
     return rows.agg(F.greatest(F.lit(previous).cast("timestamp_ntz"), F.max(hwm)).alias("hwm"))
 
 
-def page_marks(rows: DataFrame, hwm: str, page: Column, every: int) -> DataFrame:
-    """page, hwm: the running mark at every n-th page of rows that come ordered by hwm."""
-    pages = rows.groupBy(page.alias("page")).agg(F.max(hwm).alias("hwm"))
-    running = F.max("hwm").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, 0))  # a row a page
-    return pages.withColumn("hwm", running).where(F.col("page") % every == 0)
+def page_marks(rows: DataFrame, hwm: str, page: Column, every: int, chunk: int = 10_000) -> DataFrame:
+    """page, hwm: the running mark at every n-th page of rows that come ordered by hwm. Pages run in chunks, each led by the marks of the chunks before it."""
+    pages = rows.groupBy(page.alias("page")).agg(F.max(hwm).alias("hwm")).withColumn("__chunk", F.floor(F.col("page") / chunk))
+    upto = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row a chunk
+    led = pages.groupBy("__chunk").agg(F.max("hwm").alias("__top")).select("__chunk", F.max("__top").over(upto).alias("__before"))
+    running = F.max("hwm").over(Window.partitionBy("__chunk").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
+    marked = pages.withColumn("hwm", running).join(led, "__chunk")
+    return marked.select("page", F.greatest("hwm", "__before").alias("hwm")).where(F.col("page") % every == 0)
 
 
 @dataclass
 class Target:
-    """A dataset to load: rows(mark) gives landed rows (VARIANT v) above a mark; columns are its source columns."""
+    """A dataset to load: rows(mark) gives landed rows (VARIANT v) above a mark; columns are its source columns.
+
+    With checkpoint_every_n_pages, a delta is loaded in groups of so many pages: group(mark, id) gives the next
+    rows above both, in their order, and the store's mark follows each group.
+    """
 
     dataset_id: str
     table: str
@@ -83,55 +98,200 @@ class Target:
     config_hash: str = ""
     inclusive: bool = False
     limit: int = 0
+    checkpoint_every_n_pages: int = 0
+    group: Callable[[dt.datetime | None, str | None], DataFrame] | None = None
 
 
-class Store:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root, self.notes = spark, root, threading.Lock()
+@dataclass
+class Written:
+    """What a write has seen: its rows, their greatest mark, and the (mark, id) of the last one fetched."""
+
+    rows: int
+    mark: dt.datetime | None = None
+    last: tuple[dt.datetime | None, str] | None = None
+
 
-    def meta(self, name: str, kind: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_meta/{name}")
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(kind).parquet(f"{self.root}/_meta/{name}") if there else self.spark.createDataFrame([], kind)
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
-    def note(self, name: str, kind: str, *row) -> None:
-        with self.notes:  # datasets may load at the same time
-            self.spark.createDataFrame([row], kind).coalesce(1).write.mode("append").parquet(f"{self.root}/_meta/{name}")
+
+class Store:
+    """One writer a table at a time; any number of readers. `buckets` (default: spark.sql.shuffle.partitions) holds for tables that it creates; their manifests keep it."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, retention: dt.timedelta | None = RETENTION) -> None:
+        self.spark, self.root, self.retention = spark, root.rstrip("/"), retention
+        self.buckets, self.folder = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), Folder(spark, root)
+        kinds = {"sync_runs": (RUNS, ("run_id", "dataset_id")), "dataset_state": (STATE, ("dataset_id",)), "live": (LIVE, ("table_name",))}
+        self.notes = {name: Notes(spark, self.folder, f"_meta/{name}", kind, key) for name, (kind, key) in kinds.items()}
 
     def runs(self) -> DataFrame:
-        return last_events(self.meta("sync_runs", RUNS))
+        return self.notes["sync_runs"].table()
 
     def state(self) -> DataFrame:
-        kept = self.meta("dataset_state", STATE)
-        return last_write(kept, "dataset_id", "written_at").drop("written_at")
+        return self.notes["dataset_state"].table()
 
     def live(self, table: str) -> str | None:
-        row = self.meta("live", LIVE).where(F.col("table_name") == table).agg(F.max_by("version", "published_at")).first()
-        return row[0]
+        note = self.notes["live"].get(table)
+        return note and note["version"]
+
+    def manifest(self, table: str, version: str | None = None) -> dict | None:
+        """Of a version, or of the live one: key, buckets (0: none), parts (versions: of each bucket, or all) and schema."""
+        if (version := version or self.live(table)) is None or not self.folder.exists(name := f"{table}/_manifests/{version}.json"):
+            return None
+        return json.loads(self.folder.read(name))
 
     def read(self, table: str) -> DataFrame | None:
-        version = self.live(table)
-        return None if version is None else self.spark.read.parquet(f"{self.root}/{table}/v={version}")
+        return None if (made := self.manifest(table)) is None else self._rows(made)
+
+    def read_in_order(self, table: str = "catalog", key: str = "id") -> DataFrame | None:
+        """A table that was written in ranges of `key`, its files one after the other: no sort. Refused for other tables."""
+        if (made := self.manifest(table)) is None:
+            return None
+        if made["sorted"] != key:
+            raise ValueError(f"{table} is not kept in the order of {key}")
+        (version,), read = made["parts"], self.spark.read.schema(StructType.fromJson(made["schema"]))
+        files = [f for f in self.folder.names(f"{table}/v={version}") if f.startswith("part-")]  # numbered in the order of ranges
+        df = None
+        for f in files:
+            one = read.parquet(f"{self.root}/{table}/v={version}/{f}")
+            df = one if df is None else df.union(one)
+        return self._rows(made) if df is None else df
+
+    def _rows(self, made: dict, only: Sequence[int] | None = None) -> DataFrame:
+        kept, kind = f"{self.root}/{made['table']}/v=", StructType.fromJson(made["schema"])
+        chosen = range(made["buckets"]) if only is None else only
+        folders = [f"{kept}{v}/{BUCKET}={k}" for k in chosen if (v := made["parts"][k])] if made["buckets"] else [f"{kept}{v}" for v in made["parts"]]
+        return self.spark.read.schema(kind).parquet(*folders) if folders else self.spark.createDataFrame([], kind)
+
+    def _go_live(self, table: str, version: str, kind: StructType, parts: Sequence[str | None], key: str | None = None, order: str | None = None, mark: dt.datetime | None = None) -> dict:
+        made = {"table": table, "version": version, "key": key, "buckets": len(parts) if key else 0, "parts": list(parts), "sorted": order, "mark": mark and mark.isoformat(), "published_at": _now().isoformat(), "schema": kind.jsonValue()}
+        self.folder.remove(name := f"{table}/_manifests/{version}.json")  # of a run that ended before it went live
+        self.folder.write(name, json.dumps(made))
+        self.notes["live"].add(table, version, _now())
+        if self.retention is not None:
+            self.clean(table, self.retention)
+        return made
+
+    def _write(self, table: str, df: DataFrame, version: str) -> Written:
+        """A version's folder of a table without a key."""
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{self.root}/{table}/v={version}")  # not live yet: what a crashed run may have left
+        return Written(seen.get["rows"])
+
+    def _write_buckets(self, path: str, rows: DataFrame, key: str, buckets: int, last: Callable[[DataFrame], DataFrame] | None = None) -> Written:
+        """rows in a folder for each bucket, dealt once. last: takes one row a key; without it, repeated keys are a fault, as null ones are."""
+        dealt = rows.withColumn(BUCKET, bucket_of(key, buckets)).repartition(BUCKET)  # the windows below need no other
+        if last:
+            dealt = last(dealt).withColumn("__n", F.lit(1))
+        else:
+            dealt = dealt.withColumn("__n", F.row_number().over(Window.partitionBy(BUCKET, key).orderBy(key)))
+        bad, seen = F.col(key).isNull() | (F.col("__n") > 1), Observation()
+        mark = F.max(HWM if HWM in dealt.columns else F.lit(None).cast("timestamp_ntz"))
+        dealt = dealt.observe(seen, F.count(F.lit(1)).alias("rows"), mark.alias("mark"), F.count_if(bad).alias("bad"), F.min(F.when(bad, F.col(key).cast("string"))).alias("fault"))
+        dealt.drop("__n").write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/{path}")
+        got = seen.get
+        if got["bad"]:
+            self.folder.remove(path)
+            raise ValueError(f"{path.split('/')[0]}: key {key} is null or repeated: {got['fault']!r}")
+        return Written(got["rows"], got["mark"])
+
+    def _buckets_in(self, path: str) -> list[int]:
+        return sorted(int(n.split("=")[1]) for n in self.folder.names(path) if n.startswith(f"{BUCKET}="))
+
+    def create(self, table: str, df: DataFrame, version: str, key: str) -> Written:
+        """A keyed table's version of df alone, live if its key is unique and never null."""
+        path = f"{table}/v={version}"
+        made, there = self._write_buckets(path, df, key, self.buckets), set(self._buckets_in(path))
+        self._go_live(table, version, df.schema, [version if k in there else None for k in range(self.buckets)], key, mark=made.mark)
+        return made
 
     def publish(self, table: str, df: DataFrame, version: str, key: str | None = None) -> DataFrame:
-        """Writes a version, checks its key, and makes it live."""
-        path = f"{self.root}/{table}/v={version}"
-        df.write.mode("overwrite").parquet(path)  # not live yet: what a crashed run may have left
-        made = self.spark.read.parquet(path)
-        if key and not (faults := key_faults(made, key).limit(1)).isEmpty():
-            raise ValueError(f"{table}: key {key} is null or repeated: {faults.first()[0]!r}")
-        self.note("live", LIVE, table, version, _now())
+        """Writes a version of df alone, checks its key, and makes it live."""
+        if key:
+            self.create(table, df, version, key)
+        else:
+            self._write(table, df, version)
+            self._go_live(table, version, df.schema, [version])
+        return self.read(table)
+
+    def merge(self, table: str, rows: DataFrame, version: str) -> Written:
+        """The rows (with __hwm, page and pos) merged by record_id: of rows of one key, the greatest mark wins, of equal marks the later one.
+
+        The rows are landed by bucket first, in one pass; then only their buckets are read, merged and written.
+        """
+        live, path = self.manifest(table), f"{table}/delta={version}"
+        buckets, fetched = live["buckets"] if live else self.buckets, Observation()
+        rows = rows.observe(fetched, F.max_by(F.struct(HWM, RECORD_ID), F.struct("page", "pos")).alias("last"))
+        made = self._write_buckets(path, rows, RECORD_ID, buckets, lambda dealt: last_write(dealt, (BUCKET, RECORD_ID), HWM, "page", "pos").drop("page", "pos"))
+        made.last = tuple(last) if (last := fetched.get.get("last")) else None  # no rows may leave nothing observed
+        if not made.rows:
+            self.folder.remove(path)
+            return made
+        touched, kind = self._buckets_in(path), rows.drop("page", "pos").schema
+        delta = self.spark.read.schema(StructType([*kind.fields]).add(BUCKET, "integer")).parquet(f"{self.root}/{path}").withColumn(NEW, F.lit(1))
+        if live:
+            old = self._rows(live, touched).withColumn(BUCKET, bucket_of(RECORD_ID, buckets)).withColumn(NEW, F.lit(0))
+            both = old.unionByName(delta).repartition(BUCKET)
+            delta = last_write(both, (BUCKET, RECORD_ID), HWM, NEW)
+        delta.drop(NEW).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/{table}/v={version}")
+        parts = list(live["parts"]) if live else [None] * buckets
+        for k in touched:
+            parts[k] = version
+        self._go_live(table, version, kind, parts, RECORD_ID, mark=made.mark)
+        self.folder.remove(path)
         return made
 
-    def replace_catalog(self, entries: DataFrame, version: str) -> None:
-        """The whole catalog, stamped; no entries keep the old one."""
-        if not entries.isEmpty():
-            self.publish("catalog", entries.withColumn("fetched_at", F.lit(_now())), version)
+    def clean(self, table: str, keep: dt.timedelta = RETENTION) -> list[str]:
+        """Removes what no version needs that is live or was until less than `keep` ago; the names removed."""
+        limit, gone = _now() - keep, []
+        names = [n for n in self.folder.names(f"{table}/_manifests") if n.endswith(".json")]
+        all_made = sorted((json.loads(self.folder.read(f"{table}/_manifests/{n}")) for n in names), key=lambda m: m["published_at"])
+        ended = [m["published_at"] for m in all_made[1:]] + [None]
+        live, kept = self.live(table), []
+        for made, end in zip(all_made, ended):
+            if made["version"] == live or end is None or dt.datetime.fromisoformat(end) > limit:
+                kept.append(made)
+            else:
+                self.folder.remove(f"{table}/_manifests/{made['version']}.json")
+        whole = {v for m in kept if not m["buckets"] for v in m["parts"]}
+        needed = {(v, k) for m in kept if m["buckets"] for k, v in enumerate(m["parts"]) if v}
+        known = {m["version"] for m in all_made} | {v for v, _ in needed} | whole
+
+        def drop(path: str) -> None:
+            self.folder.remove(path)
+            gone.append(path)
+
+        for name in self.folder.names(table):
+            path, version = f"{table}/{name}", name.partition("=")[2]
+            if not name.startswith(("v=", "delta=")) or version in whole and name.startswith("v="):
+                continue
+            of_buckets = {k for v, k in needed if v == version} if name.startswith("v=") else set()
+            if of_buckets:
+                for k in set(self._buckets_in(path)) - of_buckets:
+                    drop(f"{path}/{BUCKET}={k}")
+            elif version in known or self.folder.changed(path) < limit.replace(tzinfo=dt.UTC).timestamp():  # else it may be of a load that runs
+                drop(path)
+        return gone
+
+    def replace_catalog(self, entries: DataFrame, version: str) -> int:
+        """The whole catalog, stamped and kept in ranges of id; no entries keep the old one. The number of entries."""
+        ranged = entries.withColumn("fetched_at", F.lit(_now())).repartitionByRange("id").sortWithinPartitions("id")
+        if made := self._write("catalog", ranged, version).rows:
+            self._go_live("catalog", version, ranged.schema, [version], order="id")
+        else:
+            self.folder.remove(f"catalog/v={version}")
+        return made
 
     def add(self, table: str, df: DataFrame, version: str, replace: bool = True) -> DataFrame:
-        """A new version of df alone, or of df after the live rows."""
-        old = None if replace else self.read(table)
-        return self.publish(table, df if old is None else old.unionByName(df), version)
+        """A new version of df alone, or of df after the live rows, which stay where they are. For tables without a key."""
+        live = None if replace else self.manifest(table)
+        if live and live["buckets"]:
+            raise ValueError(f"{table} has a key: rows are merged into it")
+        if live and not _same(StructType.fromJson(live["schema"]), df.schema):
+            raise SchemaDrift(f"{table}: rows of other columns cannot be appended")
+        self._write(table, df, version)
+        self._go_live(table, version, df.schema, [*(live["parts"] if live else ()), version])
+        return self.read(table)
 
     def run(self, targets: Sequence[Target], on_error: str = "continue", concurrency: int = 4) -> DataFrame:
         """Loads the targets, some at a time; the run's log is returned. After a failure, abort records those not begun as aborted."""
@@ -144,7 +304,7 @@ class Store:
 
             def event(end: dt.datetime | None, status: str, rows: int | None = None, error: str | None = None) -> None:
                 took = None if end is None else int((end - began) / dt.timedelta(milliseconds=1))
-                self.note("sync_runs", RUNS, run_id, t.dataset_id, t.table, began, end, status, rows, error, took, t.config_hash)
+                self.notes["sync_runs"].add(run_id, t.dataset_id, t.table, began, end, status, rows, error, took, t.config_hash)
 
             if failed.is_set() and on_error == "abort":
                 return event(began, "aborted")
@@ -167,29 +327,38 @@ class Store:
         if t.mode not in ("", "incremental", "full_replace"):
             raise ValueError(f"unknown mode {t.mode!r}")
         columns = [c for c in t.columns if c[0] and not c[0].startswith(":@") and c[0] not in t.skip]
-        state, old = self.state().where(F.col("dataset_id") == t.dataset_id).first(), self.read(t.table)
+        state, old = self.notes["dataset_state"].get(t.dataset_id), self.manifest(t.table)
         version = f"{run_id}-{uuid.uuid4().hex[:6]}"
-        if t.mode == "full_replace":
+        action = action_of(t.mode, state, old)
+        if action == "full_replace":
             rows = schema.typed(self._filtered(t.rows(None), t), columns, keyed=False)
-            return self.publish(t.table, rows, version).count()
-        if state is None or old is None or RECORD_ID not in old.columns:
-            rows = self._typed(t, t.rows(None), columns, t.hwm_column)
-            made = self.publish(t.table, rows, version, RECORD_ID)
-            self.mark(t.dataset_id, advanced(made, HWM, None).first()[0], _now(), run_id, t.hwm_column)
-            return made.count()
-        hwm, mark = state["hwm_column"], state["hwm_updated_at"]
-        wanted = schema.live_columns(self._typed(t, t.rows(mark).limit(0), columns, hwm).drop(HWM))
-        if drift := schema.drift_message(schema.diff(wanted, schema.live_columns(old.drop(HWM)))).first():
+            made = self._write(t.table, rows, version)
+            self._go_live(t.table, version, rows.schema, [version])
+            return made.rows
+        if action == "bootstrap":
+            made = self.create(t.table, self._typed(t, t.rows(None), columns, t.hwm_column), version, RECORD_ID)
+            self.mark(t.dataset_id, made.mark, _now(), run_id, t.hwm_column)
+            return made.rows
+        hwm, mark, after = state["hwm_column"], state["hwm_updated_at"], state["hwm_id"]
+        typed = lambda rows: self._typed(t, rows, columns, hwm, keep=("page", "pos"))
+        wanted = schema.live_columns(typed(t.rows(mark).limit(0)).drop(HWM, "page", "pos"))
+        live = schema.live_columns(self.spark.createDataFrame([], StructType.fromJson(old["schema"])).drop(HWM))
+        if drift := schema.drift_message(schema.diff(wanted, live)).first():
             raise SchemaDrift(f"{t.table}: {drift[0]}")
-        delta = self._typed(t, t.rows(mark), columns, hwm, keep=("page", "pos")).where(above(mark, HWM, None, t.inclusive))
-        delta = last_write(delta, RECORD_ID, HWM, "page", "pos").drop("page", "pos")
-        path = f"{self.root}/{t.table}/delta={version}"
-        delta.write.parquet(path)
-        delta = self.spark.read.parquet(path)
-        if n := delta.count():
-            self.publish(t.table, merged(old, delta, RECORD_ID), version, RECORD_ID)
-        self.mark(t.dataset_id, advanced(delta, HWM, mark).first()[0], state["last_full_replace_at"], run_id, hwm)
-        return n
+        if not (t.checkpoint_every_n_pages and t.group):
+            made = self.merge(t.table, typed(t.rows(mark)).where(above(mark, HWM, None, t.inclusive)), version)
+            self.mark(t.dataset_id, max(filter(None, (mark, made.mark)), default=None), state["last_full_replace_at"], run_id, hwm)
+            return made.rows
+        n, k, top = 0, 0, mark
+        while True:  # a group of pages each, merged and marked; a load that ends early goes on behind its last group
+            made = self.merge(t.table, typed(t.group(mark, after)), f"{version}-{k:06d}")
+            n, k, top = n + made.rows, k + 1, max(filter(None, (top, made.mark)), default=None)
+            going = made.last is not None and made.last != (mark, after)
+            if going:
+                mark, after = made.last
+            self.mark(t.dataset_id, top, state["last_full_replace_at"], run_id, hwm, after if going else None)
+            if not going:
+                return n
 
     def _filtered(self, rows: DataFrame, t: Target) -> DataFrame:
         return rows.where(F.expr(t.where)) if t.where else rows
@@ -202,8 +371,16 @@ class Store:
             marked = marked.orderBy(HWM, F.try_variant_get("v", f"$['{schema.SYSTEM_ID}']", "string")).limit(t.limit)
         return schema.typed(marked, columns, keyed=True, keep=(*keep, HWM))
 
-    def mark(self, dataset_id: str, mark, replaced, run_id: str, hwm: str) -> None:
-        self.note("dataset_state", STATE, dataset_id, mark, replaced, run_id, hwm, _now())
+    def mark(self, dataset_id: str, mark, replaced, run_id: str, hwm: str, after: str | None = None) -> None:
+        """Notes a dataset's state; `after` is the id of the last row at the mark, while a load is under way."""
+        self.notes["dataset_state"].add(dataset_id, mark, replaced, run_id, hwm, after)
+
+
+def action_of(mode: str, state: Mapping | None, manifest: Mapping | None) -> str:
+    """What a load does: full_replace by its mode, else a bootstrap, where there is no state or no keyed table of records, else a delta."""
+    if mode == "full_replace":
+        return mode
+    return "delta" if state and manifest and manifest["key"] == RECORD_ID else "bootstrap"
 
 
 def refresh_catalogs(stores: Mapping[str, Store], entries: Callable[[str], DataFrame]) -> DataFrame:
@@ -211,16 +388,16 @@ def refresh_catalogs(stores: Mapping[str, Store], entries: Callable[[str], DataF
     made = []
     for name, store in sorted(stores.items()):
         try:
-            store.replace_catalog(entries(name), new_run_id())
-            stored = store.read("catalog")
-            made.append((name, 0 if stored is None else stored.count(), None))
+            written = store.replace_catalog(entries(name), new_run_id())
+            kept = None if written else store.read("catalog")  # no entries: the old catalog
+            made.append((name, written if kept is None else kept.count(), None))
         except Exception as error:
             made.append((name, None, str(error).split("\n")[0][:2000]))
     return next(iter(stores.values())).spark.createDataFrame(made, "portal string, datasets long, error string")
 
 
 def attach(stores: Mapping[str, Store], tables: Mapping[str, Sequence[str]]) -> None:
-    """A schema of tables for each store, by alias: <alias>.<table> and <alias>_meta.catalog over the live versions."""
+    """A schema for each store, by alias: <alias>.<table> and <alias>_meta.catalog, views over the live versions' folders."""
     for alias, store in sorted(stores.items()):
         if not re.fullmatch("[a-z][a-z0-9_]*", alias):
             raise ValueError(f"alias {alias!r} is no name")
@@ -228,11 +405,28 @@ def attach(stores: Mapping[str, Store], tables: Mapping[str, Sequence[str]]) ->
             raise ValueError(f"{store.root} is no store: it has no catalog")
         for space, names in ((alias, tables.get(alias, ())), (f"{alias}_meta", ("catalog",))):
             store.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {space}")
+            store.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {space}_parts")
             for name in names:
-                if (version := store.live(name)) is None:
+                if (made := store.manifest(name)) is None:
                     raise ValueError(f"{alias} has no table {name}")
-                store.spark.sql(f"DROP TABLE IF EXISTS {space}.`{name}`")
-                store.spark.catalog.createTable(f"{space}.`{name}`", path=f"{store.root}/{name}/v={version}", source="parquet")
+                _attach(store, space, name, made)
+
+
+def _attach(store: Store, space: str, name: str, made: dict) -> None:
+    """A view of the table's own columns over an external table, each of whose partitions is a live folder."""
+    fields, part = StructType.fromJson(made["schema"]), f"{space}_parts.`{name}`"
+    columns = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+    inside = (lambda k: f"/{BUCKET}={k}") if made["buckets"] else lambda k: ""
+    places = [f"PARTITION ({BUCKET} = {k}) LOCATION '{store.root}/{name}/v={v}{inside(k)}'" for k, v in enumerate(made["parts"]) if v]
+    store.spark.sql(f"DROP TABLE IF EXISTS {part}")
+    store.spark.sql(f"CREATE TABLE {part} ({columns}{BUCKET} INT) USING parquet PARTITIONED BY ({BUCKET}) LOCATION '{store.root}/{name}'")
+    if places:
+        store.spark.sql(f"ALTER TABLE {part} ADD {' '.join(places)}")
+    store.spark.sql(f"CREATE OR REPLACE VIEW {space}.`{name}` AS SELECT {', '.join(f'`{f.name}`' for f in fields)} FROM {part}")
+
+
+def _same(a: StructType, b: StructType) -> bool:
+    return [(f.name, f.dataType) for f in a] == [(f.name, f.dataType) for f in b]
 
 
 def _now() -> dt.datetime:

@@ -1,21 +1,28 @@
 """The incremental loop as a stream: pages in, a keyed merge and a mark out, once per micro-batch.
 
-At-least-once delivery and an idempotent merge by key give each row its effect exactly once; a batch
-that was published before a crash is recognised by its id. Rows at or below the mark are late and dropped.
+At-least-once delivery and an idempotent merge by key give each row its effect exactly once; a batch that was
+published before a crash is recognised by its version, which names the streaming query (by the id in its
+checkpoint) and the batch. Of rows of one key the greatest mark wins, so rows may come in any order and none is
+lost: neither one that ties with the mark of an earlier batch, nor a late one. Late rows can be dropped instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from odlake.operators.load import HWM, LIVE, Store, above, advanced, last_write, merged
 from odlake.functions.coerce import lenient_timestamp
+from odlake.operators.load import HWM, Store, above
 from odlake.plans import schema
-from odlake.plans.schema import RECORD_ID
+from odlake.sources.folder import Folder
+
+#: What becomes of rows that are not above the mark: merged all the same; only those at it; or none.
+LATE = ("merge", "inclusive", "drop")
 
 
 def landed_stream(spark: SparkSession, folder: str, pages_per_batch: int = 10) -> DataFrame:
@@ -25,30 +32,37 @@ def landed_stream(spark: SparkSession, folder: str, pages_per_batch: int = 10) -
     return files.select(F.col("_metadata.file_name").alias("page"), F.posexplode(array).alias("pos", "v"))
 
 
-def apply_batch(store: Store, dataset_id: str, table: str, columns: Sequence[tuple[str, str]], hwm_column: str, inclusive: bool = False):
-    """The function of a micro-batch: typed rows above the mark are merged into a new version, then the mark is stored."""
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the streaming query of a checkpoint folder."""
+    return json.loads(Folder(spark, checkpoint).read("metadata").strip().split("\n")[-1])["id"]
+
+
+def apply_batch(store: Store, dataset_id: str, table: str, columns: Sequence[tuple[str, str]], hwm_column: str, source: str | Callable[[], str], late: str = "merge") -> Callable[[DataFrame, int], None]:
+    """The function of a micro-batch: typed rows are merged into a new version, then the mark is stored. source: an id of where batches come from."""
+    if late not in LATE:
+        raise ValueError(f"late is one of {', '.join(LATE)}")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        version = f"batch-{batch_id:012d}"
-        state, old = store.state().where(F.col("dataset_id") == dataset_id).first(), store.read(table)
-        mark = state["hwm_updated_at"] if state else None
-        published = not store.meta("live", LIVE).where((F.col("table_name") == table) & (F.col("version") == version)).isEmpty()
-        if not published:
+        version = f"{source if isinstance(source, str) else source()}-{batch_id:012d}"
+        state = store.notes["dataset_state"].get(dataset_id) or {}
+        mark = state.get("hwm_updated_at")
+        if published := store.manifest(table, version):  # before a crash, with its mark noted or not
+            seen = published["mark"] and dt.datetime.fromisoformat(published["mark"])
+        else:
             text = F.try_variant_get("v", f"$['{hwm_column}']", "string")
             rows = schema.typed(batch.withColumn(HWM, lenient_timestamp(text)), columns, keyed=True, keep=("page", "pos", HWM))
-            delta = last_write(rows.where(above(mark, HWM, None, inclusive)), RECORD_ID, HWM, "page", "pos").drop("page", "pos")
-            path = f"{store.root}/{table}/delta={version}"
-            delta.write.mode("overwrite").parquet(path)
-            delta = batch.sparkSession.read.parquet(path)
-            if delta.isEmpty():
+            made = store.merge(table, rows if late == "merge" else rows.where(above(mark, HWM, None, late == "inclusive")), version)
+            seen = made.mark
+            if not made.rows:
                 return
-            store.publish(table, delta if old is None else merged(old, delta, RECORD_ID), version, RECORD_ID)
-        store.mark(dataset_id, advanced(store.read(table), HWM, mark).first()[0], None, version, hwm_column)
+        if state.get("last_run_id") != version:
+            store.mark(dataset_id, max(filter(None, (mark, seen)), default=None), state.get("last_full_replace_at"), version, hwm_column)
 
     return apply
 
 
-def start(pages: DataFrame, store: Store, dataset_id: str, table: str, columns: Sequence[tuple[str, str]], checkpoint: str, hwm_column: str = schema.SYSTEM_UPDATED, once: bool = True) -> StreamingQuery:
+def start(pages: DataFrame, store: Store, dataset_id: str, table: str, columns: Sequence[tuple[str, str]], checkpoint: str, hwm_column: str = schema.SYSTEM_UPDATED, once: bool = True, late: str = "merge") -> StreamingQuery:
     """Runs until what has landed is merged (once), or on."""
-    writer = pages.writeStream.foreachBatch(apply_batch(store, dataset_id, table, columns, hwm_column)).option("checkpointLocation", checkpoint)
+    source = lambda: query_id(pages.sparkSession, checkpoint)
+    writer = pages.writeStream.foreachBatch(apply_batch(store, dataset_id, table, columns, hwm_column, source, late)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
