@@ -341,10 +341,10 @@ class Store:
             return made.rows
         hwm, mark, after = state["hwm_column"], state["hwm_updated_at"], state["hwm_id"]
         typed = lambda rows: self._typed(t, rows, columns, hwm, keep=("page", "pos"))
-        wanted = schema.live_columns(typed(t.rows(mark).limit(0)).drop(HWM, "page", "pos"))
-        live = schema.live_columns(self.spark.createDataFrame([], StructType.fromJson(old["schema"])).drop(HWM))
-        if drift := schema.drift_message(schema.diff(wanted, live)).first():
-            raise SchemaDrift(f"{t.table}: {drift[0]}")
+        wanted, live = typed(t.rows(mark).limit(0)).drop(HWM, "page", "pos"), self.spark.createDataFrame([], StructType.fromJson(old["schema"])).drop(HWM)
+        if {(f.name, f.dataType) for f in wanted.schema} != {(f.name, f.dataType) for f in live.schema}:
+            if drift := schema.drift_message(schema.diff(schema.live_columns(wanted), schema.live_columns(live))).first():
+                raise SchemaDrift(f"{t.table}: {drift[0]}")
         if not (t.checkpoint_every_n_pages and t.group):
             made = self.merge(t.table, typed(t.rows(mark)).where(above(mark, HWM, None, t.inclusive)), version)
             self.mark(t.dataset_id, max(filter(None, (mark, made.mark)), default=None), state["last_full_replace_at"], run_id, hwm)

@@ -1,22 +1,27 @@
-"""Read-only SQL over all attached portals, with row, byte and time caps."""
+"""Read-only SQL over all attached portals, with row, byte and time caps.
+
+A query runs in a session of its own, a copy of the caller's, in which paths cannot stand for tables; no setting
+of the caller's session changes. What a text is, Spark's parser says: the guard walks the parsed plan, which
+knows what is a literal or a comment, and the analysed plan, in which views have become what they stand for.
+"""
 
 from __future__ import annotations
 
-import re
 import threading
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROWS, MAX_BYTES, TIMEOUT = 1000, 1 << 20, 30.0
-#: Literals, quoted names and comments of SQL text.
-QUOTED = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|--[^\n]*|/\*.*?\*/""", re.DOTALL)
-#: Names that run code of the JVM, or that build names out of text.
-REFUSED = re.compile(r"\b(?:reflect|try_reflect|java_method|identifier)\b", re.IGNORECASE)
-SHOWS = re.compile(r"\s*(?:describe|desc|show|explain)\b", re.IGNORECASE)
+#: Functions that call code of the JVM by its name.
+REFUSED = ("reflect", "try_reflect", "java_method")
+#: Of the parts of a plan, by the beginnings of their names: those that call such code, run a program, or make a name out of text.
+REFUSED_PARTS = ("CallMethodViaReflection", "TryReflect", "ScriptTransformation", "ScriptInputOutputSchema", "PlanWithUnresolvedIdentifier", "ExpressionWithUnresolvedIdentifier", "CompoundBody")
+#: Statements that are no queries and only tell of tables and plans.
+TELLS = ("Describe", "Show", "Explain")
 #: JSON around columns and rows, whose bytes count, too.
 ENVELOPE = len('{"columns":[],"rows":[],"row_count":0,"truncated":false}')
 
@@ -29,31 +34,59 @@ class Result:
     note: str = ""
 
 
+def session_of(spark: SparkSession) -> SparkSession:
+    """A session with the caller's settings, views and tables, that changes nothing in the caller's."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    return own
+
+
+def _parts(spark: SparkSession, plan) -> Iterator[tuple[str, object]]:
+    """Class name and object of every plan and expression in a plan, whatever holds it."""
+    jvm, kinds = spark._jvm, {}
+    is_a = lambda name, x: kinds.setdefault(name, jvm.java.lang.Class.forName(name)).isInstance(x)
+    waiting, seen = [plan], 0
+    while waiting:
+        x = waiting.pop()
+        if not hasattr(x, "_get_object_id"):
+            continue  # a text or a number
+        if is_a("org.apache.spark.sql.catalyst.trees.TreeNode", x):
+            yield x.getClass().getSimpleName(), x
+        elif not is_a("scala.Product", x) and not is_a("scala.collection.Iterable", x):
+            continue
+        parts = x.productIterator() if is_a("scala.Product", x) and not is_a("scala.collection.Iterable", x) else x.iterator()
+        while parts.hasNext():
+            waiting.append(parts.next())
+        if (seen := seen + 1) > 20_000:
+            raise PermissionError("the query is too large to be looked through")
+
+
+def refusal(spark: SparkSession, sql: str) -> str | None:
+    """Why a text is more than one statement that only reads; None if it is one. Text that does not parse raises Spark's own error."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    statement = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
+    for name, node in _parts(spark, plan):
+        if name.startswith(REFUSED_PARTS):
+            return name
+        if name == "UnresolvedFunction" and (called := node.nameParts().last().lower()) in REFUSED:
+            return called
+        if (command.isInstance(node) or statement.isInstance(node)) and not name.startswith(TELLS):
+            return name
+    return None
+
+
 def is_read_only(spark: SparkSession, sql: str) -> bool:
-    """Whether the text is one statement that only reads tables; text that does not parse raises Spark's own error.
+    """Whether the text is one statement that only reads tables; text that does not parse raises Spark's own error."""
+    return refusal(spark, sql) is None
 
-    Spark itself decides: only a query can define a temporary view. Statements that describe, show or
-    explain are let through, functions that run JVM code and paths in place of tables are not.
-    """
-    if REFUSED.search(QUOTED.sub(" ", sql)):
-        return False
-    if SHOWS.match(sql):
-        return True
-    name = f"asked_{uuid.uuid4().hex}"
-    try:
-        spark.sql(f"CREATE TEMPORARY VIEW {name} AS {sql}")
-    except ParseException:
-        try:
-            spark.sql(f"EXPLAIN {sql}")  # raises if this is no SQL at all
-        except ParseException:
-            raise
-        except AnalysisException:
-            pass
-        return False
-    except AnalysisException:  # a query, but of tables or columns that do not exist
-        return True
-    spark.catalog.dropTempView(name)
-    return True
+
+def _analysed(spark: SparkSession, sql: str) -> DataFrame:
+    df = spark.sql(sql)
+    for name, _ in _parts(spark, df._jdf.queryExecution().analyzed()):
+        if name.startswith(REFUSED_PARTS):
+            raise PermissionError(f"read-only: only queries may run, not {name}")
+    return df
 
 
 def capped(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -62,13 +95,16 @@ def capped(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES)
     One row past either cap is kept, if there is one, so that it is known that rows are missing; the
     window is over max_rows + 1 rows at most. The first row is never over.
     """
+    given = df.columns  # of which several may be equal
+    df = df.toDF(*(f"__{k}" for k in range(len(given))))
     first = df.limit(max_rows + 1).withColumn("__n", F.monotonically_increasing_id())
-    sizes = [F.octet_length(F.to_json(F.struct(F.col(f"`{c}`").alias("v")), {"ignoreNullFields": "false"})) - len('{"v":}') for c in df.columns]
-    row, head = sum(sizes, F.lit(len(df.columns) + 2)), ENVELOPE + sum(len(c) + 3 for c in df.columns)  # brackets, commas, and the comma behind
+    sizes = [F.octet_length(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"})) - len('{"v":}') for c in df.columns]
+    row, head = sum(sizes, F.lit(len(given) + 2)), ENVELOPE + sum(len(c.encode()) + 3 for c in given)  # brackets, commas, and the comma behind
     w = Window.orderBy("__n")
     sized = first.withColumn("__size", row).withColumn("__bytes", F.sum("__size").over(w.rowsBetween(Window.unboundedPreceding, 0)) + head)
     numbered = sized.withColumn("__n", F.row_number().over(w)).withColumn("__over", (F.col("__bytes") > max_bytes) & (F.col("__n") > 1))
-    return numbered.where(~F.col("__over") | (F.col("__bytes") - F.col("__size") <= max_bytes) | (F.col("__n") == 2)).drop("__size", "__bytes")
+    kept = numbered.where(~F.col("__over") | (F.col("__bytes") - F.col("__size") <= max_bytes) | (F.col("__n") == 2)).drop("__size", "__bytes")
+    return kept.toDF(*given, "__n", "__over")
 
 
 def run(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, timeout: float = TIMEOUT) -> Result:
@@ -80,19 +116,18 @@ def run(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS, max_bytes: int
             spark.sparkContext.cancelJobGroup(group)
             ended.wait(0.2)
 
-    files = spark.conf.get("spark.sql.runSQLOnFiles")
     spark.sparkContext.setJobGroup(group, sql[:200], interruptOnCancel=True)
     timer = threading.Timer(timeout, stop)
     timer.start()
     try:
-        spark.conf.set("spark.sql.runSQLOnFiles", "false")  # no paths in place of tables
-        if not is_read_only(spark, sql):
-            raise PermissionError("read-only: only queries may run")
-        df = spark.sql(sql)
+        own = session_of(spark)
+        if (why := refusal(own, sql)) is not None:
+            raise PermissionError(f"read-only: only queries may run, not {why}")
+        df = _analysed(own, sql)
         rows = capped(df, max_rows, max_bytes).collect()  # at most max_rows + 1
         if late.is_set():
             raise RuntimeError("done after the limit")
-        kept = [r for r in rows[:max_rows] if not r["__over"]]
+        kept = [r for r in rows[:max_rows] if not r[-1]]
         result = Result(df.columns, [tuple(r)[:-2] for r in kept], len(kept) < len(rows))
         if result.truncated:
             cap = f"{max_rows} rows" if len(kept) == max_rows else f"{max_bytes} bytes"
@@ -105,5 +140,4 @@ def run(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS, max_bytes: int
     finally:
         ended.set()
         timer.cancel()
-        spark.conf.set("spark.sql.runSQLOnFiles", files)
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
