@@ -313,7 +313,7 @@ class Store:
                 event(_now(), "ok", self.sync(t, run_id))
             except Exception as error:  # one dataset's failure is a result
                 failed.set()
-                event(_now(), "failed", None, str(error).split("\n")[0][:2000])
+                event(_now(), "failed", None, said(error))
 
         with ThreadPoolExecutor(1 if on_error == "abort" else concurrency) as pool:
             list(pool.map(load, targets))
@@ -392,7 +392,7 @@ def refresh_catalogs(stores: Mapping[str, Store], entries: Callable[[str], DataF
             kept = None if written else store.read("catalog")  # no entries: the old catalog
             made.append((name, written if kept is None else kept.count(), None))
         except Exception as error:
-            made.append((name, None, str(error).split("\n")[0][:2000]))
+            made.append((name, None, said(error)))
     return next(iter(stores.values())).spark.createDataFrame(made, "portal string, datasets long, error string")
 
 
@@ -425,6 +425,15 @@ def _attach(store: Store, space: str, name: str, made: dict) -> None:
     store.spark.sql(f"CREATE OR REPLACE VIEW {space}.`{name}` AS SELECT {', '.join(f'`{f.name}`' for f in fields)} FROM {part}")
 
 
+def said(error: Exception) -> str:
+    """An error in a line; of one from a Python worker, what its trace ends with."""
+    lines = [line.strip() for line in str(error).split("\n") if line.strip()] or [type(error).__name__]
+    if lines[0].endswith("Traceback (most recent call last):"):
+        ends = [line for line in lines[1:] if re.match(r"[\w.]+(Error|Exception|Exit)\b", line)]
+        return f"{lines[0].removesuffix('Traceback (most recent call last):')}{ends[-1] if ends else lines[-1]}"[:2000]
+    return lines[0][:2000]
+
+
 def _same(a: StructType, b: StructType) -> bool:
     return [(f.name, f.dataType) for f in a] == [(f.name, f.dataType) for f in b]
 

@@ -1,21 +1,34 @@
-"""Portals as Spark sources: catalog and row pages over any fetch(url), a stream of newer rows, and landed page files."""
+"""Portals as Spark sources: catalog and row pages over any fetch(url), a stream of newer rows, and landed page files.
+
+A dataset is read in ranges of record ids, a task each: the driver asks for every n-th id, always from the last one
+on, and a task asks for pages above the last id it has, so no address has a deep offset. The stream reads in ranges
+of {mark, id}; the driver sees their ends only, and a range that is asked for again has the same rows. Read with a
+schema of its own columns and the option pushFilters, a dataset's simple comparisons become the portal's filter; Spark
+hands them on if spark.sql.python.filterPushdown.enabled is set.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import math
+import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlencode
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
+from pyspark.sql.types import BooleanType, DateType, DoubleType, FloatType, IntegralType, StringType, StructType, TimestampNTZType
 
 from odlake.functions.coerce import lenient_timestamp
 
 Fetch = Callable[[str], tuple[int, str]]
 #: Rows of a page, tries after the first, and the first wait in seconds (doubled each time).
 PAGE, RETRIES, WAIT = 5000, 5, 1.0
+#: Pages of a task, and what a row is without a schema of its own.
+PAGES, RAW = 10, "value string, page int, pos int"
 
 
 def fetched(fetch: Fetch, url: str, retries: int = RETRIES, wait: float = WAIT) -> str:
@@ -52,39 +65,148 @@ def metadata_url(portal: str, dataset: str) -> str:
     return f"https://{portal}/api/views/{dataset}.json"
 
 
+def all_of(*conditions: str | None) -> str:
+    return " AND ".join(f"({c})" for c in conditions if c)
+
+
+def literal(value: object) -> str | None:
+    """A value in the portal's filter language; None if it has none."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, dt.datetime):
+        return quoted(moment(value))
+    if isinstance(value, int) or isinstance(value, float) and math.isfinite(value):
+        return repr(value)
+    return quoted(value) if isinstance(value, str) else None
+
+
+def moment(at: dt.datetime) -> str:
+    return at.isoformat(timespec="microseconds" if at.microsecond % 1000 else "milliseconds")
+
+
+def after(column: str, mark: str, record: str | None) -> str:
+    """Above a mark, or at it with a greater id."""
+    newer = f"{column} > {quoted(mark)}"
+    return newer if record is None else f"{newer} OR ({column} = {quoted(mark)} AND :id > {quoted(record)})"
+
+
+COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+def condition(f: Filter, schema: StructType) -> str | None:
+    """A filter in the portal's language, where it means the same there; None elsewhere (texts, for one, sort otherwise)."""
+    if len(f.attribute if hasattr(f, "attribute") else ()) != 1 or f.attribute[0] not in schema.names:
+        return None
+    name, kind = f.attribute[0], schema[f.attribute[0]].dataType
+    name = name if re.fullmatch(":?[a-z_][a-z0-9_]*", name) else f"`{name}`"
+    if isinstance(f, IsNull | IsNotNull):
+        return f"{name} IS {'NOT ' * isinstance(f, IsNotNull)}NULL"
+    if "`" in name[1:-1] or not isinstance(kind, StringType | BooleanType | IntegralType | DoubleType | TimestampNTZType):
+        return None
+    if isinstance(f, In):
+        made = [literal(v) for v in f.value]
+        return f"{name} IN ({', '.join(made)})" if made and all(made) else None
+    ordered = isinstance(kind, IntegralType | DoubleType | TimestampNTZType)
+    if type(f) not in COMPARED or not (ordered or isinstance(f, EqualTo)) or (made := literal(f.value)) is None:
+        return None
+    return f"{name} {COMPARED[type(f)]} {made}"
+
+
+def cell(value: object, kind: object) -> object:
+    """A JSON value as one of a column's type; numbers and booleans may come as texts."""
+    if value is None or value == "" and not isinstance(kind, StringType):
+        return None
+    if isinstance(kind, StringType):
+        return value if isinstance(value, str) else json.dumps(value)
+    if isinstance(kind, BooleanType):
+        return value if isinstance(value, bool) else {"true": True, "false": False}[value]
+    if isinstance(kind, DateType):
+        return dt.date.fromisoformat(value[:10])
+    if isinstance(kind, TimestampNTZType):
+        return dt.datetime.fromisoformat(value)
+    return {True: float, False: int}[isinstance(kind, DoubleType | FloatType)](value)
+
+
 class Pages(InputPartition):
     def __init__(self, first: int, last: int | None) -> None:
         self.first, self.last = first, last  # pages; last excluded, none: up to a short page
 
 
+class Ids(InputPartition):
+    def __init__(self, above: str | None, upto: str | None, page: int) -> None:
+        self.above, self.upto, self.page = above, upto, page  # record ids: above one, up to another; none: no end
+
+
 class RowsReader(DataSourceReader):
-    def __init__(self, options: dict, fetch: Fetch) -> None:
-        self.options, self.fetch = options, fetch
+    def __init__(self, options: dict, fetch: Fetch, schema: StructType) -> None:
+        self.options, self.fetch, self.where = dict(options), fetch, options.get("where")
+        self.schema = None if schema.names == [c.split()[0] for c in RAW.split(", ")] else schema
         self.size, self.wait = int(options.get("pageSize", PAGE)), float(options.get("wait", WAIT))
         self.limit = int(options["limit"]) if options.get("limit") else None
-
-    def partitions(self) -> list[Pages]:
-        """Page ranges, where the number of rows is given by the option `rows`; else one range, read up to a short page."""
+        self.each = int(options.get("pagesPerTask", PAGES))
+        if self.schema is not None:
+            self.options["systemFields"] = "true"
+
+    def asked(self, offset: int, size: int, *where: str | None, **options: str) -> list[dict]:
+        given = self.options | {"where": all_of(self.where, *where)} | options
+        return json.loads(fetched(self.fetch, rows_url(given, offset, size), wait=self.wait))
+
+    def by_id(self) -> bool:
+        """Whether rows carry their ids and need no other order."""
+        return self.options.get("systemFields", "").lower() == "true" and self.options.get("order", ":id") == ":id" and not (self.options.get("select") or self.limit or self.options.get("rows"))
+
+    def partitions(self) -> list[InputPartition]:
+        """Ranges of ids; without ids, page ranges where the option `rows` tells how many rows there are, else one range, read up to a short page."""
+        if self.by_id():
+            made, step = [Ids(None, None, 0)], self.size * self.each
+            while row := self.asked(step - 1, 1, made[-1].above and f":id > {quoted(made[-1].above)}", select=":id"):
+                made[-1].upto = row[0][":id"]
+                made.append(Ids(made[-1].upto, None, len(made) * self.each))
+            return made
         if not self.options.get("rows"):
             return [Pages(0, None)]
         n = min(int(self.options["rows"]), self.limit or int(self.options["rows"]))
-        pages, each = -(-n // self.size), int(self.options.get("pagesPerTask", 10))
-        return [Pages(a, min(pages, a + each)) for a in range(0, pages, each)] or [Pages(0, 0)]
+        pages = -(-n // self.size)
+        return [Pages(a, min(pages, a + self.each)) for a in range(0, pages, self.each)] or [Pages(0, 0)]
 
-    def read(self, partition: Pages) -> Iterator[tuple]:
-        page = partition.first
-        while partition.last is None or page < partition.last:
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for page, rows in self.of_ids(partition) if isinstance(partition, Ids) else self.of_pages(partition):
+            for pos, row in enumerate(rows):
+                yield (json.dumps(row), page, pos) if self.schema is None else tuple(cell(row.get(f.name), f.dataType) for f in self.schema)
+
+    def of_ids(self, ids: Ids) -> Iterator[tuple[int, list[dict]]]:
+        at, page = ids.above, ids.page
+        while True:
+            rows = self.asked(0, self.size, at and f":id > {quoted(at)}", ids.upto and f":id <= {quoted(ids.upto)}")
+            yield page, rows
+            if len(rows) < self.size:
+                return
+            at, page = rows[-1][":id"], page + 1
+
+    def of_pages(self, pages: Pages) -> Iterator[tuple[int, list[dict]]]:
+        page = pages.first
+        while pages.last is None or page < pages.last:
             size = self.size if self.limit is None else min(self.size, self.limit - page * self.size)
             if size <= 0:
                 return
-            rows = json.loads(fetched(self.fetch, rows_url(self.options, page * self.size, size), wait=self.wait))
-            for pos, row in enumerate(rows):
-                yield json.dumps(row), page, pos
+            rows = self.asked(page * self.size, size)
+            yield page, rows
             if len(rows) < size:
                 return
             page += 1
 
 
+class FilteringReader(RowsReader):
+    """A reader of a schema of its own that takes simple comparisons from Spark, which then does not evaluate them again."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if (made := None if self.limit else condition(f, self.schema)) is None:
+                yield f
+            else:
+                self.where = all_of(self.where, made)
+
+
 class CatalogReader(DataSourceReader):
     def __init__(self, options: dict, fetch: Fetch) -> None:
         self.options, self.fetch = options, fetch
@@ -105,31 +227,58 @@ class CatalogReader(DataSourceReader):
                 yield json.dumps(entry), page, pos
 
 
-class NewerRows(SimpleDataSourceStreamReader):
-    """Rows above an offset {hwm, id}, a page at a time, in the order of both."""
+class Newer(InputPartition):
+    def __init__(self, start: dict, end: dict, page: int) -> None:
+        self.start, self.end, self.page = start, end, page
+
+
+class NewerRows(DataSourceStreamReader):
+    """Rows above an offset {hwm, id} up to the portal's last, in ranges of pagesPerTask pages."""
 
     def __init__(self, options: dict, fetch: Fetch) -> None:
         self.options, self.fetch = options, fetch
         self.column, self.size = options.get("hwmColumn", ":updated_at"), int(options.get("pageSize", PAGE))
+        self.step = self.size * int(options.get("pagesPerTask", PAGES))
+        self.last: dict | None = None
 
     def initialOffset(self) -> dict:
         return {"hwm": self.options.get("startingHwm", ""), "id": ""}
 
-    def _after(self, start: dict) -> list[dict]:
-        mark, at = quoted(start["hwm"]), quoted(start["id"])
-        newer = f"{self.column} > {mark} OR ({self.column} = {mark} AND :id > {at})" if start["hwm"] else None
-        where = " AND ".join(f"({w})" for w in (newer, self.options.get("where")) if w)
-        asked = self.options | {"order": f"{self.column},:id", "where": where, "systemFields": "true"}
-        return json.loads(fetched(self.fetch, rows_url(asked, 0, self.size), wait=float(self.options.get("wait", WAIT))))
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._after(start)
-        end = {"hwm": rows[-1][self.column], "id": rows[-1][":id"]} if rows else start
-        return iter([(json.dumps(r), 0, k) for k, r in enumerate(rows)]), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        stop = (end["hwm"], end["id"])
-        return iter([(json.dumps(r), 0, k) for k, r in enumerate(self._after(start)) if (r[self.column], r[":id"]) <= stop])
+    def asked(self, start: dict | None, end: dict | None, offset: int, size: int, down: bool = False, **options: str) -> list[dict]:
+        c = self.column
+        above = start and start["hwm"] and after(c, start["hwm"], start["id"])
+        upto = end and f"{c} < {quoted(end['hwm'])} OR ({c} = {quoted(end['hwm'])} AND :id <= {quoted(end['id'])})"
+        order = f"{c} DESC,:id DESC" if down else f"{c},:id"
+        given = self.options | {"order": order, "where": all_of(self.options.get("where"), f"{c} IS NOT NULL", above, upto), "systemFields": "true"} | options
+        return json.loads(fetched(self.fetch, rows_url(given, offset, size), wait=float(self.options.get("wait", WAIT))))
+
+    def place(self, *asked, **options) -> dict | None:
+        """The {hwm, id} of one row."""
+        rows = self.asked(*asked, select=f":id,{self.column}", **options)
+        return {"hwm": rows[0][self.column], "id": rows[0][":id"]} if rows else None
+
+    def latestOffset(self) -> dict:
+        self.last = self.place(self.last, None, 0, 1, down=True) or self.last
+        return self.last or self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[Newer]:
+        made, self.last = [Newer(start, end, 0)], end
+        while bound := self.place(made[-1].start, end, self.step - 1, 1):
+            if bound == end:
+                break
+            made[-1].end = bound
+            made.append(Newer(bound, end, len(made) * (self.step // self.size)))
+        return made
+
+    def read(self, partition: Newer) -> Iterator[tuple]:
+        at, page = partition.start, partition.page
+        while True:
+            rows = self.asked(at, partition.end, 0, self.size)
+            for pos, row in enumerate(rows):
+                yield json.dumps(row), page, pos
+            if len(rows) < self.size:
+                return
+            at, page = {"hwm": rows[-1][self.column], "id": rows[-1][":id"]}, page + 1
 
 
 def sources(fetch: Fetch) -> list[type[DataSource]]:
@@ -141,12 +290,14 @@ def sources(fetch: Fetch) -> list[type[DataSource]]:
             return "portal_rows"
 
         def schema(self) -> str:
-            return "value string, page int, pos int"
+            return RAW
 
         def reader(self, schema) -> DataSourceReader:
-            return RowsReader(_plain(self.options), fetch)
+            made = RowsReader(options := _plain(self.options), fetch, schema)
+            pushing = made.schema is not None and options.get("pushFilters", "").lower() == "true"
+            return FilteringReader(options, fetch, schema) if pushing else made
 
-        def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        def streamReader(self, schema) -> DataSourceStreamReader:
             return NewerRows(_plain(self.options), fetch)
 
     class PortalCatalog(DataSource):
@@ -155,7 +306,7 @@ def sources(fetch: Fetch) -> list[type[DataSource]]:
             return "portal_catalog"
 
         def schema(self) -> str:
-            return "value string, page int, pos int"
+            return RAW
 
         def reader(self, schema) -> DataSourceReader:
             return CatalogReader(_plain(self.options), fetch)
@@ -165,7 +316,7 @@ def sources(fetch: Fetch) -> list[type[DataSource]]:
 
 def _plain(options) -> dict:
     """Options by their own names; Spark hands them in lower case."""
-    named = ("portal", "dataset", "order", "where", "select", "systemFields", "limit", "pageSize", "rows", "pagesPerTask", "wait", "hwmColumn", "startingHwm")
+    named = ("portal", "dataset", "order", "where", "select", "systemFields", "limit", "pageSize", "rows", "pagesPerTask", "wait", "hwmColumn", "startingHwm", "pushFilters")
     return {n: v for n in named if (v := options.get(n, options.get(n.lower()))) is not None}
 
 

@@ -210,31 +210,6 @@ def test_retries_end():
     assert portal.fetched(lambda u: next(statuses), "u", wait=0) == "ok"
 
 
-def test_newer_rows_reader():
-    rows = [row(k, k // 2, k) for k in range(5)]
-
-    def fetch(url):
-        from urllib.parse import parse_qs, urlparse
-
-        where = parse_qs(urlparse(url).query).get("$where", [""])[0]
-        kept = rows
-        if where:
-            mark, after = where.split("'")[1], where.split("'")[5]
-            kept = [r for r in rows if (r[":updated_at"], r[":id"]) > (mark, after)]
-        return 200, json.dumps(kept[:2])
-
-    reader = portal.NewerRows({"portal": "x", "dataset": "d", "pageSize": 2}, fetch)
-    at, seen = reader.initialOffset(), []
-    while True:
-        got, end = reader.read(at)
-        if end == at:
-            break
-        seen += [json.loads(v)[":id"] for v, _, _ in got]
-        assert len(list(reader.readBetweenOffsets(at, end))) == 2 or end == {"hwm": rows[4][":updated_at"], "id": "r4"}
-        at = end
-    assert seen == [f"r{k}" for k in range(5)]
-
-
 def runs(spark, *rows):
     return spark.createDataFrame([("p", r, d, d.replace("-", "_"), dt.datetime(2024, 1, day), None, s, n) for r, d, day, s, n in rows], "portal string, run_id string, dataset_id string, table_name string, started_at timestamp_ntz, finished_at timestamp_ntz, status string, rows_written long")
 
