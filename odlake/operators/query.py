@@ -20,6 +20,8 @@ MAX_ROWS, MAX_BYTES, TIMEOUT = 1000, 1 << 20, 30.0
 REFUSED = ("reflect", "try_reflect", "java_method")
 #: Of the parts of a plan, by the beginnings of their names: those that call such code, run a program, or make a name out of text.
 REFUSED_PARTS = ("CallMethodViaReflection", "TryReflect", "ScriptTransformation", "ScriptInputOutputSchema", "PlanWithUnresolvedIdentifier", "ExpressionWithUnresolvedIdentifier", "CompoundBody")
+#: Parts that hold no others and are many.
+LEAVES = ("AttributeReference", "Literal", "LogicalRelation", "UnresolvedAttribute", "UnresolvedRelation")
 #: Statements that are no queries and only tell of tables and plans.
 TELLS = ("Describe", "Show", "Explain")
 #: JSON around columns and rows, whose bytes count, too.
@@ -43,18 +45,26 @@ def session_of(spark: SparkSession) -> SparkSession:
 
 def _parts(spark: SparkSession, plan) -> Iterator[tuple[str, object]]:
     """Class name and object of every plan and expression in a plan, whatever holds it."""
-    jvm, kinds = spark._jvm, {}
-    is_a = lambda name, x: kinds.setdefault(name, jvm.java.lang.Class.forName(name)).isInstance(x)
+    of = spark._jvm.java.lang.Class.forName
+    tree, many, kind = of("org.apache.spark.sql.catalyst.trees.TreeNode"), of("scala.collection.Iterable"), of("org.apache.spark.sql.types.DataType")
     waiting, seen = [plan], 0
     while waiting:
         x = waiting.pop()
         if not hasattr(x, "_get_object_id"):
             continue  # a text or a number
-        if is_a("org.apache.spark.sql.catalyst.trees.TreeNode", x):
-            yield x.getClass().getSimpleName(), x
-        elif not is_a("scala.Product", x) and not is_a("scala.collection.Iterable", x):
+        if tree.isInstance(x):
+            yield (name := x.getClass().getSimpleName()), x
+            if name in LEAVES:
+                continue
+            parts = x.productIterator()
+        elif kind.isInstance(x):
             continue
-        parts = x.productIterator() if is_a("scala.Product", x) and not is_a("scala.collection.Iterable", x) else x.iterator()
+        elif many.isInstance(x):
+            parts = x.iterator()
+        elif x.getClass().getName().startswith(("scala.Tuple", "scala.Some")):
+            parts = x.productIterator()
+        else:
+            continue  # what holds neither plans nor expressions
         while parts.hasNext():
             waiting.append(parts.next())
         if (seen := seen + 1) > 20_000:

@@ -1,10 +1,16 @@
-"""Packages of a store: checksummed copies with a manifest, and an index of versions."""
+"""Packages of a store: checksummed copies with a manifest, and an index of versions.
+
+A file's hash is that of its bytes, or, of a file of several ranges, that of its ranges' hashes, a line each. Ranges are
+hashed by tasks of their own, which read a piece at a time, so a file may be of any size.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +21,44 @@ VERSION = 1
 MANIFEST = "schema_version int, portal string, snapshot_id string, created_at timestamp_ntz, sha256 string, size_bytes long, dataset_count long, total_row_count long"
 #: Fixed value: file names without path parts.
 SAFE_NAME = r"^(?!\.{1,2}$)[^/\\]+$"
+#: Bytes of a range, and of a piece that is read at a time.
+RANGE, PIECE = 128 << 20, 4 << 20
+#: Stores that Arrow opens on executors, by scheme; in others Spark reads files whole.
+ARROW = {"file": "file", "s3": "s3", "s3a": "s3", "gs": "gs", "hdfs": "hdfs"}
 
 
-def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
+def file_hashes(spark: SparkSession, folder: str, size: int = RANGE) -> DataFrame:
     """name (below the folder), size_bytes, sha256 of each Parquet file, hashed where it is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
-    return files.select(F.substring_index("path", f"{folder.rstrip('/').rsplit('/', 1)[-1]}/", -1).alias("name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    name = F.substring_index("path", f"{folder.rstrip('/').rsplit('/', 1)[-1]}/", -1).alias("name")
+    listed = files.select("path", name, F.col("length").alias("size_bytes"))  # names and sizes only: no content is read
+    first = listed.first()
+    if first is None or first["path"].partition(":")[0] not in ARROW:
+        return files.select(name, F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    ranges = listed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size_bytes") - 1, F.lit(size).cast("long"))).alias("at"))
+    tasks = max(1, min(ranges.count(), 4 * spark.sparkContext.defaultParallelism))
+    hashed = ranges.select("path", "name", "size_bytes", "at").repartition(tasks).mapInArrow(lambda batches: _hashed(batches, size), "name string, size_bytes long, at long, hash string")
+    lines = F.array_sort(F.collect_list(F.struct("at", "hash")))["hash"]  # a row a range of one file
+    one = F.when(F.count("*") == 1, F.max("hash")).otherwise(F.sha2(F.array_join(lines, "\n"), 256))
+    return hashed.groupBy("name", "size_bytes").agg(one.alias("sha256"))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        made = []
+        for path, at in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+            scheme, _, rest = path.partition(":")
+            system, place = (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(f"{ARROW[scheme]}:{rest}")
+            digest, left = hashlib.sha256(), size
+            with system.open_input_file(place) as f:
+                f.seek(at)
+                while left and (piece := f.read(min(PIECE, left))):
+                    digest.update(piece)
+                    left -= len(piece)
+            made.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, pa.string())], names=["name", "size_bytes", "at", "hash"])
 
 
 def total_hash(files: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from odlake.functions.text import config_hash, matches, shortened, table_name
 from odlake.operators import catalog, load, select, snapshot
 from odlake.operators import query as user_query
 from odlake.plans import schema
+from odlake.sources.folder import Folder
 from odlake.sources.portal import catalog_entries, landed_pages
 from odlake.streaming import hwm
 
@@ -251,13 +252,18 @@ def search_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""
-SELECT CAST(c_custkey AS VARCHAR) AS id, coalesce(l.table_name, CAST(c_custkey AS VARCHAR)) AS table_name, l.n AS last_rows_written, l.o_orderdate AS last_synced_at, s.m AS hwm_updated_at
+SELECT CAST(c_custkey AS VARCHAR) AS id, coalesce(l.table_name, CAST(c_custkey AS VARCHAR)) AS table_name, l.n AS last_rows_written, l.o_orderdate AS last_synced_at, s.m AS hwm_updated_at,
+       CASE WHEN l.table_name IS NOT NULL THEN 'o_orderkey bigint,o_custkey bigint,o_orderstatus string,o_totalprice double,o_orderdate timestamp_ntz,o_orderpriority string' END AS columns
 FROM customer LEFT JOIN ({LAST_SQL}) l ON c_custkey = l.o_custkey LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS m FROM orders GROUP BY 1) s ON c_custkey = s.o_custkey""")
 def describe_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of the run log hold orders, with a record key that is not shown."""
     runs = order_runs(spark, sf_dir)
     state = runs.groupBy("portal", "dataset_id").agg(F.max("started_at").alias("hwm_updated_at"), F.lit(None).cast("timestamp_ntz").alias("last_full_replace_at"))
-    columns = spark.createDataFrame([("shop", "none", 0, "record_id", "string")], "portal string, table_name string, pos int, name string, type string")
-    return catalog.details(customer_catalog(spark, sf_dir), runs, state, columns).select("id", "table_name", "last_rows_written", "last_synced_at", "hwm_updated_at")
+    fields = [("record_id", "string"), *((f.name, f.dataType.simpleString()) for f in table(spark, sf_dir, "orders").schema)]
+    each = F.array(*(F.struct(F.lit(k).alias("pos"), F.lit(name).alias("name"), F.lit(kind).alias("type")) for k, (name, kind) in enumerate(fields)))
+    columns = runs.select("portal", "table_name").distinct().select("*", F.inline(each))
+    shown = F.array_join(F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["type"])), ",").alias("columns")
+    return catalog.details(customer_catalog(spark, sf_dir), runs, state, columns).select("id", "table_name", "last_rows_written", "last_synced_at", "hwm_updated_at", shown)
 
 
 @registered("SELECT CAST(s_suppkey AS VARCHAR) AS id, 'buyers,sellers' AS portals FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer)")
@@ -348,12 +354,13 @@ def bootstrap_then_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(EVENTS_SQL)
 def stream_hwm_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed page files, merged by micro-batches until all are in. Marks would drop late pages, so all pages are one batch's."""
+    """Landed page files, merged by several micro-batches in whatever order they come; then a second stream with a checkpoint of its own over all of them, which changes nothing."""
     folder = scratch(spark, "stream")
-    land(spark, sf_dir, f"{folder}/pages")
-    store = load.Store(spark, f"{folder}/store")
-    pages = hwm.landed_stream(spark, f"{folder}/pages", 1000)
-    hwm.start(pages, store, "events-1", "events_1", EVENT_COLUMNS, f"{folder}/checkpoint").awaitTermination()
+    land(spark, sf_dir, f"{folder}/pages", 500)
+    store, n = load.Store(spark, f"{folder}/store"), len([f for f in Folder(spark, f"{folder}/pages").names() if f.startswith("part-")])
+    for check, batches in (("first", 4), ("second", 1)):
+        pages = hwm.landed_stream(spark, f"{folder}/pages", -(-n // batches))
+        hwm.start(pages, store, "events-1", "events_1", EVENT_COLUMNS, f"{folder}/{check}").awaitTermination()
     return store.read("events_1").select("record_id", "event_id", "ts", "event_type", "value")
 
 
@@ -416,6 +423,44 @@ def snapshot_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faults.join(spark.read.parquet(f"{folder}/restored/customer").agg(F.count("*").alias("table_rows")), F.lit(True))
 
 
+TAMPERED = (("customer", "size"), ("supplier", "missing"), ("nation", "hash"), ("region", "not listed"))
+
+
+@registered(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{fault}' AS fault, count(*) AS table_rows FROM {t}" for t, fault in TAMPERED))
+def snapshot_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package of four tables, of each of which one file is changed, replaced, removed or added: the faults that are found."""
+    root = scratch(spark, "tampered")
+    store, names = load.Store(spark, f"{root}/store"), [t for t, _ in TAMPERED]
+    store.replace_catalog(customer_catalog(spark, sf_dir).drop("portal"), load.new_run_id())
+    rows = {t: store.publish(t, table(spark, sf_dir, t), load.new_run_id()).count() for t in names}
+    target = f"{root}/packages/snapshot_id={snapshot.pack(store, 'shop', f'{root}/packages', names)}"
+    listed = {r["name"].split("/")[0]: r for r in spark.read.parquet(f"{target}/files").groupBy(F.substring_index("name", "/", 1)).agg(F.min_by(F.struct("name", "size_bytes"), "name").alias("f")).select("f.*").collect()}  # a row a table
+    data = Folder(spark, f"{target}/data")
+    for t, fault in TAMPERED:
+        name = "region/extra.parquet" if fault == "not listed" else listed[t]["name"]
+        data.remove(name)
+        if fault != "missing":
+            data.write(name, "x" * (listed[t]["size_bytes"] + (fault == "size")))
+    counts = spark.createDataFrame(list(rows.items()), "table_name string, table_rows long")
+    return snapshot.faults(spark, target).select(F.substring_index("name", "/", 1).alias("table_name"), "fault").join(counts, "table_name")
+
+
+@registered("""
+SELECT a.c_custkey AS a_custkey, a.c_name AS a_name, b.c_custkey AS b_custkey, b.c_acctbal AS b_acctbal FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey ORDER BY a.c_custkey LIMIT 1000""")
+def attached_user_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stores, attached, and joined by user SQL under its caps, with columns of one name: what a portal's tool returns."""
+    root, customers = scratch(spark, "attached"), table(spark, sf_dir, "customer")
+    stores = {name: load.Store(spark, f"{root}/{name}") for name in ("east", "west")}
+    for name, store in stores.items():
+        store.replace_catalog(customer_catalog(spark, sf_dir).drop("portal"), load.new_run_id())
+        store.publish("customer", customers.select("c_custkey", "c_name" if name == "east" else "c_acctbal"), load.new_run_id(), "c_custkey")
+    load.attach(stores, {name: ["customer"] for name in stores})
+    found = user_query.run(spark, "SELECT * FROM east.customer a JOIN west.customer b ON a.c_custkey = b.c_custkey ORDER BY a.c_custkey")
+    if found.columns != ["c_custkey", "c_name", "c_custkey", "c_acctbal"]:
+        raise RuntimeError(f"columns {found.columns}")
+    return spark.createDataFrame(found.rows, "a_custkey long, a_name string, b_custkey long, b_acctbal double")
+
+
 @registered("SELECT c_name, s_name FROM customer JOIN supplier ON c_custkey = s_suppkey")
 def cross_portal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attached(spark, sf_dir, "SELECT c_name, s_name FROM {buyers} JOIN {sellers} ON c_custkey = s_suppkey")

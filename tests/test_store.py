@@ -247,3 +247,25 @@ def test_running_marks_of_many_chunks(spark):
     for r in rows.collect():
         top[r["page"]] = max(top.get(r["page"], r["at"]), r["at"])
     assert {r["page"]: r["hwm"] for r in one} == {p: max(top[q] for q in range(p + 1)) for p in range(0, 67, 3)}
+
+
+def test_large_files_are_hashed_by_ranges(spark, tmp_path):
+    """A sparse file above the two GB that a row can hold, and small ones that tell each byte."""
+    import hashlib
+
+    (tmp_path / "d").mkdir()
+    size = (2 << 30) + 12_345
+    with open(tmp_path / "d/big.parquet", "wb") as f:
+        f.truncate(size)
+    (tmp_path / "d/small.parquet").write_bytes(b"abc" * 40)
+    found = {r["name"]: (r["size_bytes"], r["sha256"]) for r in snapshot.file_hashes(spark, str(tmp_path / "d")).collect()}
+    whole, rest = hashlib.sha256(bytes(snapshot.RANGE)).hexdigest(), hashlib.sha256(bytes(size % snapshot.RANGE)).hexdigest()
+    lines = [whole] * (size // snapshot.RANGE) + [rest]
+    assert found == {"big.parquet": (size, hashlib.sha256("\n".join(lines).encode()).hexdigest()), "small.parquet": (120, hashlib.sha256(b"abc" * 40).hexdigest())}
+    ranged = lambda: {r["name"]: r["sha256"] for r in snapshot.file_hashes(spark, str(tmp_path / "e"), 7).collect()}
+    (tmp_path / "e").mkdir()
+    seen = set()
+    for k in range(0, 50, 3):
+        (tmp_path / "e/x.parquet").write_bytes(bytes(j == k for j in range(50)))
+        seen.add(ranged()["x.parquet"])
+    assert len(seen) == 17
