@@ -116,6 +116,7 @@ class Pieces(dict):
         self.ranks, self.bytes = {b.decode("latin-1"): i for b, i in ranks.items()}, {i: b for b, i in ranks.items()}
         self.raw, self.packed = ranks, {i: i.to_bytes(4, "little") for i in self.bytes}
         self.size = {i: len(b) for i, b in self.bytes.items()}
+        self.most = max(self.size.values())
         self.longest = ahocorasick.Automaton()
         for t, i in self.ranks.items():
             self.longest.add_word(t, i)
@@ -200,7 +201,7 @@ class Pieces(dict):
 
     def first(self, text: str, at: int) -> int:
         """The longest token that text has at this place."""
-        rest, ranks = text[at:], self.ranks
+        rest, ranks = text[at : at + self.most], self.ranks  # no more than any token needs: a copy of a whole long rest each time would take quadratic time
         n = self.longest.longest_prefix(rest)  # of a word's beginning, not always a word
         while rest[:n] not in ranks:
             n -= 1

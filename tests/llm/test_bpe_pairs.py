@@ -1,6 +1,10 @@
 """Whether two tokens may stand together, against the merges themselves."""
 
 import random
+import time
+
+import public_tokenizers
+import pytest
 
 from odlake.llm import bpe
 
@@ -37,3 +41,19 @@ def test_forgetting_pairs_changes_no_ids(monkeypatch):
     few = bpe.Pieces(ranks)
     assert [few[t] for t in texts] == whole
     assert whole == [b"".join(i.to_bytes(4, "little") for i in bpe.merged(t.encode(), ranks)) for t in texts]
+
+
+@pytest.mark.parametrize("shape", ["pairs", "letters", "accents"])
+def test_a_very_long_piece_takes_linear_time(shape):
+    """Two and four megabytes of one piece: twice the text, about twice the time."""
+    rng = random.Random(1)
+    letters = {"pairs": lambda n: "ab" * (n // 2), "letters": lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)), "accents": lambda n: "é" * (n // 2)}[shape]
+    known, took = bpe.Pieces(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))), []
+    known.encode(letters(100_000).encode().decode("latin-1"))  # pairs are known afterwards
+    for n in (2_000_000, 4_000_000):
+        text = letters(n).encode().decode("latin-1")
+        began = time.process_time()
+        ids = known.encode(text)
+        took.append(time.process_time() - began)
+        assert b"".join(known.bytes[i] for i in ids) == text.encode("latin-1")
+    assert took[1] < 2.5 * took[0] + 0.5
