@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from odlake.functions import coerce
 from odlake.functions.text import config_hash, matches, shortened, table_name
-from odlake.operators import catalog, load, select, snapshot
+from odlake.operators import catalog, load, portal_load, select, snapshot
 from odlake.operators import query as user_query
 from odlake.plans import schema
+from odlake.session import ship
+from odlake.sources import replay
 from odlake.sources.folder import Folder
-from odlake.sources.portal import catalog_entries, landed_pages
+from odlake.sources.portal import catalog_entries, landed_pages, parsed, sources
 from odlake.streaming import hwm
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,6 +354,36 @@ def bootstrap_then_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("events_1").select("record_id", "event_id", "ts", "event_type", "value")
 
 
+def recorded_load(spark: SparkSession, sf_dir: str, datasets: int, runs: int) -> tuple[load.Store, list[DataFrame]]:
+    """events as a recorded portal's datasets, the first loaded above its mark and the second in full: the store, and the log of each run."""
+    root, e = scratch(spark, "recorded"), event_rows(spark, sf_dir)
+    wide = F.lpad(F.col("event_id").cast("string"), 12, "0")  # ids in the order of their texts
+    rows = e.select(F.parse_json(F.regexp_replace(F.to_json("v"), '":id":"[0-9]+"', F.concat(F.lit('":id":"'), wide, F.lit('"')))).alias("v"))
+    fetch = replay.player(replay.record(rows, f"{root}/rows"), EVENT_COLUMNS)
+    overrides = spark.createDataFrame([("even-0001", 2000, None), ("even-0002", 2000, "full_replace")][:datasets], "id string, batch_size int, mode string")
+    entries = overrides.select("id")
+    plan, store = select.hashed(select.effective(entries, overrides)), load.Store(spark, f"{root}/store")
+    return store, [store.run(portal_load.targets(spark, plan, "recorded", fetch, {"pagesPerTask": "2"})) for _ in range(runs)]
+
+
+@registered("SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS record_id, CAST(event_id AS DOUBLE) AS event_id, ts, event_type, value FROM events")
+def portal_to_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = recorded_load(spark, sf_dir, 1, 1)
+    return store.read("even_0001").select("record_id", "event_id", "ts", "event_type", "value")
+
+
+@registered("""
+SELECT run, dataset_id, table_name, 'ok' AS status, CASE WHEN loaded THEN (SELECT count(*) FROM events) ELSE 0 END AS rows_written, (SELECT count(*) FROM events) AS table_rows
+FROM (VALUES (1, 'even-0001', 'even_0001', true), (1, 'even-0002', 'even_0002', true), (2, 'even-0001', 'even_0001', false), (2, 'even-0002', 'even_0002', true)) v(run, dataset_id, table_name, loaded)""")
+def portal_load_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bootstrap and a delta without news beside two full replacements: what each run logs, and the tables' rows."""
+    store, logs = recorded_load(spark, sf_dir, 2, 2)
+    both = logs[0].withColumn("run", F.lit(1)).unionByName(logs[1].withColumn("run", F.lit(2)))
+    tables = {t: store.read(t).count() for t in ("even_0001", "even_0002")}
+    counts = spark.createDataFrame(list(tables.items()), "table_name string, table_rows long")
+    return both.select("run", "dataset_id", "table_name", "status", "rows_written").join(counts, "table_name")
+
+
 @registered(EVENTS_SQL)
 def stream_hwm_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed page files, merged by several micro-batches in whatever order they come; then a second stream with a checkpoint of its own over all of them, which changes nothing."""
@@ -403,10 +435,24 @@ def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("""
 SELECT o_orderkey, 'size_bytes' AS rule FROM orders WHERE o_totalprice < 5000 UNION ALL
 SELECT o_orderkey, 'url' FROM orders WHERE o_orderstatus = 'P' UNION ALL
-SELECT o_orderkey, 'created_at' FROM orders WHERE o_orderkey % 7 = 0""")
+SELECT o_orderkey, 'created_at' FROM orders WHERE o_orderkey % 7 = 0 UNION ALL
+SELECT o_orderkey, 'schema_version' FROM orders WHERE o_orderkey % 11 < 2 UNION ALL
+SELECT o_orderkey, 'portal' FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL
+SELECT o_orderkey, 'snapshot_id' FROM orders WHERE o_orderkey % 13 = 0 UNION ALL
+SELECT o_orderkey, 'sha256' FROM orders WHERE o_orderkey % 17 = 0""")
 def index_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    index = o.select("o_orderkey", F.lit(snapshot.VERSION).alias("schema_version"), F.lit("shop").alias("portal"), F.col("o_orderkey").cast("string").alias("snapshot_id"), F.when(F.col("o_orderstatus") != "P", "https://host/x").alias("url"), F.lit("ab").alias("sha256"), F.when(F.col("o_totalprice") < 5000, 0).otherwise(1).alias("size_bytes"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("created_at"))
+    """Entries of an index that break each of the rules."""
+    key, version = F.col("o_orderkey"), F.when(F.col("o_orderkey") % 11 == 0, snapshot.VERSION + 1).when(F.col("o_orderkey") % 11 != 1, snapshot.VERSION)
+    index = table(spark, sf_dir, "orders").select(
+        key,
+        version.alias("schema_version"),
+        F.when(~F.col("o_orderpriority").startswith("1"), "shop").alias("portal"),
+        F.when(key % 13 == 0, "").otherwise(key.cast("string")).alias("snapshot_id"),
+        F.when(F.col("o_orderstatus") != "P", "https://host/x").alias("url"),
+        F.when(key % 17 != 0, "ab").alias("sha256"),
+        F.when(F.col("o_totalprice") < 5000, 0).otherwise(1).alias("size_bytes"),
+        F.when(key % 7 != 0, F.col("o_orderdate")).alias("created_at"),
+    )
     return snapshot.violations(index).select("o_orderkey", "rule")
 
 
@@ -489,13 +535,33 @@ def byte_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user_query.capped(ordered, 1000, 8192).where(~F.col("__over")).select("doc_id")
 
 
-@registered("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_brand AS category, array_to_string(string_split(p_type, ' '), '|') AS tags, TIMESTAMP '2024-01-15 10:00:00' AS updated_at FROM part")
-def catalog_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+PARTS_SQL = "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_brand AS category, array_to_string(string_split(p_type, ' '), '|') AS tags, TIMESTAMP '2024-01-15 10:00:00' AS updated_at FROM part"
+
+
+def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as a portal's catalog results."""
     resource = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.lit("").alias("description"), F.lit("2024-01-15T10:00:00.000Z").alias("rowsUpdatedAt"))
     classified = F.struct(F.col("p_brand").alias("domain_category"), F.split("p_type", " ").alias("domain_tags"))
-    entries = catalog_entries(p.select(F.parse_json(F.to_json(F.struct(resource.alias("resource"), classified.alias("classification")))).alias("v")))
-    return entries.select("id", "name", "category", F.array_join("tags", "|").alias("tags"), "updated_at")
+    return table(spark, sf_dir, "part").select(F.parse_json(F.to_json(F.struct(resource.alias("resource"), classified.alias("classification")))).alias("v"))
+
+
+@registered(PARTS_SQL)
+def catalog_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_entries(part_entries(spark, sf_dir)).select("id", "name", "category", F.array_join("tags", "|").alias("tags"), "updated_at")
+
+
+@registered(PARTS_SQL)
+def portal_catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recorded portal's catalog, read page by page, stored in the order of ids and read back without a sort."""
+    root = scratch(spark, "catalog")
+    fetch = replay.player(replay.record(part_entries(spark, sf_dir), f"{root}/entries", "$.resource.id"), [])
+    ship(spark)
+    for source in sources(fetch):
+        spark.dataSource.register(source)
+    pages = spark.read.format("portal_catalog").option("portal", "recorded").option("pageSize", 500).load()
+    store = load.Store(spark, f"{root}/store")
+    store.replace_catalog(catalog_entries(parsed(pages)), load.new_run_id())
+    return store.read_in_order().select("id", "name", "category", F.array_join("tags", "|").alias("tags"), "updated_at")
 
 
 @registered("SELECT t AS tag, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS t FROM part) WHERE regexp_full_match(t, '[A-M][^/]*') GROUP BY 1")

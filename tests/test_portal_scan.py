@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from odlake.operators import load
 from odlake.sources import portal as portals
+from odlake.sources import replay
 from odlake.streaming import hwm
 
 ROWS = [(f"r{k:02d}", 1 + k // 4, f"n{k % 3}", str(k)) for k in range(22)]
@@ -119,3 +120,22 @@ def test_the_stream_through_spark(spark, portal):
     pages = [a for a in asked() if a.get("$limit") == "3"]
     drivers = {a["pid"] for a in asked() if "DESC" in a.get("$order", "")}
     assert pages and not drivers & {a["pid"] for a in pages}  # rows are read where tasks run
+
+
+def test_a_recorded_portal(spark, tmp_path):
+    rows = [{":id": f"r{k:03d}", ":updated_at": f"2024-01-{1 + k % 9:02d}T00:00:00.000", "n": k} for k in range(100)]
+    v = portals.parsed(spark.createDataFrame([(json.dumps(r), 0, 0) for r in rows], "value string, page int, pos int").repartition(4))
+    recorded = replay.record(v, str(tmp_path / "rows"), files=5)
+    fetch = replay.player(recorded, [("n", "number")])
+    assert len(recorded) == 5 and sum(n for _, _, n in recorded) == 100
+
+    def ids(where="", order=":id", offset=0, size=7):
+        status, body = fetch(portals.rows_url({"portal": "p", "dataset": "d", "order": order, "where": where, "systemFields": "true"}, offset, size))
+        return [r[":id"] for r in json.loads(body)] if status == 200 else status
+
+    every = [r[":id"] for r in rows]
+    assert ids(offset=60, size=50) == every[60:] and ids(offset=17) == every[17:24] and ids(offset=100) == []
+    assert ids("(:id > 'r038')") == every[39:46] and ids("(:id > 'r038') AND (:id <= 'r041')", offset=1) == every[40:42] and ids(":id > 'zz'") == []
+    assert ids("(:updated_at > '2024-01-08T00:00:00.000') AND (:id > 'r050')", size=3) == ["r053", "r062", "r071"]
+    assert ids("score > 1") == 400 and ids(order=":updated_at,:id") == 400 and ids("(:id > 'a' OR n = 1)") == 400
+    assert json.loads(fetch(portals.metadata_url("p", "d"))[1]) == {"columns": [{"fieldName": "n", "dataTypeName": "number"}]}
