@@ -13,7 +13,9 @@ the states in which it can be entered. A whole word is such a map of the one sta
 kept for all texts; a word of more than `CHUNK` symbols is cut at any place, and its chunks are entered in
 the states that the symbols before them lead to, from the first state or from any that another chunk
 ends in. Maps are composed, as composition is associative, by a balanced scan; a composed map is
-completed where it is asked for a state that was not foreseen, so the count is exact.
+completed where it is asked for a state that was not foreseen, so the count is exact. Compiled states are
+dropped between words and between a long word's stretches when they are many; a word that is under way
+goes on from the live places of the state it had reached, which are all that a state is.
 
 Cases: a null or empty text has no tokens; special strings in a text count one each; repeated rows
 count alike; texts in rarely used scripts are split by the library's own tables, as Unicode versions differ.
@@ -31,9 +33,9 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: Symbols of a chunk; characters of a text that are split into words at a time.
-CHUNK, AT_ONCE = 256, 1 << 20
-#: Words and states that a worker remembers before it begins anew; bounds its memory, not its results.
+#: Symbols of a chunk, and of a stretch of a long word whose chunks are composed; characters of a text that are split into words at a time.
+CHUNK, STRETCH, AT_ONCE = 256, 1 << 14, 1 << 20
+#: Words, and states, transitions or pairs of tokens that a worker remembers before it begins anew; bounds its memory, not its results.
 REMEMBERED, STATES = 600_000, 300_000
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = regex.compile(r"\s")
@@ -70,6 +72,7 @@ class Transducer(dict):
                 node = self.tree.setdefault(node << 9 | c, len(self.tree) + 1)
             self.token[node] = i
         self.fits: dict[tuple[int, int], bool] = {}
+        self.words = Words(self)
         self.restart()
 
     def spell(self, token: str, end: str) -> tuple[int, ...]:
@@ -78,8 +81,24 @@ class Transducer(dict):
         return (*codes[:-1], codes[-1] + END) if stem != token else tuple(codes)
 
     def restart(self) -> None:
+        """Drops what was compiled, but not the counts of words."""
         self.clear()
-        self.states, self.numbers, self.words = [((0, -1, 0),)], {((0, -1, 0),): 0}, Words(self)
+        self.fits.clear()
+        self.states, self.numbers = [((0, -1, 0),)], {((0, -1, 0),): 0}
+
+    def bounded(self, state: int = 0) -> int:
+        """The state, by its number after a restart if too much was compiled."""
+        if max(len(self.states), len(self), len(self.fits)) <= STATES:
+            return state
+        places = self.states[state]
+        self.restart()
+        return self.number(places)
+
+    def number(self, places: tuple[tuple[int, int, int], ...]) -> int:
+        if (known := self.numbers.get(places)) is None:
+            known = self.numbers[places] = len(self.states)
+            self.states.append(places)
+        return known
 
     def fit(self, a: int, b: int) -> bool:
         """Whether token b may follow token a: merging both spellings gives a and b again."""
@@ -105,10 +124,7 @@ class Transducer(dict):
             if last < 0 and token is not None and self.follows(before, token):
                 last, emitted = token, count + 1
         places = (*((n, b, c - emitted) for n, b, c in live), (0, last, 0)) if symbol < END else self.states[0]
-        if (number := self.numbers.get(places)) is None:
-            number = self.numbers[places] = len(self.states)
-            self.states.append(places)
-        made = self[key] = number, emitted
+        made = self[key] = self.number(places), emitted
         return made
 
     def follows(self, before: int, token: int) -> bool:
@@ -135,16 +151,26 @@ class Transducer(dict):
         return state, total
 
     def run(self, word: bytes, chunk: int = CHUNK) -> int:
-        symbols = (*word[:-1], word[-1] + END)
+        state, total = self.bounded(), 0
+        for start in range(0, len(word), STRETCH):
+            symbols = tuple(word[start : start + STRETCH])
+            if start + STRETCH >= len(word):
+                symbols = (*symbols[:-1], symbols[-1] + END)
+            state, emitted = self.stretch(state, symbols, chunk)
+            state, total = self.bounded(state), total + emitted
+        return total
+
+    def stretch(self, entry: int, symbols: tuple[int, ...], chunk: int) -> tuple[int, int]:
+        """The exit state and emitted count of a stretch, by its chunks' maps."""
         if len(symbols) <= chunk:
-            return self.through(0, symbols)[1]
+            return self.through(entry, symbols)
         maps = [StateMap(self, symbols[at : at + chunk]) for at in range(0, len(symbols), chunk)]
-        maps[0].at(0)
+        maps[0].at(entry)
         for before, after in pairwise(maps):  # each by itself: from the first state, as if the chunk before began a word
             after.at(before.at(0)[0])
         while len(maps) > 1:  # a balanced scan
             maps = [compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        return maps[0].at(0)[1]
+        return maps[0].at(entry)
 
     def count_plain(self, text: str) -> int:
         """Of text without special strings, cut at white space only: the sum of its words' counts, each from the first state to itself."""
@@ -169,8 +195,6 @@ class Transducer(dict):
         return total + self.count_plain(text[at:] if at else text)
 
     def count(self, text: str, at_once: int = AT_ONCE) -> int:
-        if len(self.states) > STATES or len(self.words) > REMEMBERED:
-            self.restart()
         if self.at_special is None or not any(s in text for s in self.special):
             return self.count_text(text, at_once)
         parts = self.at_special.split(text)
@@ -210,6 +234,8 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         n = self.of.run(word.encode())
         if len(word) < 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
             self[word] = n
         return n
 
