@@ -10,6 +10,8 @@ forest, never all pairs; components of the forests' edges give the result.
 
 Only distinct fingerprints are compared, so exact copies cost nothing. An anchor with more than
 `crowd` fingerprints is split into blocks of that size, compared block by block in tasks of their own.
+Documents of a fingerprint that at least one in `HOT` rows has get their component where they are, as
+there can be at most `HOT` such fingerprints; the rest meet theirs by a shuffle.
 
 Cases: null and empty texts, and those of white space alone, have fingerprint zero and link like
 any other; a text under 3 words is one shingle; repeated rows share all; a null doc_id takes part,
@@ -23,15 +25,17 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, cut, map_texts, without
+from .common import buckets, cut, map_texts
 from .components import components
 
 SEED, SHINGLE, LINKED = 42, 3, 3
 #: Fingerprints at one anchor from which it is split into blocks.
 CROWD = 8192
+#: Fingerprints that are common: the share 1 / HOT of all rows or more. At most HOT are.
+HOT = 1000
 #: Shingles whose votes are counted at a time, and pairs compared at a time.
 AT_ONCE = 1 << 18
 #: Over 31 bits, the positions (1 to 31) whose number has bit k; the parities over them give the position to flip.
@@ -102,12 +106,13 @@ def compared(rows: pa.Table) -> pa.Table:
     return pa.table({"a": nodes[joined], "b": nodes[label[joined]]})
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", crowd: int = CROWD, hot: int = HOT) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links."""
     marked = cut(fingerprints(docs, text))
-    groups = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    groups = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     spark, rows = docs.sparkSession, at_anchors(groups.select("fp"))
-    n = buckets(spark, 31 * groups.count(), 200_000)
+    distinct, total = groups.agg(F.count("*"), F.sum("copies")).first()
+    n = buckets(spark, 31 * distinct, 200_000)
     crowds = rows.groupBy("anchor").count().where(F.col("count") > crowd).withColumn("parts", F.ceil(F.col("count") / crowd).cast("int")).drop("count")
     crowds = cut(crowds)
     whole = rows.withColumn("block", F.lit(0).cast("long"))
@@ -122,20 +127,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", crowd: int = CROWD) ->
     labels = components(edges)
     least = labels.join(groups, labels.node == groups.fp).groupBy("label").agg(F.min("least").alias("component_id"))
     of_linked = labels.join(least, "label").select(F.col("node").alias("fp"), "component_id")
-    of_all = groups.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(of_all, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the smallest doc_id of each component, once; rows with a null doc_id stay."""
-    found = cut(near_duplicates(docs, text).select("doc_id", "component_id"))
-    kept = without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
-    repeated = cut(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))  # rows of one repeated id
-    once = kept.join(repeated, "doc_id", "left_semi").withColumn("__n", first).where("__n = 1").drop("__n")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    is_hot = F.col("copies") * hot >= F.lit(total or 0)
+    of_all = cut(groups.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), is_hot.alias("hot")))
+    common, rare = F.broadcast(of_all.where("hot").drop("hot")), of_all.where("not hot").drop("hot")  # common: `hot` rows at most
+    found = marked.join(common, "fp").unionByName(marked.join(common, "fp", "left_anti").join(rare, "fp"))
+    return found.select("doc_id", "fp", "component_id")
 
 
 def as_hex(fp: str = "fp"):
