@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product, over robust-pruned directed graphs.
 
-Equal vectors are one node with their smallest ids. Nodes are dealt to shards of at most about `SHARD_BYTES`
-of vectors by hash, and to at least as many as there are tasks for where they are many.
+Equal vectors are one node with their smallest ids. Nodes are dealt to shards of about `SHARD_BYTES`
+of vectors at most by hash; their number depends on the vectors alone.
 In each shard, nodes enter a directed graph in turn: a greedy search proposes neighbours, and pruning
 keeps the nearest one and drops those that it brings much closer (relaxed by `ALPHA`), and so on, so
 that edges stay few and diverse; edges back are pruned alike. A query's beam search walks every shard's
@@ -34,28 +34,29 @@ from odlake.session import ship
 
 from .common import cut
 
-#: Bytes of a shard's vectors at most, nodes that are not split into shards for the sake of more tasks, and queries for which a graph is read once.
-SHARD_BYTES, SMALL, BLOCK = 64_000_000, 16_384, 1 << 18
+#: Bytes of a shard's vectors at most, and queries for which a graph is read once.
+SHARD_BYTES, BLOCK = 64_000_000, 1 << 18
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
-#: Width of a query's beam where one shard holds all nodes, and at least; shares of it suffice where the best are spread over shards.
-SEARCH_BEAM, NARROW = 80, 40
+#: Width of a query's beam, in every shard and at every size.
+SEARCH_BEAM = 64
 #: Best nodes of a beam that are expanded at a time, and nodes that are searched for at a time.
 STEP, AT_ONCE = 4, 256
 #: Candidates among which edges are pruned, nearest first.
 PRUNED_FROM = 128
 
 
-def beam_search(queries: np.ndarray, vectors: np.ndarray, edges: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of each query's final beam and their inner products, best first; -1 and -inf where there are fewer."""
-    q, n = len(queries), len(vectors)
+def beam_search(queries: np.ndarray, padded: np.ndarray, links: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of each query's final beam and their inner products, best first; -1 and -inf where there are fewer.
+
+    padded: the n nodes' vectors, and zeros; links: their edges to nodes, or n for none, and a row of n.
+    """
+    q, n = len(queries), len(padded) - 1
     each = np.arange(q)[:, None]
     seen = np.zeros((q, n + 1), bool)
     seen[:, n] = True  # stands for no node
     beam, score = np.full((q, width), n), np.full((q, width), -np.inf)
     done = np.zeros((q, width), bool)
     new = np.broadcast_to(entries, (q, len(entries)))
-    padded = np.vstack([vectors, np.zeros(vectors.shape[1])])
-    links = np.vstack([np.where(edges < 0, n, edges), np.full((1, edges.shape[1]), n)])
     while True:
         new = np.where(seen[each, new], n, new)
         new = np.sort(new, 1)
@@ -75,6 +76,12 @@ def beam_search(queries: np.ndarray, vectors: np.ndarray, edges: np.ndarray, ent
         new = links[chosen].reshape(q, -1)
 
 
+def with_none(vectors: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What beam_search reads, of nodes and their edges (-1: none)."""
+    n = len(vectors)
+    return np.vstack([vectors, np.zeros(vectors.shape[1])]), np.vstack([np.where(edges < 0, n, edges), np.full((1, edges.shape[1]), n)])
+
+
 def pruned(of: np.ndarray, candidates: np.ndarray, vectors: np.ndarray, alpha: float, degree: int) -> np.ndarray:
     """For each node, up to `degree` of its candidates (-1: none). All vectors have one length."""
     length = float((vectors[0] ** 2).sum())
@@ -114,10 +121,13 @@ def built(vectors: np.ndarray, degree: int = DEGREE, width: int = BEAM, alpha: f
     entries = np.unique(np.r_[middle, rng.choice(n, min(n, 8), replace=False)])
     edges = np.full((n, degree), -1)
     edges[:, : degree // 2] = rng.integers(0, n, (n, degree // 2))
+    padded, links = with_none(long, edges)
+    long = padded[:n]
     for at in range(0, n, AT_ONCE):
         some = np.arange(at, min(n, at + AT_ONCE))  # rows come in hashed order
-        proposed, _ = beam_search(long[some], long, edges, entries, width)
+        proposed, _ = beam_search(long[some], padded, links, entries, width)
         edges[some] = pruned(some, np.hstack([proposed, edges[some]]), long, alpha, degree)
+        links[some] = np.where(edges[some] < 0, n, edges[some])
         source, target = np.repeat(some, degree), edges[some].ravel()
         source, target = source[target >= 0], target[target >= 0]
         order = np.argsort(target, kind="stable")
@@ -127,7 +137,8 @@ def built(vectors: np.ndarray, degree: int = DEGREE, width: int = BEAM, alpha: f
         back[np.repeat(np.arange(len(nodes)), count), np.arange(len(target)) - np.repeat(first, count)] = source
         for part in range(0, len(nodes), AT_ONCE):
             which = slice(part, part + AT_ONCE)
-            edges[nodes[which]] = pruned(nodes[which], np.hstack([edges[nodes[which]], back[which]]), long, alpha, degree)
+            edges[nodes[which]] = made = pruned(nodes[which], np.hstack([edges[nodes[which]], back[which]]), long, alpha, degree)
+            links[nodes[which]] = np.where(made < 0, n, made)
     return edges, entries
 
 
@@ -171,15 +182,14 @@ def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table(made).to_batches(max_chunksize=8192)
 
 
-def index(vectors: DataFrame, k: int, shard_bytes: int = SHARD_BYTES, small: int = SMALL) -> tuple[DataFrame, int]:
+def index(vectors: DataFrame, k: int, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
     """shard, dim, vector, ids (the k + 1 smallest of the vector), node, edges, entry: a row for each node; and the number of shards."""
-    spark = vectors.sparkSession
-    ship(spark)
+    ship(vectors.sparkSession)
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     nodes = vectors.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     nodes = cut(nodes.withColumn("dim", F.size("vector")))
     n, widest = nodes.agg(F.count("*"), F.max("dim")).first()
-    shards = max(1, -(-n * 8 * (widest or 0) // shard_bytes), min(-(-n // small), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shards = max(1, -(-n * 8 * (widest or 0) // shard_bytes))
     dealt = nodes.select(F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int").alias("shard"), "dim", "vector", "ids")
     dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "dim")
     return cut(dealt.mapInArrow(build, "shard int, dim int, vector array<double>, ids array<long>, node int, edges array<int>, entry boolean")), shards
@@ -188,7 +198,7 @@ def index(vectors: DataFrame, k: int, shard_bytes: int = SHARD_BYTES, small: int
 def search(graphs: DataFrame, shards: int, queries: DataFrame, k: int, width: int = SEARCH_BEAM, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id, vector) the k best of all shards, without its own id."""
     blocks = -(-queries.count() // block) or 1
-    width = max(k + 1, min(width, NARROW), int(width / np.sqrt(shards)))
+    width = max(k + 1, width)
     # a task's rows are a shard's graph, and behind it the queries of a block
     all_shards, all_blocks = (F.sequence(F.lit(0), F.lit(m - 1)) for m in (shards, blocks))
     asked = queries.select(F.explode(all_shards).alias("shard"), F.size("vector").alias("dim"), "vector", F.array("vec_id").alias("ids"), F.lit(None).cast("int").alias("node"), F.lit(None).cast("array<int>").alias("edges"), F.lit(None).cast("boolean").alias("entry"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
@@ -218,8 +228,8 @@ class Graph:
     """A shard's graph in memory."""
 
     def __init__(self, rows: pa.Table) -> None:
-        self.vectors, self.entries = matrix(rows["vector"]), np.flatnonzero(rows["entry"].to_numpy())
-        self.edges = rows["edges"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1).astype(np.int64)
+        edges = rows["edges"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1).astype(np.int64)
+        (self.vectors, self.links), self.entries = with_none(matrix(rows["vector"]), edges), np.flatnonzero(rows["entry"].to_numpy())
         ids = rows["ids"].combine_chunks()
         self.flat, self.sizes = ids.flatten().to_numpy(), np.asarray(pc.list_value_length(ids)).astype(np.int64)
         self.before = np.cumsum(self.sizes) - self.sizes
@@ -228,7 +238,7 @@ class Graph:
         """The k best of this shard for each query."""
         asking, own = matrix(some["vector"]), some["ids"].combine_chunks().flatten().to_numpy()
         for at in range(0, len(own), AT_ONCE):
-            found, score = beam_search(asking[at : at + AT_ONCE], self.vectors, self.edges, self.entries, width)
+            found, score = beam_search(asking[at : at + AT_ONCE], self.vectors, self.links, self.entries, width)
             of, nth = np.nonzero(found >= 0)
             node = found[of, nth]
             n = self.sizes[node]
