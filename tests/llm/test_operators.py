@@ -164,6 +164,22 @@ def test_state_maps_of_long_words_and_texts():
     assert mine.count(long) == mine.count(long, 1000) == len(library.encode(long, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "aé1中"])
+def test_states_stay_bounded_within_a_word(monkeypatch, letters):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "STATES", 10_000)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, mine, rng = Tokenizer.from_file(path), tokens.Transducer(path), random.Random(4)
+    restarts, most = [], 0
+    plain = mine.restart
+    monkeypatch.setattr(mine, "restart", lambda: (restarts.append(len(mine.states)), plain()))
+    for text in ("".join(rng.choice(letters) for _ in range(150_000)), " ".join("".join(rng.choice(letters) for _ in range(70)) for _ in range(2_000))):
+        assert mine.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+        most = max([most, len(mine.states), *restarts])
+    assert most <= 10_000 + 3 * tokens.STRETCH and (restarts or letters != "abcdefghijklmnopqrstuvwxyz")
+
+
 def test_token_count_queries(spark):
     from tokenizers import Tokenizer
 
@@ -308,12 +324,12 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("crowd", [simhash.CROWD, 3])
-def test_simhash(spark, crowd):
+@pytest.mark.parametrize("crowd,hot", [(simhash.CROWD, simhash.HOT), (3, 30), (3, 1)])
+def test_simhash(spark, crowd, hot):
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 9)}" for _ in range(60)]
     rows = HARD + [(k, " ".join(base[: rng.randint(20, 60)] + [rng.choice("ab")])) for k in range(50, 110)]
-    got = simhash.near_duplicates(docs(spark, rows), crowd=crowd).collect()
+    got = simhash.near_duplicates(docs(spark, rows), crowd=crowd, hot=hot).collect()
     prints = {t: brute_fingerprint(t) for _, t in rows}
     values = sorted(set(prints.values()))
     group = {v: v for v in values}
@@ -350,11 +366,6 @@ def test_anchors_cover_every_link(spark):
     assert all(at[signed(a)][0] & at[signed(b)][1] for a, b in pairs)
 
 
-def test_one_of_each(spark):
-    rows = [(1, PASSAGE), (2, PASSAGE), (2, PASSAGE), (3, "another text entirely here"), (3, "another text entirely here"), (None, "no id at all")]
-    assert sorted((r["doc_id"] or 0) for r in simhash.one_of_each(docs(spark, rows)).collect()) == [0, 1, 3]
-
-
 def test_templates(spark):
     item = "If Anna buys 3 apples at the market for 5 euro each then how much does Anna pay for 3 apples in total"
     items = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "a plain passage of words that nobody else will ever repeat anywhere")], "item_id long, text string")
