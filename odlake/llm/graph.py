@@ -9,7 +9,8 @@ graph, and the best of all shards are ranked. Graphs are built and searched for
 numpy, in double precision; distances are those after the extra coordinate that gives all vectors one
 length, so that nearest means largest inner product whatever the lengths.
 
-A shard is as large as a task's memory allows, since every query searches every shard. Shards are
+Every query searches every shard with a beam of one width, which together with the size of a shard
+decides recall: a table of one full shard is the hardest case, as with more shards each holds fewer of the best. Shards are
 built from an explicit partitioning by shard, one task each. A query's row is sent to each shard once,
 and a graph is read once by each of a few tasks, past which the shard's queries stream in batches.
 Every vector is indexed.
@@ -35,10 +36,10 @@ from odlake.session import ship
 from .common import cut
 
 #: Bytes of a shard's vectors at most, and queries for which a graph is read once.
-SHARD_BYTES, BLOCK = 64_000_000, 1 << 18
+SHARD_BYTES, BLOCK = 16_000_000, 1 << 18
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
-#: Width of a query's beam, in every shard and at every size.
-SEARCH_BEAM = 64
+#: Width of a query's beam, in every shard and at every size; with shards of SHARD_BYTES, enough for a table of one full shard.
+SEARCH_BEAM = 128
 #: Best nodes of a beam that are expanded at a time, and nodes that are searched for at a time.
 STEP, AT_ONCE = 4, 256
 #: Candidates among which edges are pruned, nearest first.
@@ -135,9 +136,10 @@ def built(vectors: np.ndarray, degree: int = DEGREE, width: int = BEAM, alpha: f
         nodes, first, count = np.unique(target, return_index=True, return_counts=True)
         back = np.full((len(nodes), count.max(initial=1)), -1)
         back[np.repeat(np.arange(len(nodes)), count), np.arange(len(target)) - np.repeat(first, count)] = source
+        by_count = np.argsort(count, kind="stable")  # few back edges: few candidates
         for part in range(0, len(nodes), AT_ONCE):
-            which = slice(part, part + AT_ONCE)
-            edges[nodes[which]] = made = pruned(nodes[which], np.hstack([edges[nodes[which]], back[which]]), long, alpha, degree)
+            which = by_count[part : part + AT_ONCE]
+            edges[nodes[which]] = made = pruned(nodes[which], np.hstack([edges[nodes[which]], back[which, : count[which].max()]]), long, alpha, degree)
             links[nodes[which]] = np.where(made < 0, n, made)
     return edges, entries
 
