@@ -39,7 +39,7 @@ from .common import cut
 SHARD_BYTES, BLOCK = 16_000_000, 1 << 18
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
 #: Width of a query's beam, in every shard and at every size; with shards of SHARD_BYTES, enough for a table of one full shard.
-SEARCH_BEAM = 128
+SEARCH_BEAM = 192
 #: Best nodes of a beam that are expanded at a time, and nodes that are searched for at a time.
 STEP, AT_ONCE = 4, 256
 #: Candidates among which edges are pruned, nearest first.
