@@ -4,8 +4,9 @@ Blocks of text that may repeat (see repeats.py) are indexed by their sorted suff
 that neighbours share. The places are cut into reference blocks of 1, 2, 4, ... places, and the words of
 the block that follows a reference block are factored greedily against it: a factor is the longest match
 that starts in the reference block, or one word; it is found from the index, by the rows of the
-reference block next above and below, and the parse goes on behind it. Of any two places one
-lies in the reference block of the other at just one size, so every earlier occurrence is searched.
+reference block next above and below, followed to its end, and the parse goes on behind it. A parse
+begins anew only at a block or a segment. Of any two places one lies in the reference block of the other
+at just one size, so every earlier occurrence is searched.
 In a factor of `LEAST` words or more, all windows repeat, as the whole factor stands earlier; windows
 that cross a factor's end lie in no one factor, and are looked up one by one.
 
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from .repeats import AT_ONCE, Kind, codes_of_bytes, ladder, mixed, without_repeats
 
 LEAST = 20
-#: Words of a factor at most, and places after which a parse begins anew; a longer match continues as the next factor.
-FACTOR = 32
+#: Words that the index sorts by; a match that reaches so far is followed on from there, to its end.
+DEPTH = 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -119,21 +120,32 @@ class Shared:
 class References:
     """The reference blocks of one size: every other block of places, each by its rows of the index."""
 
-    def __init__(self, level: int, rank: np.ndarray, shared: Shared) -> None:
-        self.level, self.rank, self.shared, self.n = level, rank, shared, len(rank)
+    def __init__(self, level: int, rank: np.ndarray, order: np.ndarray, shared: Shared, remaining: np.ndarray, depth: int) -> None:
+        self.level, self.rank, self.order, self.shared, self.n = level, rank, order, shared, len(rank)
+        self.remaining, self.depth = remaining, depth
         place = np.flatnonzero(np.arange(self.n) >> level & 1 == 0)
         self.rows = np.sort((place >> level) * self.n + rank[place])
 
     def longest(self, places: np.ndarray) -> np.ndarray:
-        """The words of the longest match of each place that starts in the reference block before its own."""
+        """The words of the longest match of each place that starts in the reference block before its own; of several of `depth` words or more, one is followed."""
         block, row = (places >> self.level) - 1, self.rank[places]
         at = np.searchsorted(self.rows, block * self.n + row)
-        made = np.zeros(len(places), np.int64)
+        made, source = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
         for nearest, behind in ((at - 1, False), (at, True)):
             ok = np.flatnonzero((nearest >= 0) & (nearest < len(self.rows)))
             ok = ok[self.rows[nearest[ok]] // self.n == block[ok]]
             other = self.rows[nearest[ok]] % self.n
-            made[ok] = np.maximum(made[ok], self.shared.between(*((row[ok], other) if behind else (other, row[ok]))))
+            length = self.shared.between(*((row[ok], other) if behind else (other, row[ok])))
+            better = length > made[ok]
+            made[ok[better]], source[ok[better]] = length[better], self.order[other[better]]
+        going = np.flatnonzero(made == self.depth)
+        while len(going):
+            length = made[going]
+            going = going[(length < self.remaining[places[going]]) & (length < self.remaining[source[going]])]
+            a, b = self.rank[places[going] + made[going]], self.rank[source[going] + made[going]]
+            more = self.shared.between(np.minimum(a, b), np.maximum(a, b))
+            made[going] += more
+            going = going[more == self.depth]
         return made
 
 
@@ -142,7 +154,7 @@ def factored(flagged: np.ndarray, wanted: np.ndarray, ends: np.ndarray, referenc
     n, level = len(flagged), references.level
     following = np.minimum.accumulate(np.where(wanted, np.arange(n), n)[::-1])[::-1]  # the next wanted window
     place = np.arange(n)
-    fresh = np.r_[True, ends[1:] != ends[:-1]] | (place & (1 << level) - 1 == 0) | (place % FACTOR == 0)
+    fresh = np.r_[True, ends[1:] != ends[:-1]] | (place & (1 << level) - 1 == 0)
     at = np.flatnonzero(fresh)
     stop = np.r_[at[1:], n]
     right = at >> level & 1 == 1
@@ -174,7 +186,8 @@ def repeated(text: np.ndarray, remaining: np.ndarray, least: int = LEAST) -> np.
     flagged = np.zeros(n, bool)
     if not n:
         return flagged
-    order, shared = index(text, remaining, max(FACTOR, least))
+    depth = max(DEPTH, least)
+    order, shared = index(text, remaining, depth)
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     shared, ends = Shared(shared), np.arange(n) + remaining
@@ -182,7 +195,7 @@ def repeated(text: np.ndarray, remaining: np.ndarray, least: int = LEAST) -> np.
         wanted = (remaining >= least) & ~flagged
         if not wanted.any():
             break
-        factored(flagged, wanted, ends, References(level, rank, shared), least)
+        factored(flagged, wanted, ends, References(level, rank, order, shared, remaining, depth), least)
     return flagged
 
 

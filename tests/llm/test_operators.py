@@ -275,6 +275,26 @@ def test_the_method_decides(spark, monkeypatch, module, dedup):
         assert relative.repeated(text, np.arange(120, 0, -1)).sum() == 0
 
 
+def test_factors_run_to_their_end(monkeypatch):
+    """Of a long passage that stands twice, its windows come from a few long factors, not from looking them up one by one."""
+    asked = []
+    longest = relative.References.longest
+
+    def recorded(self, places):
+        made = longest(self, places)
+        asked.extend(made[made >= relative.LEAST].tolist())
+        return made
+
+    monkeypatch.setattr(relative.References, "longest", recorded)
+    rng = np.random.default_rng(5)
+    passage, rest = rng.integers(1, 1 << 60, 4000).astype(np.uint64), rng.integers(1, 1 << 60, 700).astype(np.uint64)
+    text = np.concatenate([passage, rest, passage])
+    found = relative.repeated(text, np.concatenate([np.arange(4700, 0, -1), np.arange(4000, 0, -1)]))
+    assert np.flatnonzero(found).tolist() == list(range(4700, 4700 + 3981))
+    assert len(asked) < 0.1 * 3981
+    assert max(asked) > 3000
+
+
 @pytest.mark.parametrize(("match", "values"), [(suffixes.repeated, 2), (suffixes.repeated, 6), (relative.repeated, 2), (relative.repeated, 9)])
 def test_matchers(match, values):
     rng = random.Random(values)
