@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from odlake.functions import coerce
@@ -44,6 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores: a table of few files or row groups is read by as few tasks, and what is made of its rows costs far more than they do."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -57,11 +62,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 EVENT_COLUMNS = [("event_id", "number"), ("ts", "calendar_date"), ("user_id", "number"), ("event_type", "text"), ("value", "number"), ("props", "json")]
 
 
-def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as untyped rows: v holds their JSON, with the system fields."""
+def event_rows(spark: SparkSession, sf_dir: str, record_id: Column | None = None, kept: Column | None = None) -> DataFrame:
+    """events, or those `kept`, as untyped rows: v holds their JSON, with the system fields."""
     e = table(spark, sf_dir, "events")
+    e = spread(e if kept is None else e.where(kept))
     ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    row = F.struct(F.col("event_id").cast("string").alias(":id"), ts.alias(":updated_at"), "event_id", ts.alias("ts"), "user_id", "event_type", F.col("value").cast("string").alias("value"), F.parse_json("props").alias("props"))
+    row = F.struct((F.col("event_id").cast("string") if record_id is None else record_id).alias(":id"), ts.alias(":updated_at"), "event_id", ts.alias("ts"), "user_id", "event_type", F.col("value").cast("string").alias("value"), F.parse_json("props").alias("props"))
     return e.select("event_id", F.parse_json(F.to_json(row)).alias("v"))
 
 
@@ -356,9 +362,8 @@ def bootstrap_then_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recorded_load(spark: SparkSession, sf_dir: str, datasets: int, runs: int) -> tuple[load.Store, list[DataFrame]]:
     """events as a recorded portal's datasets, the first loaded above its mark and the second in full: the store, and the log of each run."""
-    root, e = scratch(spark, "recorded"), event_rows(spark, sf_dir)
-    wide = F.lpad(F.col("event_id").cast("string"), 12, "0")  # ids in the order of their texts
-    rows = e.select(F.parse_json(F.regexp_replace(F.to_json("v"), '":id":"[0-9]+"', F.concat(F.lit('":id":"'), wide, F.lit('"')))).alias("v"))
+    root, wide = scratch(spark, "recorded"), F.lpad(F.col("event_id").cast("string"), 12, "0")  # ids in the order of their texts
+    rows = event_rows(spark, sf_dir, wide).select("v")
     fetch = replay.player(replay.record(rows, f"{root}/rows"), EVENT_COLUMNS)
     overrides = spark.createDataFrame([("even-0001", 2000, None), ("even-0002", 2000, "full_replace")][:datasets], "id string, batch_size int, mode string")
     entries = overrides.select("id")

@@ -1,13 +1,16 @@
 """A recorded portal: its answers from landed files, so that a load can be run again without the network.
 
-Rows are landed in ranges of their ids, a JSON object a line. A fetch function made over them answers the addresses
-of portal_rows, portal_catalog and a dataset's metadata. Of filters it knows those on ids and on one more field
-above a value; other filters get status 400. A page opens the files that its rows are in.
+Rows are landed in ranges of their ids, `ROWS` at most in a file, a line each: a JSON array of its id and mark, a tab,
+and the row's JSON. A fetch function made over them answers the addresses of portal_rows, portal_catalog and a
+dataset's metadata. Of filters it knows those on ids and on one more field above a value; other filters get status 400.
+Of each file the driver keeps the first id, the greatest mark and the rows, so a page opens only the files that its
+rows are in, however many there are, and parses only rows that a filter on another field must see.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import re
 from collections.abc import Callable, Sequence
@@ -17,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ABOVE = re.compile(r"(:?\w+) (>|<=) '((?:[^']|'')*)'")
+#: Rows of a file at most, and the field whose greatest value is kept of each file.
+ROWS, MARK = 5000, ":updated_at"
 
 
 def opened(path: str):
@@ -29,35 +34,66 @@ def opened(path: str):
     return (lambda found: found[0].open_input_file(found[1]))(fs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1)))
 
 
-def record(rows: DataFrame, folder: str, record_id: str = ":id", files: int = 16) -> list[tuple[str, str, int]]:
-    """Lands VARIANT rows v in the order of their ids; (first id, path, rows) of each file."""
-    text = F.to_json("v").alias("value")
-    key = F.try_variant_get("v", f"$['{record_id}']" if not record_id.startswith("$") else record_id, "string")
-    ranged = rows.select(key.alias("id"), text).repartitionByRange(files, "id").sortWithinPartitions("id")
-    ranged.select("value").write.text(folder)
-    read = rows.sparkSession.read.text(folder).select(F.parse_json("value").alias("v"), F.col("_metadata.file_path").alias("path"))
-    return [tuple(r) for r in read.groupBy("path").agg(F.min(key).alias("first"), F.count("*").alias("n")).select("first", "path", "n").orderBy("first").collect()]  # a row a file
+@functools.lru_cache(maxsize=2)
+def lines(path: str) -> list[str]:
+    """A file's lines; pages that follow each other are mostly in one file, so the last two are held."""
+    with opened(path) as f:
+        return f.read().decode().removesuffix("\n").split("\n")
 
 
-def player(recorded: Sequence[tuple[str, str, int]], columns: Sequence[tuple[str, str]]) -> Callable[[str], tuple[int, str]]:
-    """fetch(url) over recorded rows, which are all datasets' rows, and the catalog's entries."""
-    firsts, paths, counts = [r[0] for r in recorded], [r[1] for r in recorded], [r[2] for r in recorded]
+def id_of(line: str) -> str:
+    return json.loads(line.partition("\t")[0])[0]
+
+
+class Recorded(list):
+    """(first id, path, rows) of each file, and their greatest marks."""
+
+    def __init__(self, files: Sequence[tuple[str, str, int]], tops: Sequence[str | None]) -> None:
+        super().__init__(files)
+        self.tops = list(tops)
 
-    def lines(k: int) -> list[dict]:
-        with opened(paths[k]) as f:
-            return [json.loads(x) for x in f.read().decode().splitlines()]
 
-    def page(begin: int, end: int, offset: int, size: int, kept: Callable[[dict], bool] | None) -> list[dict]:
-        found: list[dict] = []
-        for k in range(begin, end):
-            if kept is None and offset >= counts[k]:
+def record(rows: DataFrame, folder: str, record_id: str = ":id", files: int | None = None) -> Recorded:
+    """Lands VARIANT rows v in the order of their ids, in `files` ranges or as many as shuffles have."""
+    at = lambda name: F.try_variant_get("v", f"$['{name}']" if not name.startswith("$") else name, "string")
+    kept = rows.select(at(record_id).alias("id"), F.concat(F.to_json(F.array(at(record_id), at(MARK))), F.lit("\t"), F.to_json("v")).alias("value"))
+    ranged = kept.repartitionByRange(files, "id") if files else kept.repartitionByRange("id")
+    ranged.sortWithinPartitions("id").select("value").write.option("maxRecordsPerFile", ROWS).text(folder)
+    head = F.from_json(F.substring_index("value", "\t", 1), "array<string>").alias("head")
+    read = rows.sparkSession.read.text(folder).select(head, F.col("_metadata.file_path").alias("path"))
+    each = read.groupBy("path").agg(F.min(F.col("head")[0]).alias("first"), F.count("*").alias("n"), F.max(F.col("head")[1]).alias("top"))
+    found = each.orderBy("first", "path").collect()  # a row a file
+    return Recorded([(r["first"], r["path"], r["n"]) for r in found], [r["top"] for r in found])
+
+
+def player(recorded: Recorded, columns: Sequence[tuple[str, str]]) -> Callable[[str], tuple[int, str]]:
+    """fetch(url) over recorded rows, which are all datasets' rows, and the catalog's entries."""
+    firsts, counts, tops = [r[0] for r in recorded], [r[2] for r in recorded], recorded.tops
+    folder = recorded[0][1].rpartition("/")[0] if recorded else ""
+    names = [r[1].rpartition("/")[2] for r in recorded]  # all in one folder
+
+    def page(low: str | None, high: str | None, offset: int, size: int, above: Sequence[tuple[str, str, str]] = ()) -> str:
+        found: list[str] = []
+        begin = 0 if low is None else max(0, bisect.bisect_left(firsts, low) - 1)
+        for k in range(begin, len(names) if high is None else bisect.bisect_right(firsts, high)):
+            if any(name == MARK and sign == ">" and (tops[k] is None or tops[k] <= v) for name, sign, v in above):
+                continue
+            whole = (low is None or firsts[k] > low) and (high is None or k + 1 < len(firsts) and firsts[k + 1] <= high)
+            if whole and not above and offset >= counts[k]:
                 offset -= counts[k]
                 continue
-            some = [r for r in lines(k) if kept is None or kept(r)]
-            found, offset = found + some[offset : offset + size - len(found)], max(0, offset - len(some))
+            rows = lines(f"{folder}/{names[k]}")
+            first = 0 if low is None else bisect.bisect_right(rows, low, key=id_of)
+            last = len(rows) if high is None else bisect.bisect_right(rows, high, key=id_of)
+            if above:
+                kept = lambda r: all((r[name] > v) if sign == ">" else (r[name] <= v) for name, sign, v in above)
+                rows = [line for line in rows[first:last] if kept(json.loads(line.partition("\t")[2]))]
+                first, last = 0, len(rows)
+            found += [line.partition("\t")[2] for line in rows[min(first + offset, last) : min(first + offset + size - len(found), last)]]
+            offset = max(0, offset - (last - first))
             if len(found) == size:
                 break
-        return found
+        return f"[{','.join(found)}]"
 
     def fetch(url: str) -> tuple[int, str]:
         parts = urlparse(url)
@@ -65,15 +101,13 @@ def player(recorded: Sequence[tuple[str, str, int]], columns: Sequence[tuple[str
         if parts.path.startswith("/api/views/"):
             return 200, json.dumps({"columns": [{"fieldName": name, "dataTypeName": kind} for name, kind in columns]})
         if parts.path.startswith("/api/catalog/"):
-            return 200, json.dumps({"resultSetSize": sum(counts), "results": page(0, len(paths), int(asked["offset"]), int(asked["limit"]), None)})
+            return 200, f'{{"resultSetSize": {sum(counts)}, "results": {page(None, None, int(asked["offset"]), int(asked["limit"]))}}}'
         where, size, offset = asked.get("$where", ""), int(asked["$limit"]), int(asked["$offset"])
         if asked["$order"] != ":id" or ABOVE.sub("", where).replace("AND", "").strip("() "):
             return 400, "not recorded"
         limits = [(name, sign, value.replace("''", "'")) for name, sign, value in ABOVE.findall(where)]
-        low = max((v for name, sign, v in limits if name == ":id" and sign == ">"), default="")
+        low = max((v for name, sign, v in limits if name == ":id" and sign == ">"), default=None)
         high = min((v for name, sign, v in limits if name == ":id" and sign == "<="), default=None)
-        end = len(paths) if high is None else bisect.bisect_right(firsts, high)
-        kept = lambda r: all((r[name] > v) if sign == ">" else (r[name] <= v) for name, sign, v in limits)
-        return 200, json.dumps(page(max(0, bisect.bisect_right(firsts, low) - 1), end, offset, size, kept if limits else None))
+        return 200, page(low, high, offset, size, [c for c in limits if c[0] != ":id"])
 
     return fetch

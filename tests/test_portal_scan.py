@@ -139,3 +139,25 @@ def test_a_recorded_portal(spark, tmp_path):
     assert ids("(:updated_at > '2024-01-08T00:00:00.000') AND (:id > 'r050')", size=3) == ["r053", "r062", "r071"]
     assert ids("score > 1") == 400 and ids(order=":updated_at,:id") == 400 and ids("(:id > 'a' OR n = 1)") == 400
     assert json.loads(fetch(portals.metadata_url("p", "d"))[1]) == {"columns": [{"fieldName": "n", "dataTypeName": "number"}]}
+
+
+def test_a_recorded_portal_opens_only_the_files_of_a_page(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(replay, "ROWS", 10)
+    rows = [{":id": f"r{k:03d}", ":updated_at": f"2024-01-01T00:{k // 60:02d}:{k % 60:02d}.000", "n": "a\u2028b\tc\n"} for k in range(200)]
+    v = portals.parsed(spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").repartition(4))
+    recorded, seen = replay.record(v, str(tmp_path / "rows"), files=3), []
+    fetch = replay.player(recorded, [("n", "text")])
+    assert len(recorded) >= 20 and max(n for _, _, n in recorded) <= 10 and [r[0] for r in recorded] == sorted(r[0] for r in recorded)
+    real = replay.opened
+    monkeypatch.setattr(replay, "opened", lambda path: seen.append(path) or real(path))
+
+    def asked(where="", offset=0, size=10):
+        replay.lines.cache_clear()
+        seen.clear()
+        return json.loads(fetch(portals.rows_url({"portal": "p", "dataset": "d", "where": where, "systemFields": "true"}, offset, size))[1])
+
+    assert asked("(:id > 'r049') AND (:id <= 'r150')") == rows[50:60] and len(seen) <= 3
+    assert asked("(:id > 'r004')", offset=140, size=1) == rows[145:146] and len(seen) <= 2  # whole files are passed over by their rows
+    assert asked(offset=195) == rows[195:] and len(seen) <= 2
+    assert asked("(:updated_at > '2024-01-01T00:03:19.000')") == [] and not seen  # nothing newer: no file
+    assert asked("(:updated_at > '2024-01-01T00:03:14.000')") == rows[195:] and len(seen) <= 2
