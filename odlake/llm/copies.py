@@ -3,7 +3,8 @@
 A text's least values under `ROWS` x `BANDS` hash functions are cut into bands; texts that share a
 band meet, and there the sets of shingles themselves are compared, so that no pair is linked below
 `least`. A pair at a similarity of 0.8 misses all bands once in 2,900 times, one at 0.9 never in
-practice. Groups of the same texts meet once. What is linked becomes a spanning forest, never all
+practice. Texts may meet by other keys `also`, those of another method, whose pairs are checked in the same way.
+Groups of the same texts meet once. What is linked becomes a spanning forest, never all
 pairs; components of the forests' edges give the result.
 
 Only distinct texts are compared. A group of more than `CROWD` texts or `BYTES` of them is split into
@@ -16,6 +17,7 @@ rows, and rows of one doc_id with different texts, are told apart by the text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -115,10 +117,12 @@ def of_few(keys: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("shuffle_hash")
 
 
-def links(texts: DataFrame, groups: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Edges (a, b) over nodes. texts: __node, __text (bytes), as often as rows; groups: __node, bands, bits, bytes of each node."""
+def links(texts: DataFrame, groups: DataFrame, size: int = SHINGLE, least: float = LEAST, also: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) over nodes. texts: __node, __text (bytes), as often as rows; groups: __node, bands, bits, bytes of each node; also: node, key, more keys at which nodes meet."""
     spark = groups.sparkSession
     rows = groups.select(F.col("__node").alias("node"), "bits", "bytes", F.explode("bands").alias("key"))
+    if also is not None:
+        rows = rows.unionByName(groups.select(F.col("__node").alias("node"), "bits", "bytes").join(also, "node"))
     who = (F.count("*").alias("count"), F.sum("bytes").alias("total"), F.min("node").alias("first"), F.max("node").alias("last"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
     meet = rows.groupBy("key").agg(*who).where("count > 1")
     once = meet.groupBy("count", "total", "first", "last", "sum").agg(F.min("key").alias("key"))  # groups of the same texts
@@ -136,8 +140,8 @@ def links(texts: DataFrame, groups: DataFrame, size: int = SHINGLE, least: float
     return dealt.groupBy("bucket").applyInArrow(lambda rows: linked(rows, size, least), "a long, b long")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """docs with one row of each component of near copies: of the smallest doc_id, and of its texts the one of the smallest hash."""
+def one_of_each(docs: DataFrame, text: str = "text", size: int = SHINGLE, least: float = LEAST, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """docs with one row of each component of near copies: of the smallest doc_id, and of its texts the one of the smallest hash. also: from (node, text), in as many rows as docs, the (node, key) of `links`."""
     ship(docs.sparkSession)
 
     def make():
@@ -151,7 +155,8 @@ def one_of_each(docs: DataFrame, text: str = "text", size: int = SHINGLE, least:
     keyed = docs.withColumn("__node", F.xxhash64(content)).withColumn("__bytes", F.octet_length(content).cast("long"))
     marked = cut(map_texts(keyed, text, ("doc_id", "__node", "__bytes"), "bands array<long>, bits long", make, as_bytes=True))
     groups = cut(marked.groupBy("__node").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("__bytes").alias("bytes")))
-    labels = components(links(keyed.select("__node", content.alias("__text")), groups, size, least))
+    more = also and cut(also(keyed.select(F.col("__node").alias("node"), F.col(text).alias("text"))))
+    labels = components(links(keyed.select("__node", content.alias("__text")), groups, size, least, more))
     of_all = groups.join(labels, groups["__node"] == labels.node, "left").select("__node", "id", F.coalesce("label", "__node").alias("label"))
     best = of_all.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("__node").alias("node"))).alias("best"))
     kept = of_all.join(best, "label").where("__node = best.node").select(F.col("__node").alias("__kept"), F.col("id").alias("__id"))

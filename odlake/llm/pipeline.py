@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from odlake.sources.folder import Folder
 
-from . import bpe, copies, secrets, templates, toxicity
+from . import bpe, copies, secrets, simhash, templates, toxicity
 from .common import shared_folder, table, without
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -28,8 +28,15 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model, keep=tuple(docs.columns), score="__score", predicted="__toxic").where("__toxic = 0").select(*docs.columns)
 
 
+def by_fingerprint(texts: DataFrame) -> DataFrame:
+    """node, key: the SimHash component, found at the anchors of the covering code, that a text is in."""
+    found = simhash.near_duplicates(texts.select(F.col("node").alias("doc_id"), "text"))
+    return found.groupBy(F.col("doc_id").alias("node")).agg(F.xxhash64(F.first("component_id"), F.lit("simhash")).alias("key"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return copies.one_of_each(docs)
+    """Texts of one SimHash component meet and are checked exactly; so are those of a min-hash band, as most texts at a similarity of 0.8 differ in more bits than SimHash links."""
+    return copies.one_of_each(docs, also=by_fingerprint)
 
 
 def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

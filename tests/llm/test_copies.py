@@ -57,3 +57,23 @@ def test_crowds_and_hard_rows(spark, monkeypatch, crowd):
         rows.append((100 + k, " ".join(w)))
     got = copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == expected(rows)
+
+
+def test_the_stage_goes_through_simhash(spark, monkeypatch):
+    from odlake.llm import pipeline, simhash
+
+    asked, real = [], simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda docs: asked.append(docs.columns) or real(docs))
+    base = [f"w{k}" for k in range(400)]
+    near = " ".join(["other", *base[1:]])
+    rows = [(1, " ".join(base)), (2, near), (3, "quite another text of a few words only"), (4, None)]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert asked and sorted(r["doc_id"] for r in got) == [1, 3, 4]
+    # without a band that they share, its components alone bring near copies together, and the check keeps others apart
+    texts = spark.createDataFrame([(k, (t or "").encode()) for k, t in rows], "__node long, __text binary")
+    sketches = [(k, [], copies.sketch(copies.shingles((t or "").encode()))[1], len(t or "")) for k, t in rows]
+    groups = spark.createDataFrame(sketches, "__node long, bands array<long>, bits long, bytes long")
+    also = pipeline.by_fingerprint(spark.createDataFrame(rows, "node long, text string"))
+    assert {frozenset((r["a"], r["b"])) for r in copies.links(texts, groups, also=also).collect()} == {frozenset((1, 2))}
+    together = spark.createDataFrame([(k, 7) for k, _ in rows], "node long, key long")
+    assert {frozenset((r["a"], r["b"])) for r in copies.links(texts, groups, also=together).collect()} == {frozenset((1, 2))}
