@@ -275,11 +275,15 @@ class Store:
 
     def replace_catalog(self, entries: DataFrame, version: str) -> int:
         """The whole catalog, stamped and kept in ranges of id; no entries keep the old one. The number of entries."""
+        landed = f"catalog/delta={version}"  # ranges are found in a pass of their own, which must not ask the portal again
+        entries.write.mode("overwrite").parquet(f"{self.root}/{landed}")
+        entries = self.spark.read.schema(entries.schema).parquet(f"{self.root}/{landed}")
         ranged = entries.withColumn("fetched_at", F.lit(_now())).repartitionByRange("id").sortWithinPartitions("id")
         if made := self._write("catalog", ranged, version).rows:
             self._go_live("catalog", version, ranged.schema, [version], order="id")
         else:
             self.folder.remove(f"catalog/v={version}")
+        self.folder.remove(landed)
         return made
 
     def add(self, table: str, df: DataFrame, version: str, replace: bool = True) -> DataFrame:

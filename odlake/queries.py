@@ -547,7 +547,7 @@ def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part as a portal's catalog results."""
     resource = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.lit("").alias("description"), F.lit("2024-01-15T10:00:00.000Z").alias("rowsUpdatedAt"))
     classified = F.struct(F.col("p_brand").alias("domain_category"), F.split("p_type", " ").alias("domain_tags"))
-    return table(spark, sf_dir, "part").select(F.parse_json(F.to_json(F.struct(resource.alias("resource"), classified.alias("classification")))).alias("v"))
+    return spread(table(spark, sf_dir, "part")).select(F.parse_json(F.to_json(F.struct(resource.alias("resource"), classified.alias("classification")))).alias("v"))
 
 
 @registered(PARTS_SQL)

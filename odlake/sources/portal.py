@@ -211,6 +211,7 @@ class CatalogReader(DataSourceReader):
     def __init__(self, options: dict, fetch: Fetch) -> None:
         self.options, self.fetch = options, fetch
         self.size, self.wait = int(options.get("pageSize", 1000)), float(options.get("wait", WAIT))
+        self.each = int(options.get("pagesPerTask", PAGES))
 
     def page(self, offset: int) -> dict:
         portal = self.options["portal"]
@@ -218,8 +219,8 @@ class CatalogReader(DataSourceReader):
         return json.loads(fetched(self.fetch, f"https://{portal}/api/catalog/v1?{query}", wait=self.wait))
 
     def partitions(self) -> list[Pages]:
-        total = int(self.page(0).get("resultSetSize", 0))
-        return [Pages(k, k + 1) for k in range(-(-total // self.size))] or [Pages(0, 0)]
+        pages = -(-int(self.page(0).get("resultSetSize", 0)) // self.size)
+        return [Pages(k, min(pages, k + self.each)) for k in range(0, pages, self.each)] or [Pages(0, 0)]
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         for page in range(partition.first, partition.last or 0):

@@ -269,3 +269,19 @@ def test_large_files_are_hashed_by_ranges(spark, tmp_path):
         (tmp_path / "e/x.parquet").write_bytes(bytes(j == k for j in range(50)))
         seen.add(ranged()["x.parquet"])
     assert len(seen) == 17
+
+
+def test_a_catalog_is_asked_for_once(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def entry(k):
+        asked.add(1)
+        return (f"id{k:03d}", f"name {k}")
+
+    entries = spark.createDataFrame(spark.sparkContext.parallelize(range(100), 4).map(entry), "id string, name string")
+    store = load.Store(spark, str(tmp_path / "store"))
+    assert store.replace_catalog(entries, load.new_run_id()) == 100 and asked.value == 100
+    assert [r["id"] for r in store.read_in_order().collect()] == [f"id{k:03d}" for k in range(100)]
+    assert not [n for n in store.folder.names("catalog") if n.startswith("delta=")]
+    reader = portal.CatalogReader({"portal": "p", "pageSize": "10"}, lambda url: (200, '{"resultSetSize": 1001, "results": []}'))
+    assert [(p.first, p.last) for p in reader.partitions()] == [(k, min(k + 10, 101)) for k in range(0, 101, 10)]
