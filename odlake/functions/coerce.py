@@ -24,10 +24,12 @@ WALL, INSTANT, DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.
 class Coerced:
     value: Column
     bad: Column
+    #: The value where it is not bad, without its tests: what is left to evaluate once they have passed.
+    passed: Column | None = None
 
     def strict(self, *where: Column | str) -> Column:
         message = F.concat_ws(" ", F.lit("cannot coerce:"), *(F.lit(w) if isinstance(w, str) else w for w in where))
-        return F.when(self.bad, F.raise_error(message)).otherwise(self.value)
+        return F.when(self.bad, F.raise_error(message)).otherwise(self.value if self.passed is None else self.passed)
 
 
 def field(row: Column, name: str) -> Column:
@@ -76,7 +78,7 @@ def _given(text: Column, kind: Column) -> Column:
 
 def _made(value: Column, text: Column, kind: Column, ok: Column) -> Coerced:
     given = _given(text, kind)
-    return Coerced(F.when(given & ok, value), F.coalesce(given & ~F.coalesce(ok, F.lit(False)), F.lit(False)))
+    return Coerced(F.when(given & ok, value), F.coalesce(given & ~F.coalesce(ok, F.lit(False)), F.lit(False)), F.when(given, value))
 
 
 def to_double(v: Column | Field) -> Coerced:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -61,12 +62,26 @@ def typed(rows: DataFrame, columns: Iterable[tuple[str, str]], row: str = "v", k
     return rows.select(*keep, *(c.strict(*where, f"column={name}").alias(name) for name, c in made.items()))
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, counted as they pass: conditions on their columns stay behind this place. Spark would move them before it, and there make each column anew at each mention."""
+    return rows.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
+def marked(rows: DataFrame, columns: Iterable[tuple[str, str]], row: str = "v", keyed: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """Permissive, in one pass: every row's typed values, null where they are bad, and bad_columns, the names of those."""
+    rows, made = build(rows, columns, row, keyed)
+    return rows.select(*keep, *(c.value.alias(name) for name, c in made.items()), _bad_columns(made))
+
+
+def _bad_columns(made: dict[str, coerce.Coerced]) -> Column:
+    return F.array_compact(F.array(*(F.when(c.bad, name) for name, c in made.items()))).alias("bad_columns")
+
+
 def split(rows: DataFrame, columns: Iterable[tuple[str, str]], row: str = "v", keyed: bool = False, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Permissive: typed good rows, and the rows with a bad value with the names of their bad columns."""
     given = rows.columns
     rows, made = build(rows, columns, row, keyed)
-    bad = F.array_compact(F.array(*(F.when(c.bad, name) for name, c in made.items())))
-    marked = rows.withColumn("bad_columns", bad)
+    marked = settled(rows.withColumn("bad_columns", _bad_columns(made)))
     good = marked.where(F.size("bad_columns") == 0).select(*keep, *(c.value.alias(name) for name, c in made.items()))
     return good, marked.where(F.size("bad_columns") > 0).select(*given, "bad_columns")
 

@@ -115,10 +115,9 @@ SELECT w, count(*) FILTER (good) AS n_good, count(*) FILTER (NOT good) AS n_bad,
   SELECT w, w = '' OR (regexp_full_match(w, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AND w <> '1e400') AS good FROM ({WORDS_SQL})) GROUP BY w""")
 def strict_number_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.concat(F.split("p_name", " "), F.array(F.col("p_size").cast("string"), *map(F.lit, ("1e400", "0x10", " 7", ".5e1", ""))))
-    rows = table(spark, sf_dir, "part").select(F.explode(words).alias("w")).select("w", F.parse_json(F.to_json(F.struct("w"))).alias("v"))
-    good, bad = schema.split(rows, [("w", "number")], keep=(F.col("w").alias("word"),))
-    both = good.select("word", F.col("w").alias("value"), F.lit(1).alias("ok")).union(bad.select("w", F.lit(None).cast("double"), F.lit(0)))
-    return both.groupBy(F.col("word").alias("w")).agg(F.count_if(F.col("ok") == 1).alias("n_good"), F.count_if(F.col("ok") == 0).alias("n_bad"), F.max("value").alias("value"))
+    rows = spread(table(spark, sf_dir, "part")).select(F.explode(words).alias("w")).select("w", F.parse_json(F.to_json(F.struct("w"))).alias("v"))
+    made, good = schema.marked(rows, [("w", "number")], keep=(F.col("w").alias("word"),)), F.size("bad_columns") == 0
+    return made.groupBy(F.col("word").alias("w")).agg(F.count_if(good).alias("n_good"), F.count_if(~good).alias("n_bad"), F.max(F.when(good, F.col("w"))).alias("value"))
 
 
 BOOLS = ("t", "FALSE", "1", "False", "true", "y")

@@ -271,6 +271,18 @@ def test_large_files_are_hashed_by_ranges(spark, tmp_path):
     assert len(seen) == 17
 
 
+def parses(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
+
+
+def test_rows_are_parsed_once_where_they_are_split(spark):
+    v = spark.createDataFrame([('{"n": 1}',), ('{"n": "x"}',), ('{"n": "2"}',)], "value string").select(F.parse_json("value").alias("v"))
+    good, bad = schema.split(v, [("n", "number")])
+    assert parses(good) == parses(bad) == 1
+    assert sorted(r["n"] for r in good.collect()) == [1.0, 2.0] and [r["bad_columns"] for r in bad.collect()] == [["n"]]
+    assert sorted((r["n"] or 0, r["bad_columns"]) for r in schema.marked(v, [("n", "number")]).collect()) == [(0, ["n"]), (1.0, []), (2.0, [])]
+
+
 def test_a_catalog_is_asked_for_once(spark, tmp_path):
     asked = spark.sparkContext.accumulator(0)
 
