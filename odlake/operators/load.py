@@ -344,13 +344,13 @@ class Store:
             self.mark(t.dataset_id, made.mark, _now(), run_id, t.hwm_column)
             return made.rows
         hwm, mark, after = state["hwm_column"], state["hwm_updated_at"], state["hwm_id"]
-        typed = lambda rows: self._typed(t, rows, columns, hwm, keep=("page", "pos"))
+        typed = lambda rows, newer=None: self._typed(t, rows, columns, hwm, keep=("page", "pos"), newer=newer)
         wanted, live = typed(t.rows(mark).limit(0)).drop(HWM, "page", "pos"), self.spark.createDataFrame([], StructType.fromJson(old["schema"])).drop(HWM)
         if {(f.name, f.dataType) for f in wanted.schema} != {(f.name, f.dataType) for f in live.schema}:
             if drift := schema.drift_message(schema.diff(schema.live_columns(wanted), schema.live_columns(live))).first():
                 raise SchemaDrift(f"{t.table}: {drift[0]}")
         if not (t.checkpoint_every_n_pages and t.group):
-            made = self.merge(t.table, typed(t.rows(mark)).where(above(mark, HWM, None, t.inclusive)), version)
+            made = self.merge(t.table, typed(t.rows(mark), above(mark, HWM, None, t.inclusive)), version)
             self.mark(t.dataset_id, max(filter(None, (mark, made.mark)), default=None), state["last_full_replace_at"], run_id, hwm)
             return made.rows
         n, k, top = 0, 0, mark
@@ -367,12 +367,14 @@ class Store:
     def _filtered(self, rows: DataFrame, t: Target) -> DataFrame:
         return rows.where(F.expr(t.where)) if t.where else rows
 
-    def _typed(self, t: Target, rows: DataFrame, columns: Sequence[tuple[str, str]], hwm: str, keep: Sequence[str] = ()) -> DataFrame:
-        """The typed columns, and the mark's own column, parsed leniently."""
+    def _typed(self, t: Target, rows: DataFrame, columns: Sequence[tuple[str, str]], hwm: str, keep: Sequence[str] = (), newer: Column | None = None) -> DataFrame:
+        """The typed columns, and the mark's own column, parsed leniently; of rows that are `newer` only, if that is given."""
         text = F.try_variant_get("v", f"$['{hwm}']", "string")
         marked = self._filtered(rows, t).withColumn(HWM, lenient_timestamp(text))
         if t.limit:  # in the mark's order, so that no row left behind is below the mark
             marked = marked.orderBy(HWM, F.try_variant_get("v", f"$['{schema.SYSTEM_ID}']", "string")).limit(t.limit)
+        if newer is not None:
+            marked = schema.settled(marked).where(newer)
         return schema.typed(marked, columns, keyed=True, keep=(*keep, HWM))
 
     def mark(self, dataset_id: str, mark, replaced, run_id: str, hwm: str, after: str | None = None) -> None:

@@ -337,9 +337,9 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landed_target(spark: SparkSession, sf_dir: str, upto: int | None) -> load.Target:
     def rows(mark) -> DataFrame:
-        landed = event_rows(spark, sf_dir).select(F.lit(0).alias("page"), F.col("event_id").alias("pos"), "v")
-        landed = landed if upto is None else landed.where(F.col("pos") < upto)
-        return landed if mark is None else landed.where(F.try_variant_get("v", "$[':updated_at']", "string") > F.date_format(F.lit(mark), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        """As a portal does, the source itself leaves out what is not above the mark, before it makes JSON."""
+        asked = (F.lit(True) if upto is None else F.col("event_id") < upto) & (F.lit(True) if mark is None else F.col("ts") > F.lit(mark))
+        return event_rows(spark, sf_dir, kept=asked).select(F.lit(0).alias("page"), F.col("event_id").alias("pos"), "v")
 
     return load.Target("events-1", "events_1", EVENT_COLUMNS, rows)
 

@@ -283,6 +283,14 @@ def test_rows_are_parsed_once_where_they_are_split(spark):
     assert sorted((r["n"] or 0, r["bad_columns"]) for r in schema.marked(v, [("n", "number")]).collect()) == [(0, ["n"]), (1.0, []), (2.0, [])]
 
 
+def test_rows_above_the_mark_are_parsed_once(spark, tmp_path):
+    rows = [json.dumps({":id": str(k), ":updated_at": f"2024-01-{k:02d}T00:00:00.000", "n": k}) for k in range(1, 5)]
+    v = spark.createDataFrame([(r,) for r in rows], "value string").select(F.parse_json("value").alias("v"))
+    target = load.Target("d", "t", [("n", "number")], lambda mark: v)
+    typed = load.Store(spark, str(tmp_path / "store"))._typed(target, v, target.columns, target.hwm_column, newer=load.above(dt.datetime(2024, 1, 2), load.HWM))
+    assert parses(typed) == 1 and sorted(r["n"] for r in typed.collect()) == [3.0, 4.0]
+
+
 def test_a_catalog_is_asked_for_once(spark, tmp_path):
     asked = spark.sparkContext.accumulator(0)
 
