@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -37,6 +39,54 @@ def parts_of(batch: pa.RecordBatch, text: int, most: int = PART) -> Iterator[pa.
         at = to
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system, which a worker would keep while it waits and through its next tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a task's batches, with memory that is given back as it is freed, and all of it at the task's end."""
+
+    @functools.wraps(run)
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # which gives freed batches back
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return lean
+
+
+def frugal_groups(made: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """As frugal, for the function of a group."""
+
+    def lean(rows: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return made(rows)
+        finally:
+            give_back()
+
+    return lean
+
+
+def frugal_pairs(made: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """As frugal, for the function of two cogrouped groups."""
+
+    def lean(a: pa.Table, b: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return made(a, b)
+        finally:
+            give_back()
+
+    return lean
+
+
 def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, make: Callable[[], Callable[[list], list]], as_bytes: bool = False) -> DataFrame:
     """`keep`'s columns and those of `schema`, which make() gives from a batch's whole texts.
 
@@ -56,7 +106,6 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, make:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        pa.set_memory_pool(pa.system_memory_pool())  # which gives freed batches back
         types = [to_arrow_type(f.dataType) for f in out]
         work, empty = make(), b"" if as_bytes else ""
         try:
@@ -71,7 +120,7 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], schema: str, make:
     whole = kept
     for f in out:
         whole = whole.add(f)
-    return inner.mapInArrow(run, whole)
+    return inner.mapInArrow(frugal(run), whole)
 
 
 def shared_folder(spark: SparkSession) -> str:

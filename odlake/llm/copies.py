@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from odlake.session import ship
 
-from .common import cut, map_texts
+from .common import cut, frugal_groups, map_texts
 from .components import components
 
 SHINGLE, LEAST = 5, 0.8
@@ -137,7 +137,7 @@ def links(texts: DataFrame, groups: DataFrame, size: int = SHINGLE, least: float
     one = texts.join(of_few(needed), F.col("__node") == F.col("__need"), "left_semi").groupBy("__node").agg(F.first("__text").alias("text"))
     n = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // EACH + 1)
     dealt = met.join(one, F.col("node") == F.col("__node")).select("key", "block", "part", "node", "bits", "text", F.pmod(F.xxhash64("key", "block"), F.lit(n)).alias("bucket"))
-    return dealt.groupBy("bucket").applyInArrow(lambda rows: linked(rows, size, least), "a long, b long")
+    return dealt.groupBy("bucket").applyInArrow(frugal_groups(lambda rows: linked(rows, size, least)), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", size: int = SHINGLE, least: float = LEAST, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 
 from odlake.session import ship
 
-from .common import buckets, cut, parts_of, utf8
+from .common import buckets, cut, frugal, frugal_groups, frugal_pairs, parts_of, utf8
 
 #: Bytes of text whose equal segments are combined before they are shuffled.
 TOGETHER = 8_000_000
-#: Units whose windows are hashed at a time.
-AT_ONCE = 1 << 19
+#: Units whose windows are hashed at a time: some thirty arrays of as many 64-bit numbers are held.
+AT_ONCE = 1 << 17
 #: Windows in a segment at most; only bounds its size.
 RUN = 256
 #: Estimated segments under an anchor from which its windows are routed by longer strings; documents in this part of the sample.
@@ -286,7 +286,7 @@ def frequent_anchors(docs: DataFrame, kind: Kind) -> list[np.ndarray]:
                 cell, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], ["cell", "n"])
 
-        counts = cut(sample.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+        counts = cut(sample.mapInArrow(frugal(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
         mean = (counts.agg(F.sum("n")).first()[0] or 0) >> CELLS
         bits = np.zeros(1 << CELLS, bool)
         for (cell,) in counts.where(F.col("n") >= max(2, FREQUENT // SAMPLED, 8 * mean)).select("cell").toLocalIterator():  # of at most 2**CELLS rows
@@ -340,8 +340,8 @@ def without_repeats(docs: DataFrame, kind: Kind, text: str = "text") -> DataFram
         need = [columns[k][left] for k in (0, 2, 3, 4, 5)]
         return as_rows(packed(SPAN, dealt_to(spans[0], spans[1], by_doc), spans) + packed(NEED, dealt_to(need[1], need[2], by_doc), need, need[4] + kind.window - 1))
 
-    found = docs.select("key", "sub", "text").mapInArrow(find, PACKED)
-    settled = cut(found.groupBy("bucket").applyInArrow(settle, PACKED))
+    found = docs.select("key", "sub", "text").mapInArrow(frugal(find), PACKED)
+    settled = cut(found.groupBy("bucket").applyInArrow(frugal_groups(settle), PACKED))
     needed = settled.where(F.col("kind") == NEED).agg(F.sum("units")).first()[0] or 0
     by_piece = buckets(spark, needed, 1_000_000 if kind.dtype == "<u1" else 150_000)
 
@@ -402,10 +402,10 @@ def without_repeats(docs: DataFrame, kind: Kind, text: str = "text") -> DataFram
     deal = F.col("key").bitwiseXOR(F.col("sub")).bitwiseXOR(F.shiftright("sub", 17))  # as dealt_to
     dealt = docs.select(F.pmod(deal, F.lit(by_doc)).cast("int").alias("bucket"), "doc_id", "key", "sub", "n", "text")
     needs, spans = settled.where(F.col("kind") == NEED), settled.where(F.col("kind") == SPAN)
-    pieces = dealt.groupBy("bucket").cogroup(needs.groupBy("bucket")).applyInArrow(fetch, PACKED)
-    spans = spans.union(pieces.groupBy("bucket").applyInArrow(compare, PACKED))
+    pieces = dealt.groupBy("bucket").cogroup(needs.groupBy("bucket")).applyInArrow(frugal_pairs(fetch), PACKED)
+    spans = spans.union(pieces.groupBy("bucket").applyInArrow(frugal_groups(compare), PACKED))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    made = dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(remove, f"doc_id {id_type}, n_units long, n_removed long, n_spans long, kept binary, spans array<array<long>>, n long")
+    made = dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(frugal_pairs(remove), f"doc_id {id_type}, n_units long, n_removed long, n_spans long, kept binary, spans array<array<long>>, n long")
     if not repeated:
         return made.drop("n")
     columns = [c for c in made.columns if c != "n"]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, cut, map_texts
+from .common import buckets, cut, frugal_groups, map_texts
 from .components import components
 
 SEED, SHINGLE, LINKED = 42, 3, 3
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", crowd: int = CROWD, hot
         meet = meet.union(split.select("anchor", "fp", F.lit(False).alias("home"), F.explode(F.transform(others, lambda i: i * F.col("parts") + mine)).alias("block")))
         whole = whole.join(crowds.select("anchor"), "anchor", "left_anti").select("anchor", "fp", "home", "block").union(meet)
     dealt = whole.withColumn("bucket", F.pmod(F.xxhash64("anchor", "block"), F.lit(n)))
-    edges = dealt.groupBy("bucket").applyInArrow(compared, "a long, b long")
+    edges = dealt.groupBy("bucket").applyInArrow(frugal_groups(compared), "a long, b long")
     labels = components(edges)
     least = labels.join(groups, labels.node == groups.fp).groupBy("label").agg(F.min("least").alias("component_id"))
     of_linked = labels.join(least, "label").select(F.col("node").alias("fp"), "component_id")

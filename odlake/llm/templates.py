@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from odlake.session import ship
 
-from .common import cut, parts_of
+from .common import cut, frugal, parts_of
 
 WINDOW, LEAST, ENOUGH, FEW = 8, 4, 6, 3
 #: The layer of words with their values, beside the two of templates (names as words, names as placeholders).
@@ -149,7 +149,7 @@ def of_items(items: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], ["item_id", "size", "windows", "need", "names", "at", "hash", "slots"])
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, size int, windows long, need long, names int, at long, hash long, slots array<string>")
+    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(frugal(run), "item_id long, size int, windows long, need long, names int, at long, hash long, slots array<string>")
 
 
 def of_documents(docs: DataFrame, table, layers: list[tuple[int, int]], text: str) -> DataFrame:
@@ -181,7 +181,7 @@ def of_documents(docs: DataFrame, table, layers: list[tuple[int, int]], text: st
                 start = stop
 
     inner = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return inner.mapInArrow(run, "doc_id long, row long, at long, hash long, slots array<string>")
+    return inner.mapInArrow(frugal(run), "doc_id long, row long, at long, hash long, slots array<string>")
 
 
 def bit_table(windows: DataFrame) -> bytes:
@@ -223,6 +223,6 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     where = ["doc_id", "row", "item_id", "names", "diagonal"]
     hits = hits.selectExpr("doc_id", "row", "item_id", "names", "d.at - i.at as diagonal", "i.at as at", "windows", "need", "zip_with(i.slots, d.slots, (x, y) -> struct(x as item, y as doc)) as slots")
     runs = hits.groupBy(*where).agg(F.countDistinct("at").alias("n"), F.max("windows").alias("windows"), F.max("need").alias("need"), F.collect_set(F.struct("at", "slots")).alias("hits")).where("n >= need")
-    found = runs.drop("n", "row").mapInArrow(consistent, "doc_id long, item_id long, names int, diagonal long, windows long, need long, n_windows long, changed boolean").where("n_windows >= need")
+    found = runs.drop("n", "row").mapInArrow(frugal(consistent), "doc_id long, item_id long, names int, diagonal long, windows long, need long, n_windows long, changed boolean").where("n_windows >= need")
     best = F.max_by(F.struct("n_windows", (F.col("n_windows") / F.col("windows")).alias("coverage"), "changed"), F.struct("n_windows", -F.col("names"), -F.col("diagonal")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
