@@ -17,6 +17,7 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlencode
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
@@ -196,6 +197,15 @@ class RowsReader(DataSourceReader):
             page += 1
 
 
+class PagesReader(RowsReader):
+    """A reader of raw rows that hands each page over as one Arrow batch: as single rows they would cost more on their way to Spark than to ask for and to write as JSON."""
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        for page, rows in self.of_ids(partition) if isinstance(partition, Ids) else self.of_pages(partition):
+            columns = [pa.array(map(json.dumps, rows), pa.string()), pa.array([page] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["value", "page", "pos"])
+
+
 class FilteringReader(RowsReader):
     """A reader of a schema of its own that takes simple comparisons from Spark, which then does not evaluate them again."""
 
@@ -295,8 +305,9 @@ def sources(fetch: Fetch) -> list[type[DataSource]]:
 
         def reader(self, schema) -> DataSourceReader:
             made = RowsReader(options := _plain(self.options), fetch, schema)
-            pushing = made.schema is not None and options.get("pushFilters", "").lower() == "true"
-            return FilteringReader(options, fetch, schema) if pushing else made
+            if made.schema is None:
+                return PagesReader(options, fetch, schema)
+            return FilteringReader(options, fetch, schema) if options.get("pushFilters", "").lower() == "true" else made
 
         def streamReader(self, schema) -> DataSourceStreamReader:
             return NewerRows(_plain(self.options), fetch)

@@ -56,9 +56,10 @@ class Recorded(list):
 def record(rows: DataFrame, folder: str, record_id: str = ":id", files: int | None = None) -> Recorded:
     """Lands VARIANT rows v in the order of their ids, in `files` ranges or as many as shuffles have."""
     at = lambda name: F.try_variant_get("v", f"$['{name}']" if not name.startswith("$") else name, "string")
-    kept = rows.select(at(record_id).alias("id"), F.concat(F.to_json(F.array(at(record_id), at(MARK))), F.lit("\t"), F.to_json("v")).alias("value"))
-    ranged = kept.repartitionByRange(files, "id") if files else kept.repartitionByRange("id")
-    ranged.sortWithinPartitions("id").select("value").write.option("maxRecordsPerFile", ROWS).text(folder)
+    kept = rows.select(at(record_id).alias("id"), "v")
+    ranged = kept.repartitionByRange(files, "id") if files else kept.repartitionByRange("id")  # which goes over the rows twice: texts are made behind it
+    line = F.concat(F.to_json(F.array("id", at(MARK))), F.lit("\t"), F.to_json("v")).alias("value")
+    ranged.sortWithinPartitions("id").select(line).write.option("maxRecordsPerFile", ROWS).text(folder)
     head = F.from_json(F.substring_index("value", "\t", 1), "array<string>").alias("head")
     read = rows.sparkSession.read.text(folder).select(head, F.col("_metadata.file_path").alias("path"))
     each = read.groupBy("path").agg(F.min(F.col("head")[0]).alias("first"), F.count("*").alias("n"), F.max(F.col("head")[1]).alias("top"))
