@@ -217,9 +217,11 @@ class Store:
     def merge(self, table: str, rows: DataFrame, version: str) -> Written:
         """The rows (with __hwm, page and pos) merged by record_id: of rows of one key, the greatest mark wins, of equal marks the later one.
 
-        The rows are landed by bucket first, in one pass; then only their buckets are read, merged and written.
+        The rows are landed by bucket first, in one pass; then only their buckets are read, merged and written. Where
+        there is nothing to merge with, what has landed is the version.
         """
-        live, path = self.manifest(table), f"{table}/delta={version}"
+        live = self.manifest(table)
+        path = f"{table}/{'delta' if live else 'v'}={version}"
         buckets, fetched = live["buckets"] if live else self.buckets, Observation()
         rows = rows.observe(fetched, F.max_by(F.struct(HWM, RECORD_ID), F.struct("page", "pos")).alias("last"))
         made = self._write_buckets(path, rows, RECORD_ID, buckets, lambda dealt: last_write(dealt, (BUCKET, RECORD_ID), HWM, "page", "pos").drop("page", "pos"))
@@ -228,17 +230,17 @@ class Store:
             self.folder.remove(path)
             return made
         touched, kind = self._buckets_in(path), rows.drop("page", "pos").schema
-        delta = self.spark.read.schema(StructType([*kind.fields]).add(BUCKET, "integer")).parquet(f"{self.root}/{path}").withColumn(NEW, F.lit(1))
         if live:
+            delta = self.spark.read.schema(StructType([*kind.fields]).add(BUCKET, "integer")).parquet(f"{self.root}/{path}").withColumn(NEW, F.lit(1))
             old = self._rows(live, touched).withColumn(BUCKET, bucket_of(RECORD_ID, buckets)).withColumn(NEW, F.lit(0))
             both = old.unionByName(delta).repartition(BUCKET)
-            delta = last_write(both, (BUCKET, RECORD_ID), HWM, NEW)
-        delta.drop(NEW).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/{table}/v={version}")
+            last_write(both, (BUCKET, RECORD_ID), HWM, NEW).drop(NEW).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/{table}/v={version}")
         parts = list(live["parts"]) if live else [None] * buckets
         for k in touched:
             parts[k] = version
         self._go_live(table, version, kind, parts, RECORD_ID, mark=made.mark)
-        self.folder.remove(path)
+        if live:
+            self.folder.remove(path)
         return made
 
     def clean(self, table: str, keep: dt.timedelta = RETENTION) -> list[str]:

@@ -62,19 +62,24 @@ def scratch(spark: SparkSession, name: str) -> str:
 EVENT_COLUMNS = [("event_id", "number"), ("ts", "calendar_date"), ("user_id", "number"), ("event_type", "text"), ("value", "number"), ("props", "json")]
 
 
-def event_rows(spark: SparkSession, sf_dir: str, record_id: Column | None = None, kept: Column | None = None) -> DataFrame:
-    """events, or those `kept`, as untyped rows: v holds their JSON, with the system fields."""
+def event_texts(spark: SparkSession, sf_dir: str, record_id: Column | None = None, kept: Column | None = None) -> DataFrame:
+    """event_id, value: events, or those `kept`, as JSON texts, with the system fields."""
     e = table(spark, sf_dir, "events")
     e = spread(e if kept is None else e.where(kept))
     ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     row = F.struct((F.col("event_id").cast("string") if record_id is None else record_id).alias(":id"), ts.alias(":updated_at"), "event_id", ts.alias("ts"), "user_id", "event_type", F.col("value").cast("string").alias("value"), F.parse_json("props").alias("props"))
-    return e.select("event_id", F.parse_json(F.to_json(row)).alias("v"))
+    return e.select("event_id", F.to_json(row).alias("value"))
+
+
+def event_rows(spark: SparkSession, sf_dir: str, record_id: Column | None = None, kept: Column | None = None) -> DataFrame:
+    """event_id, v: event_texts as untyped rows."""
+    return event_texts(spark, sf_dir, record_id, kept).select("event_id", F.parse_json("value").alias("v"))
 
 
 def land(spark: SparkSession, sf_dir: str, folder: str, page: int = 5000) -> None:
     """events as page files, each a JSON array of `page` rows at most: pages grow in number with the table, not in size."""
-    rows = event_rows(spark, sf_dir).withColumn("page", F.expr(f"event_id div {page}"))
-    arrays = rows.groupBy("page").agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json("v")), ","), F.lit("]")).alias("value"))  # a page of rows
+    rows = event_texts(spark, sf_dir).withColumn("page", F.expr(f"event_id div {page}"))
+    arrays = rows.groupBy("page").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))  # a page of rows
     arrays.select("value").write.option("maxRecordsPerFile", 1).mode("overwrite").text(folder)
 
 
