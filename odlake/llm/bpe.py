@@ -77,10 +77,11 @@ class Splitter:
         self.pattern = regex.compile(pattern)
         stands, self.table = {"letter": "ä", "number": "²", "other": "§"}, {}
         own = {"letter": regex.compile(r"\p{L}"), "number": regex.compile(r"\p{N}")}
-        unsure = [c for c in map(chr, PLANES) if unicodedata.category(c) == "Cn"]
-        for c, kind in zip(unsure, self.kinds(pattern, unsure)):
-            if kind != next((k for k, p in own.items() if p.match(c)), "other"):
-                self.table[ord(c)] = stands[kind]
+        unsure = (c for c in map(chr, PLANES) if unicodedata.category(c) == "Cn")
+        while some := list(islice(unsure, AT_ONCE // 16)):  # all at once would take a hundred MB
+            for c, kind in zip(some, self.kinds(pattern, some)):
+                if kind != next((k for k, p in own.items() if p.match(c)), "other"):
+                    self.table[ord(c)] = stands[kind]
         self.differs = re.compile(f"[{spans(self.table)}]") if self.table else None
 
     @staticmethod

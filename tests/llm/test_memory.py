@@ -7,7 +7,8 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from odlake.llm import common, repeats, suffixes
+import public_tokenizers
+from odlake.llm import bpe, common, repeats, suffixes
 
 
 def most(work) -> float:
@@ -26,6 +27,10 @@ def test_segments_of_long_texts_are_found_in_little_memory():
     assert most(lambda: repeats.of_batch(suffixes.BYTES, ids, ids, [text], [])) < 40
 
 
+def test_character_classes_are_asked_for_in_little_memory():
+    assert most(lambda: bpe.Splitter(public_tokenizers.PATTERN)) < 12
+
+
 def test_freed_memory_is_given_back_when_a_task_ends(monkeypatch):
     given = []
     monkeypatch.setattr(common, "give_back", lambda: given.append(1))
